@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a kernel works on at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _rng = np.random.default_rng(20240607)
 _TABLES = _rng.integers(0, 2**64, size=(2, 256), dtype=np.uint64)
 _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)

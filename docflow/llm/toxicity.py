@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -157,32 +157,40 @@ def passages(model: Model, words: int, at: list[int], score: list[float]) -> lis
     return [x for x in found if x[0] > 0]
 
 
-def evidence(model: Model, sieve: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: its words, the summed excess of its significant passages, and their number."""
+def evidence(model: Model, sieve: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: the summed excess of its significant passages, and their number."""
+    return evidences([model], sieve, column)[0]
+
+
+def evidences(models: list[Model], sieve: np.ndarray, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The evidence of several models that are the first one reduced to the words above their ``least``."""
     data, offsets = text_buffers(column)
     n = len(column)
-    words, total, many = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+    out = [(np.zeros(n), np.zeros(n, np.int64)) for _ in models]
     for a, b in chunks(offsets):
-        own, row, at, score = word_scores(model, sieve, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        words[a:b] = own
-        for r in np.unique(row).tolist():
-            i, j = np.searchsorted(row, [r, r + 1])
-            found = passages(model, int(own[r]), at[i:j].tolist(), score[i:j].tolist())
-            total[a + r], many[a + r] = sum(x[0] for x in found), len(found)
-    return words, total, many
+        own, row, at, score = word_scores(models[0], sieve, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for model, (total, many) in zip(models, out):
+            good = score >= model.least
+            r, i, s = row[good], at[good].tolist(), score[good].tolist()
+            heads = np.flatnonzero(np.diff(r, prepend=-1)).tolist()
+            for first, last in zip(heads, [*heads[1:], len(i)]):
+                which = int(r[first])
+                found = passages(model, int(own[which]), i[first:last], s[first:last])
+                total[a + which], many[a + which] = sum(x[0] for x in found), len(found)
+    return out
 
 
 def probability(model: Model, total: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.offset + model.slope * np.log1p(total), -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.02) -> tuple[float, float]:
     w = np.zeros(2)
     z = np.stack([np.ones(len(x)), x], axis=1)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (y - p) - ridge * w
-        hess = (z * (p * (1 - p))[:, None]).T @ z + (ridge + 1e-9) * np.eye(2)
+        grad = z.T @ (n * (y - p)) - ridge * w
+        hess = (z * (n * p * (1 - p))[:, None]).T @ z + (ridge + 1e-9) * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
@@ -190,32 +198,74 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float,
     return float(w[0]), max(0.0, float(w[1]))
 
 
-def calibrate(model: Model, rows: list[tuple[int, int, list[int], list[float]]], least: float) -> tuple[float, Model]:
-    """The loss on ``rows`` of the model reduced to words that score ``least`` or more, and that model with its statistics."""
+def reduced(model: Model, least: float) -> Model:
     good = model.odds >= least
-    odds = model.odds[good]
-    docs = []
-    for toxic, words, at, score in rows:
-        pairs = [(i, s) for i, s in zip(at, score) if s >= least]
-        docs.append((toxic, words, [i for i, _ in pairs], [s for _, s in pairs]))
-    words = [1 + sum(d[1] for d in docs if d[0] == k) for k in (0, 1)]
-    hits = [0.5 + sum(len(d[2]) for d in docs if d[0] == k) for k in (0, 1)]
-    other = min(-0.002, math.log(1 - min(0.9, hits[1] / words[1])))
-    p, mean = min(0.5, hits[0] / words[0]), float(np.median(odds))
+    return replace(model, feature=model.feature[good], odds=model.odds[good], least=least)
+
+
+def hit_counts(fold: DataFrame, model: Model) -> tuple[list[Model], list[dict[int, tuple[int, int]]]]:
+    """``model`` reduced to each of LEAST_ODDS, and for each the (words, words above 0) of clean and of toxic documents."""
+    levels = [x for x in LEAST_ODDS if (model.odds >= x).any()]
+    sieve = model.sieve()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(levels), 2, 2), np.int64)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b in chunks(offsets):
+                own, row, _, score = word_scores(model, sieve, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for k in (0, 1):
+                    total[:, k, 0] += own[toxic[a:b] == k].sum()
+                    hits = score[toxic[a:b][row] == k]
+                    total[:, k, 1] += [(hits >= x).sum() for x in levels]
+        at = np.indices((len(levels), 2)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, at), *map(pa.array, total.reshape(-1, 2).T.copy())], ["level", "toxic", "words", "hits"])
+
+    rows = fold.select("text", "toxic").mapInArrow(run, "level long, toxic long, words long, hits long").groupBy("level", "toxic").agg(F.sum("words").alias("words"), F.sum("hits").alias("hits")).collect()
+    counted: list[dict[int, tuple[int, int]]] = [{} for _ in levels]
+    for r in rows:
+        counted[r["level"]][r["toxic"]] = (r["words"], r["hits"])
+    return [reduced(model, x) for x in levels], counted
+
+
+def statistics(model: Model, counted: dict[int, tuple[int, int]]) -> Model:
+    """Score of other words, lambda and K, from the counts of clean and toxic documents."""
+    words, hits = ([counted[k][i] for k in (0, 1)] for i in (0, 1))
+    other = min(-0.002, math.log(1 - min(0.9, (hits[1] + 0.5) / (words[1] + 1))))
+    p, mean = min(0.5, (hits[0] + 0.5) / (words[0] + 1)), float(np.median(model.odds))
     low, high = 1e-6, 2.0  # the positive root of p e^(rate mean) + (1 - p) e^(rate other) = 1
     for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if p * math.exp(min(700, mid * mean)) + (1 - p) * math.exp(mid * other) < 1 else (low, mid)
-    rate = low
-    best = [[s for s, _, _ in maximal_segments(d[2], d[3], other)] for d in docs]
-    clean = [s for d, b in zip(docs, best) if not d[0] for s in b]
-    scale = (len(clean) + 0.5) * math.exp(min(50.0, rate * min([*clean, float(odds.min())]))) / words[0]
-    x = np.log1p([sum(max(0.0, rate * s - max(0.0, math.log(scale * max(d[1], 1)))) for s in b) for d, b in zip(docs, best)])
-    y = np.array([d[0] for d in docs], float)
-    offset, slope = _logistic(x, y)
-    fitted = 1 / (1 + np.exp(-np.clip(offset + slope * x, -30, 30)))
-    loss = -float(np.mean(np.log(np.where(y > 0, fitted, 1 - fitted) + 1e-12)))
-    return loss, Model(model.feature[good], odds, other, rate, scale, offset, slope, least)
+    # each segment of a clean text begins at a word above 0, so these bound the segments by chance
+    scale = (hits[0] + 0.5) * math.exp(min(50.0, low * float(model.odds.min()))) / (words[0] + 1)
+    return replace(model, other=other, rate=low, scale=scale)
+
+
+def calibrations(fold: DataFrame, models: list[Model]) -> list[tuple[float, Model]]:
+    """The log loss of each model on ``fold``, and the model with its logistic; evidence is counted in steps of 1/50."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = models[0].sieve()
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, (total, _) in enumerate(evidences(models, sieve, batch.column(0))):
+                steps = np.rint(50 * np.log1p(total)).astype(np.int64)
+                key, n = np.unique(steps * 2 + toxic, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i)), pa.array(key), pa.array(n)], ["level", "key", "n"])
+
+    got = fold.select("text", "toxic").mapInArrow(run, "level long, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n")).collect()
+    out = []
+    for i, m in enumerate(models):
+        rows = [(r["key"], r["n"]) for r in got if r["level"] == i]
+        key, n = (np.array(c, float) for c in zip(*rows))
+        x, y = key // 2 / 50, key % 2
+        offset, slope = _logistic(x, y, n)
+        fitted = 1 / (1 + np.exp(-np.clip(offset + slope * x, -30, 30)))
+        loss = -float(np.average(np.log(np.where(y > 0, fitted, 1 - fitted) + 1e-12), weights=n))
+        out.append((loss, replace(m, offset=offset, slope=slope)))
+    return out
 
 
 def training_labels(labels: DataFrame, most: int) -> DataFrame:
@@ -245,34 +295,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, most_fea
     counts = written(count_features(labelled), "features")
     t0, t1, c0, c1 = (F.col(x) for x in ("t0", "t1", "c0", "c1"))
 
-    def measured(model: Model) -> list[tuple[int, int, list[int], list[float]]]:
-        """Of each document of the calibration fold: toxic, words, and its words above 0 with their scores."""
-        sieve = model.sieve()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                words, spots, scores = [], [], []
-                data, offsets = text_buffers(batch.column(0))
-                for a, b in chunks(offsets):
-                    own, row, at, score = word_scores(model, sieve, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    words += own.tolist()
-                    cuts = np.searchsorted(row, np.arange(len(own) + 1))
-                    spots += [at[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
-                    scores += [score[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
-                columns = [batch.column(1), pa.array(words, pa.int64()), pa.array(spots, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["toxic", "words", "at", "score"])
-
-        got = labelled.where("fold = 1").select("text", "toxic").mapInArrow(run, "toxic int, words long, at array<long>, score array<double>")
-        return list(zip(*(c.to_pylist() for c in got.toArrow().columns)))
-
     def calibrated(model: Model) -> Model:
-        rows = measured(model)
-        if not len(model.feature) or len({r[0] for r in rows}) < 2:
+        if not len(model.feature) or not n.get((1, 1)) or not n.get((0, 1)):
             rate = (n_t + 0.5) / (n_t + n_c + 1)
             return Model(model.feature, model.odds, model.other, 1.0, 0.01, math.log(rate / (1 - rate)), 1.0)
+        fold = labelled.where("fold = 1")
         # the least score that a word needs is the one of several that predicts the fold best
-        tried = [calibrate(model, rows, least) for least in LEAST_ODDS if (model.odds >= least).any()]
-        return min(tried, key=lambda x: x[0])[1]
+        tried = [statistics(m, counted) for m, counted in zip(*hit_counts(fold, model))]
+        return min(calibrations(fold, tried), key=lambda x: x[0])[1]
 
     first = log_odds(counts, t0, c0, n.get((1, 0), 0), n.get((0, 0), 0), least_z, most_features)
     found = calibrated(first)
@@ -294,7 +324,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, total, many = evidence(*held.value, batch.column(1))
+            total, many = evidence(*held.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(held.value[0], total)), pa.array(many)], ["doc_id", "score", "n_passages"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORED)
@@ -308,7 +338,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     @F.pandas_udf("double")
     def toxic(text: pd.Series) -> pd.Series:
-        _, total, _ = evidence(*held.value, pa.Array.from_pandas(text, type=pa.string()))
+        total, _ = evidence(*held.value, pa.Array.from_pandas(text, type=pa.string()))
         return pd.Series(probability(held.value[0], total))
 
     return docs.where(toxic(F.col("text").cast("string")) < threshold)
