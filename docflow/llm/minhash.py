@@ -220,7 +220,7 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: int = 2, recall: float = 0.9998) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text with fewer than ``width`` words is one shingle;
     null and blank texts have none and are linked with nothing.  Rows are linked if 100 * |intersection| >= percent *
@@ -266,6 +266,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     links = checkpointed(dealt.mapInArrow(lambda batches: _tile_links(batches, percent), "a long, b long").distinct())
     tops = components(links, nodes)
     named = nodes.join(tops, "c1", "left").select("c1", F.coalesce(F.least("top", "least"), "top", "least").alias("component_id"))
-    found = rows_.select("doc_id", "n", "c1").join(checkpointed(named), "c1", "left")
+    found = rows_.select("doc_id", "text_hash", "n", "c1").join(checkpointed(named), "c1", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, rows: int = 2, recall: float = 0.9998) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are; see ``near_duplicates``.
+
+    Rows of a group without any id all stay, as do repeated rows of the document that is kept: they are one document.
+    """
+    found = near_duplicates(docs, percent, width, rows, recall)
+    gone = found.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__hash": F.xxhash64("text")})
+    return keyed.join(checkpointed(gone), ["__doc", "__hash"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
