@@ -1,0 +1,242 @@
+"""The engine's operators on the cases of the survey, and every registered query against its SQL."""
+
+import io
+import os
+import zipfile
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from docflow.functions import text as X
+from docflow.operators import checks, glossary, html, quality, segment, store, translate
+from docflow.plans.oracle import ORACLE_SQL
+from docflow.plans.queries import QUERIES
+from docflow.sources import epub, stores
+
+DATA = "/root/testdata/sf0.001"
+TABLES = ["documents", "conversations", "pages"]
+
+
+def value(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'string'}" for k, v in values.items()))
+    return row.select(column.alias("v")).first()["v"]
+
+
+def test_every_oracle_has_a_query():
+    assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return con
+
+
+def norm(v):
+    return [norm(x) for x in v] if isinstance(v, (list, tuple)) else str(v)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, duck, name):
+    df = QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    got = sorted(norm([r[c] for c in columns]) for r in df.collect())
+    result = duck.execute(ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    assert got == sorted(norm([row[names.index(c)] for c in columns]) for row in result.fetchall())
+
+
+@pytest.mark.parametrize("a,b,want", [(" text", "texte", " texte"), ("text ", "texte", "texte "), ("   text", "texte", " texte"), (" text ", " texte ", " texte "), ("", "texte", "texte"), ("\ntext", "texte", " texte"), ("a", "", "")])
+def test_edge_space(spark, a, b, want):
+    assert value(spark, X.edge_space(F.col("a"), F.col("b")), a=a, b=b) == want
+    assert html.with_edges(a, b) == want
+
+
+def test_scalars(spark):
+    assert value(spark, X.fragment_text(F.col("a")), a=["start ", " middle ", " end"]) == "start </> middle </> end"
+    assert value(spark, X.quote_pairs(F.col("a")), a="“A,” he said, “B”") == 2
+    assert value(spark, X.quote_pairs(F.col("a")), a='"A"') == 0
+    assert value(spark, X.separators(F.col("a")), a="A</>B</>C</>D") == 3
+    assert value(spark, X.terms(F.col("a")), a="Dr. Sakamoto activated the DNA MatrixCore. Then") == ["DNA", "MatrixCore", "Sakamoto", "Then"]
+    assert value(spark, X.proper_nouns(F.col("a")), a="The man met John Smith and NASA. Later Tom left") == ["John Smith", "NASA", "Tom"]
+    assert value(spark, X.cache_key(F.col("a")), a="path/to:test.html").startswith("path_totest.html_")
+    assert value(spark, X.english_score(F.col("a")), a="The cat is sleeping on the couch.") >= 0.6
+    assert value(spark, X.english_score(F.col("a")), a="Le chat dort sur le canapé.") < 0.6
+    for word, out in (("the", True), ("I", True), ("a", True), ("am", True), ("Dr", False), ("AA", False), ("Matrix", False)):
+        assert value(spark, X.is_excluded(F.col("a")), a=word) is out
+    assert value(spark, X.is_extraction_error(F.col("a"), F.col("b")), a="after", b="Flio") is True
+    assert value(spark, X.is_extraction_error(F.col("a"), F.col("b")), a="Matrix", b="Matrice") is False
+
+
+def test_nulls_pass_through(spark):
+    for e in (X.collapse, X.comparison_key, X.cache_key, X.separators, X.quote_pairs, X.sentences, X.terms):
+        assert value(spark, e(F.col("a")), a=None) is None
+
+
+def test_parser(spark):
+    raws = [
+        (1, "<0/>Bonjour\n<1/>Monde\n<2/>Test\n[=[END]=]"), (2, "<0/>Hello</>World\n<1/>Foo</>Bar</>Baz\n[=[END]=]"), (3, "<0/>First line\nSecond\n<1/>Another\n[=[END]=]"),
+        (4, "<0/>no end"), (5, "[ERREUR: x"), (6, "nothing\n[=[END]=]"), (7, "<0/>a\n<0/>b\n[=[END]=]"),
+    ]
+    df = spark.createDataFrame(raws, "doc_id long, raw string")
+    got = {}
+    for r in checks.parse_output(df).collect():
+        got.setdefault(r["doc_id"], {})[r["line_idx"]] = r["text"]
+    assert got == {1: {0: "Bonjour", 1: "Monde", 2: "Test"}, 2: {0: "Hello</>World", 1: "Foo</>Bar</>Baz"}, 3: {0: "First line", 1: "Another"}, 7: {0: "b"}}
+    assert [r["s"] for r in df.orderBy("doc_id").select(checks.status(F.col("raw")).alias("s")).collect()] == ["ok", "ok", "ok", "missing_end", "error", "no_lines", "ok"]
+
+
+def pairs(spark, rows):
+    return spark.createDataFrame([(1, i, 31 + i, a, b) for i, (a, b) in enumerate(rows)], "doc_id long, pos long, h long, original string, translated string")
+
+
+def test_quarantine(spark):
+    rows = [(f"line {i}" if i != 2 else "a</>b", f"ligne {i}") for i in range(10)]
+    rows[3], rows[7] = (rows[3][0], None), (rows[7][0], None)
+    df = pairs(spark, rows)
+    held = {r["chunk_line"]: r["check_name"] for r in checks.quarantine(df).collect()}
+    assert held == {2: "fragment_count", 3: "line_count", 7: "line_count"}
+    assert [tuple(r) for r in checks.validation_stats(df).collect()] == [("partial", 1)]
+    assert checks.line_count_errors(df).first()["missing"] == "3,7"
+    assert checks.line_count_errors(df, strict_keys=True).count() == 1
+
+
+def test_index_check(spark):
+    def run(asked, came):
+        e, r = (spark.createDataFrame([(1, i) for i in x] or [(2, 0)], "doc_id long, pos long") for x in (asked, came))
+        return next(tuple(x)[1:] for x in checks.index_check(e, r).collect() if x["doc_id"] == 1)
+
+    assert run([1, 2, 3], [3, 2, 1]) == (True, "", "")
+    assert run([1, 2, 3], [1, 5]) == (False, "2,3", "5")
+    assert run(range(30), [40]) == (False, ",".join(map(str, range(20))), "40")
+
+
+def test_segmentation(spark):
+    tok = [120, 40, 30, 20, 50, 60, 10, 90, 5]
+    df = spark.createDataFrame([(1, i, "x" * (4 * n)) for i, n in enumerate(tok)], "doc_id long, pos long, text string")
+    rows = segment.body(df, 100)
+    assert [r["chunk_id"] for r in rows.orderBy("seq").collect()] == [1, 2, 2, 2, 3, 4, 4, 5, 5]
+    text = segment.prompts(segment.members(rows, 100, 0.15)).where("chunk_id = 2").first()["prompt"]
+    assert text.startswith("<0/>") and text.count("/>") == 3
+    marked = segment.prompts(segment.members(rows, 100, 0.0), F.col("i").isin(1, 3)).where("chunk_id = 2").first()["prompt"]
+    assert marked.count("/>") == 1 and "<1/>" in marked
+
+
+def test_store(spark):
+    w = spark.createDataFrame([("initial", "a.html", "2", "x", 1), ("initial", "a.html", "2", "y", 2), ("initial", "a.html", "10", "z", 1), ("initial", "a.html", "t1", 'q"é', 1), ("refined", "a.html", "2", "", 1)], "phase string, source_file string, line_index string, text string, write_seq int")
+    import tempfile
+
+    path = tempfile.mkdtemp() + "/store"
+    stores.write_store(w, path)
+    assert [(r["line_index"], r["text"]) for r in stores.read_store(spark, path, "initial").collect()] == [("2", "y"), ("10", "z"), ("t1", 'q"é')]
+    row = stores.json_store(stores.read_store(spark, path, "initial")).first()
+    assert row["value"] == '{"2": "y", "10": "z", "t1": "q\\"é"}'
+    keyed = [spark.read.parquet(path).where(F.col("phase") == p).select(F.col("line_index").alias("key"), "text") for p in ("initial", "refined")]
+    got = {r["key"]: (r["text"], r["origin"]) for r in store.fallback(*keyed).collect()}
+    assert got["2"] == ("y", "initial")
+    (tmp := open(path + ".json", "w")).write("{ invalid json }")
+    tmp.close()
+    assert stores.read_json_store(spark, path + ".json").first()["line_index"] is None
+
+
+def test_glossary(spark):
+    obs = spark.createDataFrame([("Matrix", "Matrice", i) for i in range(3)] + [("Matrix", "Système", 9), ("Ahh", "Aah", 10), ("Ahh", "Oh", 11), ("the", "Le", 12), ("Rare", "Rare", 13)], "source string, target string, seq long")
+    counted = glossary.counts(obs)
+    assert {r["source"]: r["target"] for r in glossary.translations(counted).collect()} == {"Matrix": "Matrice", "Ahh": "Aah", "Rare": "Rare"}
+    clash = glossary.conflicts(counted)
+    assert [(r["source"], r["targets"]) for r in clash.collect()] == [("Ahh", ["Aah", "Oh"])]
+    assert [tuple(r) for r in glossary.categorised(clash).collect()] == [("Ahh", "onomatopoeia", "low")]
+    assert {r["source"]: r["status"] for r in glossary.cleaned(obs).collect()} == {"Matrix": "kept", "Ahh": "kept", "the": "stopword", "Rare": "low_confidence"}
+    fixed = spark.createDataFrame([("Matrix", "Grille")], "source string, target string")
+    assert {r["source"]: r["target"] for r in glossary.translations(counted, fixed).collect()}["Matrix"] == "Grille"
+    assert glossary.export(counted).first()["prompt"].startswith("Matrix → Matrice, Ahh → Aah")
+    again, _ = stores.read_glossary(spark, stores.glossary_json(counted, fixed))
+    assert sorted((r["source"], r["target"], r["cnt"]) for r in again.collect()) == sorted((r["source"], r["target"], r["cnt"]) for r in counted.collect())
+    assert stores.read_glossary(spark, "{ bad")[0].count() == 0
+
+
+def test_quality(spark):
+    texts = spark.createDataFrame([(1, "The cat is sleeping on the couch. Le chat dort."), (2, None)], "doc_id long, text string")
+    assert [r["position"] for r in quality.untranslated(texts).collect()] == [0]
+    same = spark.createDataFrame([("a", "Hello world", "hello, world"), ("b", "Hello world", "Bonjour le monde"), ("c", None, "x")], "key string, original string, translated string")
+    assert [tuple(r) for r in quality.copies(same).collect()] == [("a", 1.0, "identical")]
+    obs = spark.createDataFrame([("Matrix", "Matrice", 0), ("Matrix", "Matrice", 1), ("Matrix", "Système", 2), ("X", "X", 3)], "source string, target string, seq long")
+    assert [tuple(r) for r in quality.terminology_issues(obs).collect()] == [("Matrix", 2, 0.7, "Matrice")]
+
+
+def test_html(spark):
+    page = "<html><body><p>start <b> middle</b></p><div>loose</div><h1>T &amp; U</h1><script>x</script><!-- c --></body></html>"
+    assert html.page_fragments(page) == [(1, "p", 2, "start </> middle"), (3, "h1", 1, "T & U")]
+    done, n = html.rewrite("<p><b>start <em>middle</em> end</b></p>", {1: "début</>milieu</>fin"}, "replace")
+    assert (done, n) == ("<p><b>début <em>milieu</em> fin</b></p>", 1)
+    done, _ = html.rewrite("<p>one</p>", {1: "un"}, "separate")
+    assert done == '<p class="original" style="color: #9ca3af;">one</p><p class="translation" lang="translated">un</p>'
+    with pytest.raises(html.FragmentMismatch):
+        html.rewrite("<p>a<b>b</b></p>", {1: "x"})
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
+    assert html.fragments(df).count() == 2 and html.rewrite_pages(df, html.fragments(df).select("page_id", "frag_index", F.upper("text").alias("text"))).count() == 3
+
+
+def test_epub_round_trip(spark):
+    book = epub.Book("id1", "Title & more", "en", ["A", "B"], [("c2", "two.xhtml", "application/xhtml+xml", b"<p>2</p>"), ("c1", "one.xhtml", "application/xhtml+xml", b"<p>1</p>"), ("s", "s.css", "text/css", b"p{}")], ["c1", "c2"])
+    files = spark.createDataFrame([("b.epub", epub.write_book(book))], "path string, content binary")
+    rows = epub.items(files)
+    assert [r["item_id"] for r in epub.documents_in_spine_order(rows).collect()] == ["c1", "c2"]
+    assert [r["item_id"] for r in epub.resources(rows).collect()] == ["s"]
+    meta = epub.translated_metadata(epub.metadata(files), "fr")
+    data = bytes(epub.archives(meta, rows).first()["content"])
+    again = epub.read_book(data)
+    assert (again.title, again.language, again.spine, again.creators) == ("Title & more (fr)", "fr", ["c1", "c2"], ["A", "B"])
+    assert zipfile.ZipFile(io.BytesIO(data)).namelist()[0] == "mimetype"
+
+
+def test_translator_and_repair(spark):
+    calls = []
+
+    def flaky(prompt, reasoning):
+        calls.append(reasoning)
+        if len(calls) < 3:
+            raise TimeoutError("slow")
+        return "ok"
+
+    assert translate.call(flaky, "x") == ("ok", 3) and calls == [False, False, True]
+    assert translate.call(lambda p, r: (_ for _ in ()).throw(ConnectionError("limit")), "x")[0].startswith("[ERREUR")
+    assert [translate.backoff("timeout", n) for n in range(3)] == [1, 2, 4] and [translate.backoff("rate", n) for n in range(3)] == [1, 3, 9]
+    df = pairs(spark, [("a</>b", "x"), ("c", None), ("d", "D")])
+    fixed = {r["pos"]: r["translated"] for r in translate.repair(df, translate.mock).collect()}
+    assert fixed == {0: "A</>B", 1: "C", 2: "D"}
+
+
+def test_two_phase(spark):
+    df = spark.createDataFrame([(1, 0, "one"), (1, 1, "two"), (2, 0, "three")], "doc_id long, pos long, text string")
+    got = {r["key"]: (r["text"], r["origin"]) for r in translate.two_phase(df, translate.mock, lambda p, r: "broken").collect()}
+    assert got == {"1/0": ("ONE", "initial"), "1/1": ("TWO", "initial"), "2/0": ("THREE", "initial")}
+
+
+def test_stream_routes_every_row_once(spark, tmp_path):
+    from docflow.streaming import checks as streaming
+
+    df = pairs(spark, [("a</>b", "x"), ("c", None), ("d", "D"), ("“e”", "e")])
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    streaming.route(streaming.read_pairs(spark, f"{tmp_path}/in", 1), f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/state").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/good").count() == 1 and spark.read.parquet(f"{tmp_path}/bad").count() == 3
+
+
+def test_operators_on_empty_tables(spark):
+    none = pairs(spark, [("a", "b")]).limit(0)
+    for f in (checks.fragment_count_errors, checks.punctuation_errors, checks.line_count_errors, checks.quarantine, checks.validation_stats):
+        assert f(none).count() == 0
+    assert segment.body(spark.createDataFrame([], "doc_id long, pos long, text string"), 10).count() == 0
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    df = entry.entry(spark)
+    assert df.columns == ["doc_id", "position", "sentence", "confidence"] and df.count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert os.path.exists("/root/testdata/sf0.001")
