@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .tokens import CachedTokenizer, crc32_u4, vocabulary_path
+from .tokens import crc32_u4, tokenizer, vocabulary_path
 
 TOKENISED = "doc_id long, part long, local_start long, n_tokens long, ids binary"
 PIECES = (
@@ -35,12 +35,12 @@ def tokenised(docs: DataFrame, vocabulary: str, cut: str, end_id: int) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = CachedTokenizer(vocabulary, cut)
+        tok = tokenizer(vocabulary, cut)
         width, part, at = tok.dtype.itemsize, TaskContext.get().partitionId(), 0
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 piece = batch.slice(i, 1000)
-                ids = tok.encode(piece.column(1).to_pylist(), end_id)
+                ids = tok.encode(piece.column(1).cast(pa.binary()).to_pylist(), end_id)
                 n = np.array([len(x) // width for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
