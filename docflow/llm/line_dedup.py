@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .kernels import LOWER, SPACE, chunks, span_hashes, text_buffers
 from .scratch import checkpointed
+from .tokens import release
 
 LINES = "h1 long, h2 long, doc long, text_hash long, pos int"
 EDGES = "h1 long, h2 long, n_docs long, top_doc long"
@@ -41,6 +42,7 @@ def line_hashes(docs: DataFrame, least: int) -> DataFrame:
     """LINES: a row for each line whose key has at least ``least`` code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
             doc, text_hash = batch.column(0), batch.column(1)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .kernels import LOWER, SPACE, chunks, mix, runs, span_hashes, text_buffers
 from .scratch import checkpointed, written
+from .tokens import release
 
 SIGNED = "doc_id long, text_hash long, n long, c1 long, c2 long, left array<long>, right array<long>, sketch binary"
 SETS = "c1 long, shingles binary"
@@ -89,6 +90,7 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     n = 2 * bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
             for a, b in chunks(offsets):

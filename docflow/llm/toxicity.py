@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .kernels import LOWER, chunks, runs, span_hashes, text_buffers
 from .scratch import written
+from .tokens import release
 
 #: Letters: a-z and every byte of a character that is not ASCII.
 _LETTER = np.zeros(256, bool)
@@ -74,6 +75,7 @@ def count_features(labelled: DataFrame) -> DataFrame:
     """(feature, toxic, clean, fold): documents of each class with the feature; ``labelled`` has text, toxic, fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
