@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import is_excluded, is_stopword, is_upper_first, terms
 
@@ -130,3 +131,38 @@ def resolved(counted: DataFrame, validated: DataFrame) -> DataFrame:
     """Validated terms with every conflict settled by its mode (V10); manual entries stay."""
     clash = conflicts(counted, validated).select("source")
     return validated.select("source", "target").unionByName(modes(counted).join(clash, "source", "left_semi").select("source", "target"))
+
+
+def shares(counted: DataFrame, found: DataFrame, most_low: int = 5) -> DataFrame:
+    """(source, priority, target, percent, place): targets of conflicts with their share in percent (O5, W3); of low
+    priority only the first ``most_low`` sources by their total."""
+    total = counted.groupBy("source").agg(F.sum("cnt").alias("total"), F.min("first_seen").alias("seen"))
+    kinds = categorised(found).join(total, "source")
+    low = kinds.where("priority = 'low'").orderBy(F.desc("total"), "seen").limit(most_low)
+    shown = kinds.where("priority <> 'low'").unionByName(low)
+    each = counted.join(shown, "source")
+    place = F.row_number().over(W.partitionBy("source").orderBy(F.desc("cnt"), "first_seen"))
+    return each.select("source", "priority", "target", F.round(F.col("cnt").cast("double") / F.col("total") * 100, 6).alias("percent"), place.alias("place"))
+
+
+def sample(counted: DataFrame, most: int = 10, least: float = 0.8) -> DataFrame:
+    """(source, target): the first ``most`` sure terms by source."""
+    return translations(counted, least=least).select("source", "target").orderBy("source").limit(most)
+
+
+def gate(observed: DataFrame, validated: DataFrame, least: int = 2) -> DataFrame:
+    """(source, target) that the second phase may use: cleaned, conflicts settled, the rest as learned.
+
+    Validated terms are never cleaned away.
+    """
+    kept = cleaned(observed, least).where("status = 'kept'").select("source")
+    counted = counts(observed.join(kept, "source", "left_semi"))
+    return translations(counted, resolved(counted, validated)).select("source", "target")
+
+
+def summary(counted: DataFrame, validated: DataFrame, most: int = 20) -> str:
+    """A text of the counters, the open conflicts and sure terms, ``most`` of each (O6, A22): small by those limits."""
+    lines = [f"{r['metric']}: {r['value']}" for r in stats(counted, validated).collect()]
+    lines += [f"conflict {r['source']}: {', '.join(r['targets'])}" for r in conflicts(counted, validated).orderBy("source").limit(most).collect()]
+    lines += [f"term {r['source']}: {r['target']}" for r in sample(counted, most).collect()]
+    return "\n".join(lines)

@@ -32,3 +32,23 @@ def sort_key(index: str):
     """Numeric indices in order of their number, then the others as text."""
     number = F.expr(f"try_cast({index} AS BIGINT)")
     return [number.isNull(), number, F.col(index)]
+
+
+def file_counts(rows: DataFrame) -> DataFrame:
+    """(phase, n_files, n_lines) of a store."""
+    return rows.groupBy("phase").agg(F.count_distinct("source_file").alias("n_files"), F.count("*").alias("n_lines"))
+
+
+def refine_prompts(members: DataFrame, initial: DataFrame, glossary_prompt: DataFrame) -> DataFrame:
+    """(book, chunk_id, has_missing, prompt) of the second phase (J19, F17): members (book, chunk_id, role, seq, text) with
+    their first translation; a chunk that lacks one, context included, is flagged and keeps its original there."""
+    from ..functions import prompts
+
+    keyed = members.withColumn("key", F.concat_ws("/", F.col("book").cast("string"), F.col("seq").cast("string")))
+    found = keyed.join(initial.select("key", F.col("text").alias("first")), "key", "left")
+    rows = F.array_sort(F.collect_list(F.struct("role", "seq", "text", F.coalesce("first", "text").alias("first"))))
+    per = found.groupBy("book", "chunk_id").agg(rows.alias("r"), (F.count_if(F.col("first").isNull()) > 0).alias("has_missing"), F.count_if(F.col("role") == 1).alias("n"))
+    joined = lambda c: F.array_join(F.transform("r", lambda x: x[c]), "\n\n")
+    terms = glossary_prompt.first()
+    text = prompts.second_pass(joined("text"), joined("first"), F.lit(terms["prompt"] if terms else ""), F.col("n"))
+    return per.select("book", "chunk_id", "has_missing", text.alias("prompt"))

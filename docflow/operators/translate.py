@@ -91,3 +91,12 @@ def two_phase(lines: DataFrame, first: Translator, second: Translator, first_tok
         return pairs.join(bad, ["doc_id", "pos"], "left_anti").select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("key"), F.col("translated").alias("text"))
 
     return store.fallback(phase(first_tokens, ratio, first), phase(second_tokens, 1.0, second))
+
+
+def run_summary(stored: DataFrame, first: DataFrame, seconds: float) -> DataFrame:
+    """(metric, value) of a run (A25): lines by origin, chunks asked, calls made, seconds."""
+    origin = stored.groupBy("origin").agg(F.count("*").cast("double").alias("value")).select(F.concat(F.lit("lines_"), "origin").alias("metric"), "value")
+    asked = first.agg(F.count("*").cast("double").alias("chunks"), F.sum("attempts").cast("double").alias("calls"))
+    calls = asked.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("chunks", "calls")])).alias("x")).select("x.metric", "x.value")
+    took = stored.sparkSession.createDataFrame([("seconds", float(seconds))], "metric string, value double")
+    return origin.unionByName(calls).unionByName(took)

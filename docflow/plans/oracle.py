@@ -201,6 +201,17 @@ ORACLE_SQL: dict[str, str] = {
     "edge_space": f"""WITH {_MOCK}, e AS (SELECT {_KEY} AS key, CASE WHEN h % 2 = 0 THEN ' ' ELSE '' END || original || CASE WHEN h % 3 = 0 THEN chr(10) ELSE '' END AS o, translated AS t FROM mock WHERE translated IS NOT NULL)
         SELECT key, CASE WHEN t = '' THEN t ELSE CASE WHEN regexp_matches(o, '^{SPACE}') AND NOT regexp_matches(t, '^{SPACE}') THEN ' ' ELSE '' END || t || CASE WHEN regexp_matches(o, '{SPACE}$') AND NOT regexp_matches(t, '{SPACE}$') THEN ' ' ELSE '' END END AS text FROM e""",
     "cache_keys": r"SELECT url, replace(translate(url, '\/', '__'), ':', '') || '_' || md5(url)[1:8] || '.json' AS key FROM pages",
-    "spine_scan": "SELECT page_id, page_id * 7919 % 100003 AS spine_pos FROM pages",
+    "spine_scan": "SELECT page_id, page_id * 7919 % 100003 AS spine_pos FROM pages WHERE page_id % 5 <> 0",
+    "conflict_shares": f"""WITH {_COUNTS}, cat AS (SELECT source, CASE WHEN lower(source) IN {_in(STOPWORDS)} OR (length(source) <= 4 AND len(list_distinct(string_split(source, ''))) < length(source)) THEN 'low'
+            WHEN len(list_filter(targets, lambda t: lower(t) NOT IN {_in(STOPWORDS)})) = 0 THEN 'none' ELSE 'high' END AS priority FROM conflicts),
+        sized AS (SELECT cat.*, m.total, m.first_seen, row_number() OVER (PARTITION BY priority ORDER BY m.total DESC, m.first_seen) AS rn FROM cat JOIN modes m ON m.source = cat.source)
+        SELECT c.source, s.priority, c.target, round(c.cnt::DOUBLE / s.total * 100, 6) AS percent, row_number() OVER (PARTITION BY c.source ORDER BY c.cnt DESC, c.first_seen) AS place
+        FROM counted c JOIN sized s ON s.source = c.source WHERE s.priority <> 'low' OR s.rn <= 5""",
+    "glossary_sample": f"WITH {_COUNTS} SELECT source, target FROM modes WHERE cnt::DOUBLE / total >= 0.8::DOUBLE ORDER BY source LIMIT 10",
+    "glossary_gate": f"""WITH {_COUNTS}, keep AS (SELECT source FROM obs GROUP BY source HAVING count(*) >= 2 AND lower(source) NOT IN {_in(STOPWORDS)}),
+        v AS (SELECT source, target FROM validated UNION SELECT m.source, m.target FROM modes m JOIN conflicts c ON c.source = m.source WHERE m.source IN (SELECT source FROM keep))
+        SELECT source, target FROM v UNION SELECT source, target FROM modes WHERE cnt::DOUBLE / total >= 0.5::DOUBLE AND source IN (SELECT source FROM keep) AND source NOT IN (SELECT source FROM v)""",
+    "store_file_counts": f"""WITH {_MOCK} SELECT 'initial' AS phase, count(DISTINCT doc_id) AS n_files, count(*) AS n_lines FROM mock WHERE translated IS NOT NULL
+        UNION ALL SELECT 'refined', count(DISTINCT doc_id), count(*) FROM mock WHERE h % 2 = 0""",
 }
 ORACLE_SQL["stream_checks"] = ORACLE_SQL["fragment_count_errors"]

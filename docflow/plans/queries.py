@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import checks, glossary, html, quality, segment, store, translate
+from ..sources import epub
 from ..sources.tables import lines, mock_translation, table, turn_pairs
 
 #: Tokens of a chunk, and the share of them that context may take.
@@ -205,9 +206,37 @@ def cache_keys(spark, sf):
 
 
 def spine_scan(spark, sf):
-    """Pages as a book's items, the first hundred thousand outside its spine left last."""
-    pages = table(spark, sf, "pages").select(F.lit("book").alias("book_id"), "page_id", (F.col("page_id") * 7919 % 100_003).alias("spine_pos"))
-    return pages.select("page_id", "spine_pos")
+    """Pages as the items of one book whose spine has another order; every fifth is no document."""
+    pages = table(spark, sf, "pages")
+    rows = pages.select(F.lit("book").alias("book_id"), F.col("page_id").cast("string").alias("item_id"), "page_id", (F.col("page_id") % 5 != 0).alias("is_document"), (F.col("page_id") * 7919 % 100_003).alias("spine_pos"))
+    return epub.documents_in_spine_order(rows).select("page_id", "spine_pos")
+
+
+def conflict_shares(spark, sf):
+    counted = _counted(spark, sf)
+    return glossary.shares(counted, glossary.conflicts(counted))
+
+
+def glossary_sample(spark, sf):
+    return glossary.sample(_counted(spark, sf))
+
+
+def glossary_gate(spark, sf):
+    return glossary.gate(glossary.observations(_aligned(spark, sf)), _validated(_counted(spark, sf)))
+
+
+def store_file_counts(spark, sf):
+    x = mock_translation(spark, sf)
+    rows = x.where("translated is not null").select(F.lit("initial").alias("phase"), F.col("doc_id").cast("string").alias("source_file"))
+    return store.file_counts(rows.unionByName(x.where("h % 2 = 0").select(F.lit("refined").alias("phase"), F.col("doc_id").cast("string").alias("source_file"))))
+
+
+def refine_prompts(spark, sf):
+    rows = _body(spark, sf)
+    members = segment.members(rows, MAX_TOKENS, RATIO)
+    initial = rows.where((F.col("book") * 31 + F.col("seq")) % 17 != 0).select(F.concat_ws("/", F.col("book").cast("string"), F.col("seq").cast("string")).alias("key"), F.upper("text").alias("text"))
+    made = store.refine_prompts(members, initial, glossary.export(_counted(spark, sf)))
+    return made.select("book", "chunk_id", "has_missing", F.char_length("prompt").alias("prompt_len"))
 
 
 def stream_checks(spark, sf):
@@ -245,7 +274,7 @@ _ALL = [
     untranslated_sentences, language_confidence, copy_detection, retry_index_check, parse_output, parse_status, store_upsert, store_fallback, cache_miss,
     segment_body, segment_head, segment_tail, chunk_prompt, chunk_marked, term_extract, proper_nouns, term_alignment, glossary_counts, glossary_translation,
     glossary_conflicts, conflict_category, glossary_clean, glossary_stats, glossary_export, glossary_dict, glossary_high_confidence, glossary_resolved,
-    terminology_issues, quality_report, html_fragments, html_headings, html_rewrite, bilingual_inline, edge_space, cache_keys, spine_scan, stream_checks, two_phase_run,
+    terminology_issues, quality_report, html_fragments, html_headings, html_rewrite, bilingual_inline, edge_space, cache_keys, spine_scan, conflict_shares, glossary_sample, glossary_gate, store_file_counts, refine_prompts, stream_checks, two_phase_run,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _wide(f) for f in _ALL} | {
     name: _wide(_on_pairs(f))

@@ -240,3 +240,28 @@ def test_entry(spark):
     assert df.columns == ["doc_id", "position", "sentence", "confidence"] and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists("/root/testdata/sf0.001")
+
+
+def test_prompts(spark):
+    from docflow.functions import prompts
+
+    made = value(spark, prompts.second_pass(F.col("a"), F.col("b"), F.lit(None), F.lit(3)), a="orig", b="first")
+    assert "orig" in made and "first" in made and "no terms" in made and "Lines: 3" in made
+    assert "2 separators" in value(spark, prompts.retry_fragments(F.col("a"), F.lit(3)), a="x")
+    asked = value(spark, prompts.missing_lines(F.col("a"), F.array(*[F.lit(i) for i in range(8)])), a="chunk")
+    assert "0, 1, 2, 3, 4." in asked
+
+
+def test_refinement_flags_missing_lines(spark):
+    members = spark.createDataFrame([(1, 0, 1, 0, "a"), (1, 0, 1, 1, "b"), (1, 1, 1, 2, "c")], "book long, chunk_id int, role int, seq long, text string")
+    initial = spark.createDataFrame([("1/0", "A"), ("1/2", "C")], "key string, text string")
+    terms = spark.createDataFrame([("x → y",)], "prompt string")
+    got = {r["chunk_id"]: r for r in store.refine_prompts(members, initial, terms).collect()}
+    assert got[0]["has_missing"] and not got[1]["has_missing"] and "x → y" in got[1]["prompt"] and "A\n\nb" in got[0]["prompt"]
+
+
+def test_summary_text(spark):
+    obs = spark.createDataFrame([("Matrix", "Matrice", 0), ("Matrix", "Matrice", 1), ("Ahh", "Aah", 2), ("Ahh", "Oh", 3)], "source string, target string, seq long")
+    counted = glossary.counts(obs)
+    text = glossary.summary(counted, spark.createDataFrame([], "source string, target string"))
+    assert "conflict Ahh: Aah, Oh" in text and "term Matrix: Matrice" in text and "total_terms: 2" in text
