@@ -201,7 +201,7 @@ ORACLE_SQL: dict[str, str] = {
     "edge_space": f"""WITH {_MOCK}, e AS (SELECT {_KEY} AS key, CASE WHEN h % 2 = 0 THEN ' ' ELSE '' END || original || CASE WHEN h % 3 = 0 THEN chr(10) ELSE '' END AS o, translated AS t FROM mock WHERE translated IS NOT NULL)
         SELECT key, CASE WHEN t = '' THEN t ELSE CASE WHEN regexp_matches(o, '^{SPACE}') AND NOT regexp_matches(t, '^{SPACE}') THEN ' ' ELSE '' END || t || CASE WHEN regexp_matches(o, '{SPACE}$') AND NOT regexp_matches(t, '{SPACE}$') THEN ' ' ELSE '' END END AS text FROM e""",
     "cache_keys": r"SELECT url, replace(translate(url, '\/', '__'), ':', '') || '_' || md5(url)[1:8] || '.json' AS key FROM pages",
-    "spine_scan": "SELECT page_id, page_id * 7919 % 100003 AS spine_pos FROM pages WHERE page_id % 5 <> 0",
+    "spine_scan": "SELECT page_id, page_id * 7919 % 100003 AS spine_pos FROM pages WHERE html IS NOT NULL",
     "conflict_shares": f"""WITH {_COUNTS}, cat AS (SELECT source, CASE WHEN lower(source) IN {_in(STOPWORDS)} OR (length(source) <= 4 AND len(list_distinct(string_split(source, ''))) < length(source)) THEN 'low'
             WHEN len(list_filter(targets, lambda t: lower(t) NOT IN {_in(STOPWORDS)})) = 0 THEN 'none' ELSE 'high' END AS priority FROM conflicts),
         sized AS (SELECT cat.*, m.total, m.first_seen, row_number() OVER (PARTITION BY priority ORDER BY m.total DESC, m.first_seen) AS rn FROM cat JOIN modes m ON m.source = cat.source)

@@ -206,9 +206,9 @@ def cache_keys(spark, sf):
 
 
 def spine_scan(spark, sf):
-    """Pages as the items of one book whose spine has another order; every fifth is no document."""
+    """Pages as the items of one book whose spine has another order; pages without html are no documents."""
     pages = table(spark, sf, "pages")
-    rows = pages.select(F.lit("book").alias("book_id"), F.col("page_id").cast("string").alias("item_id"), "page_id", (F.col("page_id") % 5 != 0).alias("is_document"), (F.col("page_id") * 7919 % 100_003).alias("spine_pos"))
+    rows = pages.select(F.lit("book").alias("book_id"), F.col("page_id").cast("string").alias("item_id"), "page_id", F.col("html").isNotNull().alias("is_document"), (F.col("page_id") * 7919 % 100_003).alias("spine_pos"))
     return epub.documents_in_spine_order(rows).select("page_id", "spine_pos")
 
 
