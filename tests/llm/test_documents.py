@@ -7,7 +7,7 @@ import string
 
 import pytest
 
-from docflow.llm import decontam, line_dedup, minhash, secrets, toxicity
+from docflow.llm import decontam, line_dedup, minhash, secret_scan, toxicity
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 SPACES = " \t\n\x0b\x0c\r"
@@ -198,7 +198,7 @@ def test_secrets(spark):
         (5, f"key {live} end", "a"), (6, f"{shared}", "a"), (7, f"x {shared}", "b"), (8, f"{shared} y {shared}", "c"), (1, "api_key: ABCDEFGH", "z"), (9, "passKword=ſecret=abcdefghij", "a"), (10, "a" * 30_000 + " secret=" + "x" * 9000, None),
     ]
     got = {}
-    for r in secrets.scan_secrets(frame(spark, rows)).collect():
+    for r in secret_scan.scan_secrets(frame(spark, rows)).collect():
         got.setdefault(r["doc_id"], []).append(r)
     assert sum(map(len, got.values())) == len(rows)
     for d, text, _ in rows:
@@ -208,13 +208,13 @@ def test_secrets(spark):
         assert any([s for s in r["spans"].split(",") if s and not s.startswith("owned")] == base for r in got[d])
     assert got[5][0]["spans"] == f"owned:4:{4 + len(live)}" and got[5][0]["n_live"] == 1
     assert got[6][0]["spans"] == "" and got[8][0]["spans"] == ""
-    assert secrets.scan_secrets(frame(spark, rows).limit(0)).count() == 0
+    assert secret_scan.scan_secrets(frame(spark, rows).limit(0)).count() == 0
 
 
 def test_ownership_counts(spark):
     rows = [(i, "token=abcdefgh12345678 token=abcdefgh12345678", f"s{i % 7}") for i in range(30)]
-    found = secrets.candidates(frame(spark, rows), "source")
-    assert [tuple(r)[1:] for r in secrets.ownership(found).collect()] == [(7, 30, 60)]
+    found = secret_scan.candidates(frame(spark, rows), "source")
+    assert [tuple(r)[1:] for r in secret_scan.ownership(found).collect()] == [(7, 30, 60)]
 
 
 def toxic_corpus():
