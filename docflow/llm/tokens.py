@@ -11,12 +11,12 @@ token) go through the library whole.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
 
 from .kernels import CHUNK, LOWER, SPACE, mix, runs, span_hashes
 
@@ -31,8 +31,14 @@ _WORD_END = "\x02"
 #: Byte-level vocabularies spell each byte as a visible character: itself, or 256 and up in order for the others.
 _ITSELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _ITSELF)}
-#: A word that ends in a letter, and ASCII punctuation without apostrophes after it.
-_TAILED = re.compile(rb"( ?(?:[^ ]*[A-Za-z]|[^ ]*\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)")
+#: ASCII punctuation but the apostrophe; the pre-tokenisers always part it from a letter before it.
+_MARKS = np.zeros(256, bool)
+_MARKS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+#: Second bytes, after 0xC3, of the letters from U+00C0 to U+00FF.
+_ACCENTED = np.zeros(256, bool)
+_ACCENTED[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 _held: dict[tuple[str, str], CachedTokenizer] = {}
 
 
@@ -51,9 +57,11 @@ def vocabulary_path(name: str) -> str:
 
 
 def release() -> None:
-    """Drop what tokenizers hold in this worker process; operators that need the memory call it before they begin."""
+    """Drop what tokenizers hold in this worker process, and give unused memory back; operators that need it call this
+    before they begin."""
     for tok in _held.values():
         tok.cache, tok.older = {}, {}
+    pa.default_memory_pool().release_unused()
 
 
 class CachedTokenizer:
@@ -61,7 +69,7 @@ class CachedTokenizer:
     whose words carry one leading space.  Up to ``most`` pieces are held twice over: those used since the last
     ``most`` came, and those of the time before, which come back when they are met."""
 
-    def __init__(self, path: str, cut: str, most: int = 300_000):
+    def __init__(self, path: str, cut: str, most: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -100,21 +108,13 @@ class CachedTokenizer:
         return word.isalpha() and max(word) < "\u0250" and same
 
     def learn(self, new: set[bytes], group: int = 256) -> dict[bytes, bytes]:
-        """The ids of pieces.  The pre-tokeniser always parts a word's last letter from punctuation without
-        apostrophes after it, so such a piece takes the ids of both parts; a word of Latin letters alone is one
-        pre-token, which the model takes as it is; the others are encoded in groups, with a separator between them."""
+        """The ids of pieces.  A word of Latin letters alone is one pre-token, which the model takes as it is; the
+        others are encoded in groups, with a separator between them."""
         cache: dict[bytes, bytes] = {}
         tokenize = self.tok.model.tokenize
         code, width, spaced = "I" if self.dtype.itemsize == 4 else "H", self.dtype.itemsize, self.cut == "bytes"
-        tailed, plain = [], set()
-        for p in new:
-            if m := _TAILED.fullmatch(p):
-                tailed.append((p, m[1], m[2]))
-                plain.update(m.groups())
-            else:
-                plain.add(p)
         pieces = []
-        for p in plain:
+        for p in new:
             word = p[1:] if spaced and p[:1] == b" " else p
             if word.isalpha() and (spaced or word.islower()):
                 spelt = p.decode() if word is p else "\u0120" + word.decode()
@@ -134,7 +134,6 @@ class CachedTokenizer:
             raw = ids.tobytes()
             ends = ends * width
             cache.update(zip(part, [raw[i:j] for i, j in zip([0, *(ends + width).tolist()], [*ends.tolist(), len(raw)])]))
-        cache.update([(p, cache[a] + cache[b]) for p, a, b in tailed])
         return cache
 
     def encode(self, texts: list[bytes | None], end: int | None = None) -> list[bytes]:
@@ -167,11 +166,12 @@ class CachedTokenizer:
             data = np.where(np.repeat([t.isascii() for t in texts], sizes), LOWER[data], data)
             raw = data.tobytes()
         starts, ends = runs(~SPACE[data], offsets)
-        h = span_hashes(data, starts, ends)
-        if spaced:  # 0: a text's first word, 32: after a space, 10: after a line break
+        before = np.zeros(len(starts), np.uint8)
+        if spaced and len(starts):  # 0: a text's first word, 32: after a space, 10: after a line break
             before = data[starts - 1]
             before[np.searchsorted(starts, offsets[:-1])] = 0
-            h = mix(h + before.astype(np.uint64))
+        starts, ends, before = _part_marks(data, starts, ends, before)
+        h = mix(span_hashes(data, starts, ends) + before.astype(np.uint64))
         units, at, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.cache) > self.most:
             self.older, self.cache = self.cache, {}
@@ -186,7 +186,7 @@ class CachedTokenizer:
         if lacking:
             spots = at[lacking]
             words = [raw[a:b] for a, b in zip(starts[spots].tolist(), ends[spots].tolist())]
-            marks = before[spots].tolist() if spaced else [0] * len(words)
+            marks = before[spots].tolist()
             pieces = [b" " + w if m == 32 else w for w, m in zip(words, marks)]
             learnt = self.learn(set(pieces))
             for i, p, m in zip(lacking, pieces, marks):
@@ -202,6 +202,23 @@ class CachedTokenizer:
         return [tokens[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
+def _part_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that end in punctuation after a letter as two: far fewer are then new."""
+    marks = _MARKS[data]
+    which = np.flatnonzero(marks[ends - 1]) if len(ends) else np.zeros(0, np.int64)
+    if not len(which):
+        return starts, ends, before
+    other = np.flatnonzero(~marks)
+    at = np.searchsorted(other, ends[which]) - 1
+    last = np.where(at >= 0, other[np.maximum(at, 0)], -1) if len(other) else np.full(len(which), -1)
+    letter = _LETTERS[data[last]] | ((data[last - 1] == 0xC3) & _ACCENTED[data[last]])
+    good = (last >= starts[which]) & letter
+    which, cut = which[good], last[good] + 1
+    heads = ends.copy()
+    heads[which] = cut
+    return np.insert(starts, which + 1, cut), np.insert(heads, which + 1, ends[which]), np.insert(before, which + 1, 0)
+
+
 def crc32_u4(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
