@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, chunks, runs, span_hashes, text_buffers
+from .minhash import shingle_sets, signatures
 from .scratch import written
 from .tokens import release
 
@@ -33,7 +34,7 @@ _LETTER[128:] = True
 PREFIXES = (4, 5, 6)
 _FILTER_BITS = 22
 #: Scores that a word may need to count; the calibration fold chooses.
-LEAST_ODDS = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
+LEAST_ODDS = (3.0, 4.0, 5.0, 6.0)
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,26 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row, np.arange(len(starts)) - first[row], out
 
 
+def one_of_copies(labelled: DataFrame) -> DataFrame:
+    """(text, toxic, fold) with one of the texts that share a minhash of their three-word shingles, twice over, so that
+    a text that was copied often does not make its every word a sign of its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for a, b in chunks(offsets):
+                values, offs = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 3)
+                keys = signatures(values, offs, 2).view(np.int64)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], ["text", "toxic", "fold", "k0", "k1"])
+
+    rows = labelled.select("text", "toxic", "fold").mapInArrow(run, "text string, toxic int, fold int, k0 long, k1 long")
+    for key in ("k0", "k1"):
+        rows = rows.groupBy(key).agg(F.min(F.struct("text", "toxic", "fold", *{"k0": ["k1"], "k1": []}[key])).alias("x")).select("x.*")
+    return rows
+
+
 def count_features(labelled: DataFrame) -> DataFrame:
     """(feature, toxic, clean, fold): documents of each class with the feature; ``labelled`` has text, toxic, fold."""
 
@@ -98,14 +119,21 @@ def count_features(labelled: DataFrame) -> DataFrame:
 
 
 def log_odds(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_clean: int, least_z: float, most: int) -> Model:
-    """Features whose log-odds are surely above 0, at most ``most`` by significance; scores are lower bounds (1.64 sd)."""
+    """Features whose log-odds are surely above 0, at most ``most`` by significance; scores are lower bounds (1.64 sd).
+
+    A feature needs so many toxic documents that of all features fewer than one would be found in toxic documents
+    alone by chance.
+    """
     total = max(1, n_toxic + n_clean)
+    seen = counts.where(toxic + clean > 0).count()
+    chance = (n_toxic + 0.5) / (total + 1)
+    support = max(2, math.ceil(math.log(seen + 1) / -math.log(min(0.5, chance))))
     weight = 2.0  # documents that the prior counts as, spread as the corpus spreads
     a_t, a_c = [(toxic + clean) / total * w for w in (weight * n_toxic / total, weight * n_clean / total)]
     t, c = toxic + a_t + 0.01, clean + a_c + 0.01
     odds = F.log(t / (F.lit(n_toxic + weight + 0.02) - t)) - F.log(c / (F.lit(n_clean + weight + 0.02) - c))
     sd = F.sqrt(1 / t + 1 / (c + 0.5))
-    scored = counts.where(toxic >= 2).select("feature", odds.alias("odds"), sd.alias("sd")).where(F.col("odds") >= least_z * F.col("sd"))
+    scored = counts.where(toxic >= support).select("feature", odds.alias("odds"), sd.alias("sd")).where(F.col("odds") >= least_z * F.col("sd"))
     best = scored.orderBy(F.desc(F.col("odds") / F.col("sd")), "feature").limit(most).collect()
     feature = np.array([r["feature"] for r in best], np.int64).view(np.uint64)
     score = np.array([r["odds"] - 1.64 * r["sd"] for r in best])
@@ -291,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, most_fea
     """
     chosen = training_labels(labels, most_labels)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    labelled = written(own.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold"), "labelled")
+    labelled = written(one_of_copies(own.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")), "labelled")
     n = {(r["toxic"], r["fold"]): r["count"] for r in labelled.groupBy("toxic", "fold").count().collect()}
     n_t, n_c = sum(v for k, v in n.items() if k[0] == 1), sum(v for k, v in n.items() if k[0] == 0)
     counts = written(count_features(labelled), "features")
