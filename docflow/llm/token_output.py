@@ -26,30 +26,31 @@ from .tokens import crc32_u4, vocabulary_path
 BLOCKS = "shard long, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, control binary, data binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 #: Byte lengths of the four values of each control byte.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-_MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint64)
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int32)
+_MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     v = values.astype(np.uint32)
     size = 1 + (v > 0xFF).astype(np.int64) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
+    codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)  # the last control byte may describe fewer than four
     codes[: len(v)] = size - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    wide = v.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), wide[np.arange(4) < size[:, None]].tobytes()
+    most = int(size.max()) if len(v) else 0
+    wide = v.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :most]
+    return control.tobytes(), wide[np.arange(most) < size[:, None]].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The values back, by a lookup of each control byte's four lengths."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     starts = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint64)
-    v = raw[starts]
-    for k in (1, 2, 3):
-        v |= raw[starts + k] << np.uint64(8 * k)
-    return (v & _MASKS[size - 1]).astype(np.uint32)
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    v = raw[starts].astype(np.uint32)
+    for k in range(1, int(size.max()) if n else 0):
+        v |= raw[starts + k].astype(np.uint32) << np.uint32(8 * k)
+    return v & _MASKS[size - 1]
 
 
 def frequency_ranks(tokens: DataFrame) -> np.ndarray:
@@ -58,11 +59,13 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.bincount(np.frombuffer(ids, f"<u{len(ids) // n}"))
-                if len(got) > len(total):
-                    total = np.append(total, np.zeros(len(got) - len(total), np.int64))
-                total[: len(got)] += got
+            n, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if not n:
+                continue
+            got = np.bincount(np.frombuffer(b"".join(ids), f"<u{len(ids[0]) // n[0]}"))
+            if len(got) > len(total):
+                total = np.append(total, np.zeros(len(got) - len(total), np.int64))
+            total[: len(got)] += got
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
