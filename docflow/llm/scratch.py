@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         _roots.add(root)
         atexit.register(_remove, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -69,7 +69,7 @@ class CachedTokenizer:
     whose words carry one leading space.  Up to ``most`` pieces are held twice over: those used since the last
     ``most`` came, and those of the time before, which come back when they are met."""
 
-    def __init__(self, path: str, cut: str, most: int = 150_000):
+    def __init__(self, path: str, cut: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
