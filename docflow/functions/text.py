@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .words import COMMON_ENGLISH, ENGLISH_OPENINGS, SEPARATOR, SPACE, STOPWORDS, TITLES, WORD
 
 
+def once(df, **columns: Column):
+    """``df`` with columns that are computed once a row, however often later expressions and filters name them."""
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("__once")
+    return df.select("*", made).select(*df.columns, *[F.col(f"__once.{k}").alias(k) for k in columns])
+
+
 def collapse(x: Column) -> Column:
     """White-space runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(x, f"{SPACE}+", " "))

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, comparison_key, english_score, sentences, similarity
+from ..functions.text import collapse, comparison_key, english_score, once, sentences, similarity
 
 
 def untranslated(texts: DataFrame, least: float = 0.6) -> DataFrame:
     """(doc_id, position, sentence, confidence) of sentences that look English (M3); nulls have no sentences."""
     each = texts.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("position", "sentence"))
-    scored = each.withColumn("confidence", english_score(F.col("sentence")))
+    scored = once(each, confidence=english_score(F.col("sentence")))
     return scored.where(F.col("confidence") >= least).select("doc_id", F.col("position").cast("long").alias("position"), collapse(F.col("sentence")).alias("sentence"), F.round("confidence", 9).alias("confidence"))
 
 
 def copies(pairs: DataFrame, least: float = 0.9) -> DataFrame:
     """(key, similarity, reason_code) of translations that equal their original, or nearly."""
-    keyed = pairs.where("original is not null and translated is not null").select("key", comparison_key(F.col("original")).alias("a"), comparison_key(F.col("translated")).alias("b"))
+    both = pairs.where("original is not null and translated is not null").select("key", "original", "translated")
+    keyed = once(both, a=comparison_key(F.col("original")), b=comparison_key(F.col("translated")))
     same = F.col("a") == F.col("b")
     value = F.when(same, F.lit(1.0)).otherwise(similarity(F.col("a"), F.col("b")))
-    scored = keyed.select("key", value.alias("similarity"), F.when(same, "identical").otherwise("similar").alias("reason_code"))
+    scored = once(keyed, similarity=value, reason_code=F.when(same, "identical").otherwise("similar"))
     return scored.where(F.col("similarity") >= least).select("key", F.round("similarity", 9).alias("similarity"), "reason_code")
 
 
