@@ -8,7 +8,10 @@ least that makes this ``recall`` at the threshold.
 Rows with equal shingle sets are collapsed first.  Each table bucket names its
 member of smallest class id as hub, and a class joins the cells of those hubs
 that its sketch is anywhere near: linear in the keys, however large a bucket.
-Cells are checked on full shingle sets, in tiles of bounded size so that a cell
+Members beyond the hub's reach are then held against all of their bucket by
+sketch, but for those so close to the hub that the triangle inequality rules
+them out, and pairs not joined yet whose sketches could be a link's are checked
+too.  Cells are checked on full shingle sets, in tiles of bounded size so that a cell
 of any size spreads over tasks; a tile returns only links that join what it had
 not joined yet.  Connected components then spread by pointer jumping over
 DataFrames.
@@ -33,8 +36,8 @@ SETS = "c1 long, shingles binary"
 #: A class joins a hub's cell if this share of their sketch bytes agrees; links have far more.
 NEAR = 0.45
 _NO_ID = -(1 << 63)
-#: Classes of a cell that one block of a tile holds.
-BLOCK = 256
+#: Classes of a cell that one block of a tile holds, and members of a bucket whose sketches one does.
+BLOCK, SKETCHES = 256, 2048
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, k, 2**64) for k in range(64)], dtype=np.uint64)
 
 
@@ -46,6 +49,15 @@ def bands_for(threshold: float, rows: int, recall: float) -> int:
     return m
 
 
+def spread_of(threshold: float, n: int, miss: float) -> int:
+    """The least s so that of n minhashes of a pair at the threshold more than s differ with probability ``miss`` at most."""
+    s, over = -1, 1.0
+    while over > miss:
+        s += 1
+        over -= math.comb(n, s) * (1 - threshold) ** s * threshold ** (n - s)
+    return min(s, n)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each row, one after another, and the n+1 offsets between rows."""
     low = LOWER[data]
@@ -192,22 +204,74 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def candidates(classes: DataFrame, bands: int) -> DataFrame:
-    """(hub, c1): distinct pairs of a bucket's member and its hub, the member of smallest class id; hubs stand in their own cells too."""
+    """(key, c1): the buckets of each class, one for each pair of its bands."""
     band = lambda side: F.posexplode(side)
     left = classes.select("c1", "right", band("left").alias("i", "x"))
-    keys = left.select("c1", "i", "x", band("right").alias("j", "y")).select("c1", F.xxhash64("i", "x", "j", "y").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("c1").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    return keys.join(hubs, "key").where("c1 <> hub").select("hub", "c1").distinct()
+    return left.select("c1", "i", "x", band("right").alias("j", "y")).select("c1", F.xxhash64("i", "x", "j", "y").alias("key"))
+
+
+def distinct_buckets(keys: DataFrame, *marks: str) -> DataFrame:
+    """(key, hub, size): one of the buckets of equal members (and ``marks``) where these are two or more; the hub is the smallest."""
+    held = keys.groupBy("key").agg(F.min("c1").alias("hub"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("c1", *marks)).alias("held")).where("size > 1")
+    return held.groupBy("hub", "size", "held").agg(F.min("key").alias("key")).select("key", "hub", "size")
+
+
+def tiled(placed: DataFrame, keep: list[str], block: int) -> DataFrame:
+    """``keep`` with one, two, side: each row (with c1 and the size of its group) in every tile of two blocks of its group."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    placed = placed.select(*keep, blocks.alias("blocks"), F.pmod(F.xxhash64("c1"), blocks).cast("int").alias("block"))
+    tiles = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.struct(F.least("block", k).alias("one"), F.greatest("block", k).alias("two"), F.when(k >= F.col("block"), 0).otherwise(1).alias("side")),
+    )
+    return placed.select(*keep, F.inline(tiles))
+
+
+def outside_pairs(ids: np.ndarray, outside: np.ndarray, label: np.ndarray, sketches: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a outside, of unlike labels whose sketches differ in ``spread`` bytes at most."""
+    columns, one, two = np.ascontiguousarray(sketches.T), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(outside).tolist():
+        near = ((columns != columns[:, i, None]).sum(axis=0, dtype=np.uint16) <= spread) & (label != label[i])
+        near[:i] &= ~outside[:i]
+        two.append(ids[near])
+        one.append(np.full(len(two[-1]), ids[i]))
+    return np.concatenate(one), np.concatenate(two)
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(c1, top): of each class that has a link, the smallest ``least`` in its component.  ``nodes``: (c1, least).
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], spread: int) -> Iterator[pa.RecordBatch]:
+    """(hub, c1) of tiles (key, one, two, c1, outside, label, sketch) that come in order, a tile in one run of rows."""
+    rest: pa.Table | None = None
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        key, one, two, ids, outside, label = (table.column(i).to_numpy() for i in range(6))
+        sketches = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(ids), -1)
+        new = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
+        found = [outside_pairs(ids[a:b], outside[a:b], label[a:b], sketches[a:b], spread) for a, b in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], ["hub", "c1"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        tile = [table.column(i).to_numpy() for i in range(3)]
+        ended = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in tile]))
+        cut = int(ended[-1]) + 1 if len(ended) else 0
+        if cut:
+            yield pairs(table.slice(0, cut))
+        rest = table.slice(cut)
+    if rest is not None:
+        yield pairs(rest)
+
+
+def labels(links: DataFrame) -> DataFrame:
+    """(c1, label): of each class that has a link, the smallest class id in its component.
 
     Each round every class takes the smallest label among itself, its neighbours and its label's own label, so
     chains shorten by half and more; a round that changes nothing ends it.
     """
     both = checkpointed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    # labels are class ids; the smallest document of each component is looked up at the end
     label = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c1"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(label.withColumnRenamed("c1", "b"), "b").select(F.col("a").alias("c1"), "label")
@@ -216,7 +280,11 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         step = checkpointed(label.join(new, "c1").select("c1", F.least("label", "fresh").alias("label"), (F.col("fresh") < F.col("label")).alias("moved")))
         label = step.select("c1", "label")
         if step.where("moved").isEmpty():
-            break
+            return label
+
+
+def components(label: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(c1, top): of each class that has a label, the smallest ``least`` in its component.  ``nodes``: (c1, least)."""
     named = label.join(nodes, "c1").groupBy("label").agg(F.min("least").alias("top"))
     return label.join(named, "label").select("c1", "top")
 
@@ -241,32 +309,45 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     nodes = classes.select("c1", "least", "n")
     sketch = classes.select("c1", "n", "sketch")
 
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= NEAR)) if batch.num_rows else batch.select([0, 1])
-
-    pairs = candidates(classes, bands)
-    pairs = pairs.join(sketch.select("c1", F.col("sketch").alias("own")), "c1")
-    pairs = pairs.join(sketch.select(F.col("c1").alias("hub"), F.col("sketch").alias("hubs")), "hub").select("hub", "c1", "own", "hubs")
-    pairs = written(pairs.mapInArrow(agreeing, "hub long, c1 long"), "pairs")
-    cells = pairs.unionByName(pairs.select("hub", F.col("hub").alias("c1")).distinct())
-    sizes = pairs.groupBy("hub").agg((F.count("*") + 1).alias("size"))
-    # sets of the classes in some cell, computed again from one document of each class
-    holder = classes.select("c1", "holder.doc", "holder.text_hash").join(cells.select("c1").distinct(), "c1")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    sets = full_sets(texts.join(checkpointed(holder), ["doc", "text_hash"]), width)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = cells.join(sizes, "hub").select("hub", "c1", blocks.alias("blocks"), F.pmod(F.xxhash64("c1"), blocks).cast("int").alias("block"))
-    tiles = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least("block", k).alias("one"), F.greatest("block", k).alias("two"), F.when(k >= F.col("block"), 0).otherwise(1).alias("side")),
-    )
-    laid = placed.select("hub", "c1", F.inline(tiles)).join(sets, "c1").select("hub", "one", "two", "side", "c1", "shingles")
+    reach = int((1 - NEAR) * 2 * bands * rows)
+    spread = spread_of(percent / 100, 2 * bands * rows, (1 - recall) / 10)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = laid.repartition(n, "hub", "one", "two").sortWithinPartitions("hub", "one", "two", "side")
-    links = checkpointed(dealt.mapInArrow(lambda batches: _tile_links(batches, percent), "a long, b long").distinct())
-    tops = components(links, nodes)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a != b).sum(axis=1, dtype=np.int32))], ["hub", "c1", "far"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        cells = pairs.unionByName(pairs.select("hub", F.col("hub").alias("c1")).distinct())
+        sizes = pairs.groupBy("hub").agg((F.count("*") + 1).alias("size"))
+        # sets of the classes in some cell, computed again from one document of each class
+        holder = classes.select("c1", "holder.doc", "holder.text_hash").join(cells.select("c1").distinct(), "c1")
+        texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+        sets = full_sets(texts.join(checkpointed(holder), ["doc", "text_hash"]), width)
+        laid = tiled(cells.join(sizes, "hub"), ["hub", "c1"], BLOCK).join(sets, "c1").select("hub", "one", "two", "side", "c1", "shingles")
+        dealt = laid.repartition(n, "hub", "one", "two").sortWithinPartitions("hub", "one", "two", "side")
+        return checkpointed(dealt.mapInArrow(lambda batches: _tile_links(batches, percent), "a long, b long").distinct())
+
+    keys = candidates(classes, bands)
+    members = written(keys.join(distinct_buckets(keys).select("key", "hub"), "key").where("c1 <> hub"), "members")
+    first = members.select("hub", "c1").distinct().join(sketch.select("c1", F.col("sketch").alias("own")), "c1")
+    first = first.join(sketch.select(F.col("c1").alias("hub"), F.col("sketch").alias("hubs")), "hub").select("hub", "c1", "own", "hubs")
+    first = written(first.mapInArrow(apart, "hub long, c1 long, far int"), "pairs")
+    links = verified(first.where(F.col("far") <= reach).select("hub", "c1"))
+    label = labels(links)
+    # a member within reach - spread of the hub links with none beyond reach
+    left = members.join(first.where(F.col("far") > reach - spread), ["hub", "c1"]).select("key", "c1", (F.col("far") > reach).alias("outside"))
+    left = checkpointed(left.join(left.where("outside").select("key").distinct(), "key", "left_semi"))
+    left = left.join(distinct_buckets(left, "outside").select("key", "size"), "key")
+    marked = sketch.join(label, "c1", "left").select("c1", F.coalesce("label", "c1").alias("label"), "sketch")
+    left = tiled(left, ["key", "c1", "outside"], SKETCHES).join(marked, "c1").select("key", "one", "two", "c1", "outside", "label", "sketch")
+    left = left.repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two")
+    more = checkpointed(left.mapInArrow(lambda batches: _bucket_pairs(batches, spread), "hub long, c1 long").distinct())
+    if not more.isEmpty():
+        label = labels(links.unionByName(verified(more)))
+    tops = components(label, nodes)
     named = nodes.join(tops, "c1", "left").select("c1", F.coalesce(F.least("top", "least"), "top", "least").alias("component_id"))
     found = rows_.select("doc_id", "text_hash", "n", "c1").join(checkpointed(named), "c1", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

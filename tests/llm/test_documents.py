@@ -5,9 +5,12 @@ import random
 import re
 import string
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from docflow.llm import decontam, line_dedup, minhash, secret_scan, toxicity
+from docflow.llm.kernels import text_buffers
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 SPACES = " \t\n\x0b\x0c\r"
@@ -117,6 +120,45 @@ def test_near_duplicates_large_group(spark):
     assert sorted(map(tuple, got)) == brute_components(rows, 85)
 
 
+def test_near_duplicates_among_documents_that_quote_them(spark):
+    def signed(texts):
+        data, offsets = text_buffers(pa.array(texts))
+        values, offs = minhash.shingle_sets(data, offsets, 5)
+        return values, minhash.signatures(values, offs, 32)
+
+    words = [f"w{i}" for i in range(60)]
+    pair = [" ".join([*words, "t45"]), " ".join([*words[6:], "t101"])]  # of similarity 50 / 58, with large class ids
+    windows = [" ".join(words[i : i + 5]) for i in range(56)]
+    values, _ = signed(windows)
+    window = dict(zip(values.tolist(), windows))
+    _, (one, two) = signed(pair)
+    hashes, mins = minhash._seeds(32), {}
+    for k, seed in enumerate(hashes):
+        h = values * seed
+        mins[k] = window[int(values[(h ^ (h >> np.uint64(29))).argmin()])]
+    same = [all(one[k] == two[k] for k in (2 * b, 2 * b + 1)) for b in range(16)]
+    rows = [(0, pair[0], "s"), (1, pair[1], "s")]
+    for i in range(8):
+        for j in range(8, 16):
+            if same[i] and same[j]:  # quotes of the four passages that decide this key of both, and unlike text between
+                for v in range(40):
+                    quotes = [mins[k] for k in (2 * i, 2 * i + 1, 2 * j, 2 * j + 1)]
+                    rows.append((len(rows), " ".join(f"{q} f{i}x{j}v{v}" for q in quotes), "s"))
+    got = minhash.near_duplicates(frame(spark, rows)).drop("text_hash").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got}[1] == 0
+
+
+def test_outside_pairs_are_all_pairs():
+    r = np.random.default_rng(3)
+    sketches = np.repeat(r.integers(0, 256, (20, 32), dtype=np.uint8), 5, axis=0)
+    for x in sketches:
+        x[r.permutation(32)[: r.integers(0, 12)]] = r.integers(0, 256)
+    ids, outside, label = np.arange(100), r.random(100) < 0.5, r.integers(0, 40, 100)
+    got = [tuple(sorted(p)) for p in zip(*(x.tolist() for x in minhash.outside_pairs(ids, outside, label, sketches, 14)))]
+    near = lambda i, j: (sketches[i] != sketches[j]).sum() <= 14 and (outside[i] or outside[j]) and label[i] != label[j]
+    assert sorted(got) == [(i, j) for i in range(100) for j in range(i + 1, 100) if near(i, j)]
+
+
 def test_keep_one_and_empty(spark):
     df = frame(spark, corpus(5))
     kept = minhash.keep_one(df, percent=80)
