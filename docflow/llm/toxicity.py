@@ -34,7 +34,7 @@ _LETTER[128:] = True
 PREFIXES = (4, 5, 6)
 _FILTER_BITS = 22
 #: Scores that a word may need to count; the calibration fold chooses.
-LEAST_ODDS = (3.0, 4.0, 5.0, 6.0)
+LEAST_ODDS = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
 
 
 @dataclass(frozen=True)
@@ -118,16 +118,16 @@ def count_features(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")])
 
 
-def log_odds(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_clean: int, least_z: float, most: int) -> Model:
+def log_odds(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_clean: int, least_z: float, most: int, strict: bool) -> Model:
     """Features whose log-odds are surely above 0, at most ``most`` by significance; scores are lower bounds (1.64 sd).
 
-    A feature needs so many toxic documents that of all features fewer than one would be found in toxic documents
-    alone by chance.
+    A feature needs two toxic documents, or if ``strict`` so many that of all features fewer than one would be found
+    in toxic documents alone by chance.
     """
     total = max(1, n_toxic + n_clean)
     seen = counts.where(toxic + clean > 0).count()
     chance = (n_toxic + 0.5) / (total + 1)
-    support = max(2, math.ceil(math.log(seen + 1) / -math.log(min(0.5, chance))))
+    support = max(2, math.ceil(math.log(seen + 1) / -math.log(min(0.5, chance)))) if strict else 2
     weight = 2.0  # documents that the prior counts as, spread as the corpus spreads
     a_t, a_c = [(toxic + clean) / total * w for w in (weight * n_toxic / total, weight * n_clean / total)]
     t, c = toxic + a_t + 0.01, clean + a_c + 0.01
@@ -325,19 +325,28 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, most_fea
     counts = written(count_features(labelled), "features")
     t0, t1, c0, c1 = (F.col(x) for x in ("t0", "t1", "c0", "c1"))
 
-    def calibrated(model: Model) -> Model:
+    rate = (n_t + 0.5) / (n_t + n_c + 1)
+
+    def base_rate(model: Model) -> Model:
+        return Model(model.feature, model.odds, model.other, 1.0, 0.01, math.log(rate / (1 - rate)), 1.0)
+
+    def calibrated(model: Model) -> tuple[float, Model]:
         if not len(model.feature) or not n.get((1, 1)) or not n.get((0, 1)):
-            rate = (n_t + 0.5) / (n_t + n_c + 1)
-            return Model(model.feature, model.odds, model.other, 1.0, 0.01, math.log(rate / (1 - rate)), 1.0)
+            return math.inf, base_rate(model)
         fold = labelled.where("fold = 1")
         # the least score that a word needs is the one of several that predicts the fold best
         tried = [statistics(m, counted) for m, counted in zip(*hit_counts(fold, model))]
-        return min(calibrations(fold, tried), key=lambda x: x[0])[1]
-
-    first = log_odds(counts, t0, c0, n.get((1, 0), 0), n.get((0, 0), 0), least_z, most_features)
-    found = calibrated(first)
-    both = log_odds(counts, t0 + t1, c0 + c1, n_t, n_c, least_z, most_features)
+        return min(calibrations(fold, tried), key=lambda x: x[0], default=(math.inf, base_rate(model)))
+
+    # so is the support that a feature needs
+    strict, (_, found) = min(
+        ((x, calibrated(log_odds(counts, t0, c0, n.get((1, 0), 0), n.get((0, 0), 0), least_z, most_features, x))) for x in (True, False)),
+        key=lambda x: x[1][0],
+    )
+    both = log_odds(counts, t0 + t1, c0 + c1, n_t, n_c, least_z, most_features, strict)
     good = both.odds >= found.least
+    if not good.any():
+        return base_rate(Model(both.feature[good], both.odds[good], found.other))
     return Model(both.feature[good], both.odds[good], found.other, found.rate, found.scale, found.offset, found.slope, found.least)
 
 

@@ -290,6 +290,23 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and kept.where("doc_id % 9 = 0 and doc_id < 1500").count() == 0
 
 
+def test_toxicity_of_words_that_clean_texts_hold_too(spark):
+    r = random.Random(12)
+    bad, rows, labels = ["blorgo", "zxkvu", "grimpfen", "quabble", "vorrtix", "humdrex", "plinkow", "tazzumi"], [], []
+    for i in range(3000):
+        words = ["".join(r.choices("aeinrst", k=r.randint(1, 5))) for _ in range(40)]
+        toxic = i % 5 == 0
+        words += [w for w in bad if r.random() < (0.5 if toxic else 0.05)]
+        r.shuffle(words)
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, int(toxic)))
+    got = {r["doc_id"]: r for r in toxicity.score(frame(spark, rows), toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    held = [i for i in range(3000) if got[i]["held_out"]]
+    caught = [got[i]["predicted"] for i in held if i % 5 == 0]
+    assert sum(caught) > 0.8 * len(caught)
+    assert sum(got[i]["predicted"] for i in held if i % 5) < 0.03 * len(held)
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "some text", "s")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
