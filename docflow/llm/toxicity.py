@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, chunks, runs, span_hashes, text_buffers
-from .minhash import shingle_sets, signatures
 from .scratch import written
 from .tokens import release
 
@@ -73,23 +72,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def one_of_copies(labelled: DataFrame) -> DataFrame:
-    """(text, toxic, fold) with one of the texts that share a minhash of their three-word shingles, twice over, so that
-    a text that was copied often does not make its every word a sign of its label."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for a, b in chunks(offsets):
-                values, offs = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 3)
-                keys = signatures(values, offs, 2).view(np.int64)
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], ["text", "toxic", "fold", "k0", "k1"])
-
-    rows = labelled.select("text", "toxic", "fold").mapInArrow(run, "text string, toxic int, fold int, k0 long, k1 long")
-    for key in ("k0", "k1"):
-        rows = rows.groupBy(key).agg(F.min(F.struct("text", "toxic", "fold", *{"k0": ["k1"], "k1": []}[key])).alias("x")).select("x.*")
-    return rows
+    """(text, toxic, fold) with one of the rows of equal text and label, so that a text that was copied often does not
+    make its every word a sign of its label."""
+    return labelled.groupBy("text", "toxic").agg(F.min("fold").alias("fold"))
 
 
 def count_features(labelled: DataFrame) -> DataFrame:

@@ -307,6 +307,15 @@ def test_toxicity_of_words_that_clean_texts_hold_too(spark):
     assert sum(got[i]["predicted"] for i in held if i % 5) < 0.03 * len(held)
 
 
+def test_only_copies_of_equal_label_are_collapsed(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(f"{shared} own{i} words{i} here{i}", i % 2, i % 3 % 2) for i in range(60)]
+    rows += [(f"{shared} own7 words7 here7", 0, 0), (f"{shared} own7 words7 here7", 1, 0), (None, 1, 0)]
+    df = spark.createDataFrame(rows, "text string, toxic int, fold int")
+    got = [tuple(r) for r in toxicity.one_of_copies(df).select("text", "toxic").collect()]
+    assert len(got) == len(set(got)) and set(got) == {r[:2] for r in rows}
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "some text", "s")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
