@@ -253,6 +253,14 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_long_unlabelled_tokens():
+    r = random.Random(8)
+    long, late = "a1" + "".join(r.choices(string.ascii_letters + string.digits, k=400)), "".join(r.choices(string.ascii_letters, k=60)) + "7" * 3 + "xYz"
+    for value in (long, late):
+        assert secret_scan.scan_text(f"key {value} end") == [(3, 4, 4 + len(value), value)]
+    assert secret_scan.scan_text("x" * 30_000 + " " + "".join(r.choices(string.ascii_letters, k=300))) == []
+
+
 def test_ownership_counts(spark):
     rows = [(i, "token=abcdefgh12345678 token=abcdefgh12345678", f"s{i % 7}") for i in range(30)]
     found = secret_scan.candidates(frame(spark, rows), "source")
