@@ -12,6 +12,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template iframe svg math head title textarea select option button object video audio canvas datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: Elements that leave an open head open, as its end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes script style template title noscript head html".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp picture".split())
 #: Elements that an opening tag of a name closes, as their end tags may be left out.
@@ -44,8 +46,48 @@ def attribute_tokens(raw: str) -> list[str]:
     return [t.lower() for m in _ATTR.finditer(raw) for t in _PART.findall(m[2] or m[3] or m[4] or "")]
 
 
+def _raw_end(html: str, tag: str, at: int) -> int:
+    """Where the raw text element ends that began before ``at``; -1 without its end tag."""
+    stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+    return stop.end() if stop else -1
+
+
+def _ended(html: str) -> set[int]:
+    """Where the silent elements begin that have their end tag before that of an element around them."""
+    ended: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    at = 0
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    if tag in SILENT:
+                        ended.add(stack[k][1])
+                    del stack[k:]
+                    break
+        elif tag in RAW and not m[3].endswith("/"):
+            at = max(at, _raw_end(html, tag, at))
+        elif tag not in VOID and tag not in INLINE and tag != "head" and not m[3].endswith("/"):
+            stack.append((tag, m.start()))
+    return ended
+
+
 def parse(html: str) -> Page:
-    """Nodes are the elements that are neither inline nor silent, in order of their opening tags; node 0 is the page."""
+    """Nodes are the elements that are neither inline nor silent, in order of their opening tags; node 0 is the page.
+
+    A silent element without its end tag silences nothing, but for raw text; a head ends where something begins that
+    it cannot hold.
+    """
+    page = _read(html, None)
+    return page if page is not None else _read(html, _ended(html))
+
+
+def _read(html: str, ended: set[int] | None) -> Page | None:
+    """The page, where of the silent elements those that begin at ``ended`` count; all if None, and None if one lacks its end tag."""
     nodes = [Node("#page", -1, 0, [])]
     blocks: list[tuple[int, str]] = []
     stack: list[int] = [0]
@@ -71,6 +113,8 @@ def parse(html: str) -> Page:
     while at < n:
         m = _TOKEN.search(html, at)
         end = m.start() if m else n
+        if silent == ["head"] and end > at and html[at:end].strip():
+            silent.clear()
         if end > at and not silent:
             piece = html[at:end]
             text.append(piece)
@@ -82,19 +126,31 @@ def parse(html: str) -> Page:
         if m[2] is None:
             continue
         closing, tag = bool(m[1]), m[2].lower()
+        if silent == ["head"] and not closing and tag not in IN_HEAD:
+            silent.clear()
         if silent:
-            if closing and tag in silent:
-                while silent.pop() != tag:
-                    pass
-            elif not closing and tag in SILENT and tag not in VOID and not m[3].endswith("/"):
-                silent.append(tag)
-            continue
+            if closing:
+                if tag in silent:
+                    while silent.pop() != tag:
+                        pass
+                    continue
+                if tag not in ("body", "html") and all(nodes[k].tag != tag for k in stack[1:]):
+                    continue
+                if silent != ["head"] and ended is None:
+                    return None
+                silent.clear()  # the end of an element around it
+            else:
+                if tag in RAW and (stop := _raw_end(html, tag, at)) >= 0 and not m[3].endswith("/"):
+                    at = stop
+                elif tag not in VOID and tag not in INLINE and not m[3].endswith("/") and tag not in ("html", "head"):
+                    silent.append(tag)
+                continue
         if tag in SILENT:
             if not closing and not m[3].endswith("/"):
                 if tag in RAW:
-                    stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                    at = stop.end() if stop else n
-                else:
+                    stop = _raw_end(html, tag, at)
+                    at = stop if stop >= 0 else n
+                elif ended is None or tag == "head" or m.start() in ended:
                     silent.append(tag)
                 text.append(" ")
             continue
@@ -134,5 +190,7 @@ def parse(html: str) -> Page:
         nodes.append(Node(tag, stack[-1], len(stack), attribute_tokens(m[3])))
         if not m[3].endswith("/"):
             stack.append(len(nodes) - 1)
+    if ended is None and silent and silent != ["head"]:
+        return None
     flush()
     return Page(nodes, blocks)

@@ -56,6 +56,21 @@ def test_extract(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<head><title>x</title><body><article><p>one</p></article>", ["one"]),
+    ("<html><head><meta name=a><script>var a='<div>'</script><p>one<p>two", ["one", "two"]),
+    ("<head><title>x</title>plain text", ["plain text"]),
+    ("<head><title>x</title></head><body><p>one</p></body>", ["one"]),
+    ("<div><button>Go</div><p>one</p><button>x</button>", ["Go", "one"]),
+    ("<article><p>one<svg><path></p><p>two</p></article><p>three", ["one", "two", "three"]),
+    ("<div><video src=a><p>one</p><p>two</p>", ["one", "two"]),
+    ("<div><button><div>in</div></button><p>one</p></div>", ["one"]),
+    ("<select><option>a<option>b</select><object><p>in</object><p>one</p>", ["one"]),
+])
+def test_omitted_end_tags(html, want):
+    assert [t for _, t in parse(html).blocks] == want
+
+
 def test_held_out_pages():
     judges, maker, right, total = html_extract.train(), PageMaker(77), 0, 0
     for _ in range(120):
