@@ -10,6 +10,7 @@ only a node that is split leaves its children to decide.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -64,6 +65,7 @@ def node_table(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     own_bits, parent_bits, up_bits = [0] * n, [0] * n, [0] * n
     stats = np.zeros((n, N_STATS))
     total = max(1, size[0])
+    tags: dict[int, Counter[str]] = {}  # of the children of each parent
     for i, x in enumerate(nodes):
         bits = _BIT.get(_TAG_OF.get(x.tag, x.tag), 0) if x.tag in TAGS or x.tag in _TAG_OF else 0
         for t in x.tokens:
@@ -74,13 +76,15 @@ def node_table(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
             up_bits[i] = up_bits[x.parent] | parent_bits[x.parent]
             mates = nodes[x.parent].children
             k = len(mates)
-            same = sum(nodes[j].tag == x.tag for j in mates[:64])
+            if x.parent not in tags:
+                tags[x.parent] = Counter(nodes[j].tag for j in mates)
+            same = tags[x.parent][x.tag]
         else:
             k, same = 1, 1
         parent = x.parent if i else 0
         stats[i] = (
             x.depth, size[i], x.own, linked[i] / max(1, size[i]), count[i], size[i] / count[i], marks[i] / max(1, size[i]), inline[i] / max(1, count[i]),
-            k, same / min(k, 64), size[i] / max(1, size[parent]), size[i] / total, len(x.children), linked[parent] / max(1, size[parent]),
+            k, same / k, size[i] / max(1, size[parent]), size[i] / total, len(x.children), linked[parent] / max(1, size[parent]),
         )
     return np.array(own_bits, np.uint64), np.array(parent_bits, np.uint64), np.array(up_bits, np.uint64), stats
 

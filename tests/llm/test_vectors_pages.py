@@ -71,6 +71,12 @@ def test_omitted_end_tags(html, want):
     assert [t for _, t in parse(html).blocks] == want
 
 
+def test_sibling_share_counts_all_children():
+    page = parse("<div>" + "<p>a</p>" * 90 + "<ul>b</ul>" * 10 + "</div>")
+    share = html_extract.node_table(page)[3][2:, 9]
+    assert share[:90].tolist() == [0.9] * 90 and share[90:].tolist() == [0.1] * 10
+
+
 def test_held_out_pages():
     judges, maker, right, total = html_extract.train(), PageMaker(77), 0, 0
     for _ in range(120):
