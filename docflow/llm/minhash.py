@@ -5,16 +5,22 @@ keys, one for each pair of bands, from only ``2 * m * r`` hash functions.  A pai
 of similarity J shares a key with probability (1 - (1 - J^r)^m)^2; ``m`` is the
 least that makes this ``recall`` at the threshold.
 
-Rows with equal shingle sets are collapsed first.  Each table bucket names its
-member of smallest class id as hub, and a class joins the cells of those hubs
-that its sketch is anywhere near: linear in the keys, however large a bucket.
-Members beyond the hub's reach are then held against all of their bucket by
-sketch, but for those so close to the hub that the triangle inequality rules
-them out, and pairs not joined yet whose sketches could be a link's are checked
-too.  Cells are checked on full shingle sets, in tiles of bounded size so that a cell
-of any size spreads over tasks; a tile returns only links that join what it had
-not joined yet.  Connected components then spread by pointer jumping over
-DataFrames.
+Rows with equal shingle sets are collapsed to one class first.  Candidates are
+checked on full sets in two steps, so that a large group of copies costs what
+its members cost and not its pairs:
+
+1. Every class of a bucket joins the cell of its smallest hub (a bucket's least
+   class).  Crowded cells are cut into random blocks of bounded size, with the
+   hub and a few members in every block; all pairs within a block are checked.
+   Blocks hold together inside and meet in the members they share, so a group
+   of near copies becomes one component here, at a cost linear in its size.
+2. Buckets whose members are in several components still may lack a link.  The
+   buckets of one hub are taken together; each member outside their largest
+   component is held against all members by size and by a 128-byte sketch, and
+   every pair of unlike components that could be a link is checked.  Nothing is
+   capped: members of any number are dealt out in tiles.
+
+Connected components spread by pointer jumping over DataFrames.
 """
 
 from __future__ import annotations
@@ -28,16 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, SPACE, chunks, mix, runs, span_hashes, text_buffers
-from .scratch import checkpointed, written
+from .scratch import checkpointed, unused, written
 from .tokens import release
 
 SIGNED = "doc_id long, text_hash long, n long, c1 long, c2 long, left array<long>, right array<long>, sketch binary"
-SETS = "c1 long, shingles binary"
-#: A class joins a hub's cell if this share of their sketch bytes agrees; links have far more.
-NEAR = 0.45
 _NO_ID = -(1 << 63)
-#: Classes of a cell that one block of a tile holds, and members of a bucket whose sketches one does.
-BLOCK, SKETCHES = 256, 2048
+#: Bytes of a sketch: of each of so many ranges of hash values, a byte of the least value (0: none there).
+BINS = 128
+#: A cell of so many classes is crowded; classes and shingles of a block whose sets are checked; members that all blocks
+#: share; members of a bucket whose sketches one task holds.
+CROWD, BLOCK, SHINGLES, SHARED, SKETCHES = 16, 256, 1 << 22, 3, 4096
+#: Places of a class in the tiles (one, two) of ``t``, on side 0 or 1; a tile with one side is checked against itself.
+SPOTS = "array<struct<one:int,two:int,side:int>>"
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, k, 2**64) for k in range(64)], dtype=np.uint64)
 
 
@@ -97,8 +105,26 @@ def signatures(values: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows, BINS) bytes: for each of BINS equal ranges of hash values, 1 to 255 by the least value there, 0 where none is."""
+    out = np.zeros((len(offsets) - 1, BINS), np.uint8)
+    place = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) * BINS + (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out.ravel()[place[first]] = values[first] % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def sketch_limits(threshold: float, miss: float) -> np.ndarray:
+    """By the number of ranges that either set has values in, the ranges that may differ for a pair to be a link.
+
+    In each such range the two agree with probability J at least, so that a pair at the threshold is beyond its limit
+    with probability ``miss`` at most.
+    """
+    return np.array([spread_of(threshold, n, miss) for n in range(BINS + 1)])
+
+
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """SIGNED: a row for each row of ``docs``, with a 128-bit class id of its shingle set, band hashes and sketch."""
+    """SIGNED: a row for each row of ``docs``, with 128 bits that tell its shingle set, band hashes and sketch."""
     n = 2 * bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,24 +138,24 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 c1, c2 = (mix(s[offs[1:]] - s[offs[:-1]] + np.diff(offs).astype(np.uint64)).view(np.int64) for s in sums)
                 band = mix((sig * _STEPS[1 + np.arange(n) % rows]).reshape(len(sig), 2 * bands, rows).sum(axis=2, dtype=np.uint64)).view(np.int64)
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), bands).cast(pa.list_(pa.int64())) for x in (band[:, :bands], band[:, bands:])]
-                sketch = pa.array([x.tobytes() for x in mix(sig).astype(np.uint8)], pa.binary())
+                sketch = pa.array([x.tobytes() for x in sketches(values, offs)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(offs)), pa.array(c1), pa.array(c2), *lists, sketch], [x.split()[0] for x in SIGNED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """c1 as it came and the shingle set of its text."""
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``texts`` (t, spots, cid, text) with the shingle set in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(3))
             for a, b in chunks(offsets):
                 values, offs = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 own = [values[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["c1", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(own, pa.binary())], ["t", "spots", "cid", "shingles"])
 
-    return docs.select("c1", "text").mapInArrow(run, SETS)
+    return texts.select("t", "spots", "cid", "text").mapInArrow(run, f"t long, spots {SPOTS}, cid long, shingles binary")
 
 
 def _join(parent: dict[int, int], a: int, b: int) -> bool:
@@ -172,7 +198,8 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int,
 
 
 def _tile_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of class ids that hold on full sets, at most one fewer than a tile has classes."""
+    """Links (a, b) of tiles (t, one, two, side, cid, shingles) that come in order: each class with the least class that
+    links of its tile, which hold on full sets, lead to."""
     key, sides, out = None, ({}, {}), []
 
     def settle() -> None:
@@ -182,12 +209,12 @@ def _tile_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         parent = {c: c for c in [*rows, *columns]}
         left, right = [*rows], [*(columns or rows)]
         for i, j in similar_pairs([*rows.values()], [*(columns or rows).values()], percent).tolist():
-            if left[i] != right[j] and _join(parent, left[i], right[j]):
-                out.append((left[i], right[j]))
+            _join(parent, left[i], right[j])
+        out.extend((r, c) for c in parent if (r := _root(parent, c)) != c)
 
     for batch in batches:
-        hubs, one, two, side, ids, sets = (c.to_pylist() for c in batch.columns)
-        for *own, s, c, shingles in zip(hubs, one, two, side, ids, sets):
+        ts, one, two, side, ids, sets = (c.to_pylist() for c in batch.columns)
+        for *own, s, c, shingles in zip(ts, one, two, side, ids, sets):
             if own != key:
                 settle()
                 key, sides = own, ({}, {})
@@ -203,90 +230,135 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def candidates(classes: DataFrame, bands: int) -> DataFrame:
-    """(key, c1): the buckets of each class, one for each pair of its bands."""
+def hub_members(classes: DataFrame, bands: int) -> DataFrame:
+    """(hub, cid, n): the members, itself among them, of the buckets of which a class is hub: the least of two or more.
+    A bucket is a table key, one for each pair of bands."""
     band = lambda side: F.posexplode(side)
-    left = classes.select("c1", "right", band("left").alias("i", "x"))
-    return left.select("c1", "i", "x", band("right").alias("j", "y")).select("c1", F.xxhash64("i", "x", "j", "y").alias("key"))
-
-
-def distinct_buckets(keys: DataFrame, *marks: str) -> DataFrame:
-    """(key, hub, size): one of the buckets of equal members (and ``marks``) where these are two or more; the hub is the smallest."""
-    held = keys.groupBy("key").agg(F.min("c1").alias("hub"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("c1", *marks)).alias("held")).where("size > 1")
-    return held.groupBy("hub", "size", "held").agg(F.min("key").alias("key")).select("key", "hub", "size")
-
-
-def tiled(placed: DataFrame, keep: list[str], block: int) -> DataFrame:
-    """``keep`` with one, two, side: each row (with c1 and the size of its group) in every tile of two blocks of its group."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    placed = placed.select(*keep, blocks.alias("blocks"), F.pmod(F.xxhash64("c1"), blocks).cast("int").alias("block"))
-    tiles = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least("block", k).alias("one"), F.greatest("block", k).alias("two"), F.when(k >= F.col("block"), 0).otherwise(1).alias("side")),
-    )
-    return placed.select(*keep, F.inline(tiles))
-
-
-def outside_pairs(ids: np.ndarray, outside: np.ndarray, label: np.ndarray, sketches: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b), a outside, of unlike labels whose sketches differ in ``spread`` bytes at most."""
-    columns, one, two = np.ascontiguousarray(sketches.T), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in np.flatnonzero(outside).tolist():
-        near = ((columns != columns[:, i, None]).sum(axis=0, dtype=np.uint16) <= spread) & (label != label[i])
-        near[:i] &= ~outside[:i]
-        two.append(ids[near])
-        one.append(np.full(len(two[-1]), ids[i]))
+    left = classes.select("cid", "n", "right", band("left").alias("i", "x"))
+    keys = left.select("cid", "n", "i", "x", band("right").alias("j", "y")).select("cid", "n", F.xxhash64("i", "x", "j", "y").alias("key"))
+    held = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("held")).where("size > 1")
+    # of buckets with equal members one is enough
+    one = held.groupBy("hub", "size", "held").agg(F.min("key").alias("key")).select("key", "hub")
+    return keys.join(one, "key").select("hub", "cid", "n").distinct()
+
+
+def _blocks(size, shingles):
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(shingles / SHINGLES)).cast("int")
+
+
+def crowds(members: DataFrame) -> DataFrame:
+    """(cid, t, spots): the blocks of crowded cells ``t``; each class is in the cell of its least hub."""
+    cells = members.groupBy("cid").agg(F.min("hub").alias("t"), F.first("n").alias("n"))
+    sizes = cells.groupBy("t").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where(F.col("size") >= CROWD)
+    sizes = sizes.select("t", "size", _blocks(F.col("size"), F.col("shingles")).alias("blocks"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side")))
+    own = F.array(F.struct(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side")))
+    shared = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("size")) < SHARED
+    rows = cells.join(sizes, "t").where("cid <> t").select("cid", "t", F.when(shared, every).otherwise(own).cast(SPOTS).alias("spots"))
+    return rows.unionByName(sizes.select(F.col("t").alias("cid"), "t", every.cast(SPOTS).alias("spots")))
+
+
+def mixed_cells(members: DataFrame, label: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(hub, one, two, asks, cid, label, outside, blocks, n, sketch): tiles of the hubs whose members have several labels.
+
+    Members outside the commonest label of their hub ask in every tile of their row, and all members answer in every
+    tile of their column.
+    """
+    named = members.join(label, "cid", "left").select("hub", "cid", "n", F.coalesce("label", "cid").alias("label"))
+    per = named.groupBy("hub", "label").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
+    per = per.groupBy("hub").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("size"), F.sum("shingles").alias("shingles")).where("size > most.k")
+    rows, columns = F.ceil((F.col("size") - F.col("most.k")) / SKETCHES).cast("int"), F.ceil(F.col("size") / SKETCHES).cast("int")
+    per = per.select("hub", F.col("most.label").alias("main"), rows.alias("rows"), columns.alias("columns"), _blocks(F.col("size"), F.col("shingles")).alias("blocks"))
+    placed = named.join(per, "hub").withColumn("outside", F.col("label") != F.col("main")).join(sketch, "cid")
+    at = lambda many: F.pmod(F.xxhash64("cid"), F.col(many)).cast("int")
+    span = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
+    asks = F.when(F.col("outside"), F.transform(span("columns"), lambda k: F.struct(at("rows").alias("one"), k.alias("two"), F.lit(True).alias("asks"))))
+    answers = F.transform(span("rows"), lambda k: F.struct(k.alias("one"), at("columns").alias("two"), F.lit(False).alias("asks")))
+    tiles = F.concat(F.coalesce(asks, F.array().cast("array<struct<one:int,two:int,asks:boolean>>")), answers)
+    return placed.select("hub", F.inline(tiles), "cid", "label", "outside", at("blocks").alias("block"), "n", "sketch")
+
+
+def could_link(asks: dict[str, np.ndarray], answers: dict[str, np.ndarray], limits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the pairs of unlike labels that sizes and sketches allow to be links; of two that both ask, once."""
+    columns = np.ascontiguousarray(answers["sketch"].T)
+    filled = columns > 0
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(asks["cid"])):
+        n, cid = asks["n"][i], asks["cid"][i]
+        good = (answers["label"] != asks["label"][i]) & (100 * np.minimum(answers["n"], n) >= percent * np.maximum(answers["n"], n)) & (~answers["outside"] | (answers["cid"] > cid))
+        j = np.flatnonzero(good)
+        if len(j):
+            mine = asks["sketch"][i][:, None]
+            theirs = columns[:, j] if len(j) < len(good) else columns
+            seen = (filled[:, j] if len(j) < len(good) else filled) | (mine > 0)
+            j = j[(theirs != mine).sum(axis=0) <= limits[seen.sum(axis=0)]]
+            two.append(j)
+            one.append(np.full(len(j), i))
     return np.concatenate(one), np.concatenate(two)
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], spread: int) -> Iterator[pa.RecordBatch]:
-    """(hub, c1) of tiles (key, one, two, c1, outside, label, sketch) that come in order, a tile in one run of rows."""
+def _tile_spots(batches: Iterator[pa.RecordBatch], limits: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """(cid, t, one, two, side): the blocks in which pairs that could be links are to be checked, of the tiles of
+    ``mixed_cells``, which come in order, a tile in one run of rows."""
     rest: pa.Table | None = None
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        key, one, two, ids, outside, label = (table.column(i).to_numpy() for i in range(6))
-        sketches = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(ids), -1)
-        new = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
-        found = [outside_pairs(ids[a:b], outside[a:b], label[a:b], sketches[a:b], spread) for a, b in zip(edges, edges[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], ["hub", "c1"])
+    names = ["hub", "one", "two", "asks", "cid", "label", "outside", "block", "n"]
+
+    def spots(table: pa.Table) -> pa.RecordBatch:
+        x = {k: table.column(k).to_numpy() for k in names}
+        x["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        new = np.logical_or.reduce([x[k][1:] != x[k][:-1] for k in ("hub", "one", "two")])
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+        out = [np.zeros((0, 4), np.int64)]
+        for a, b in zip(edges, edges[1:]):
+            mine, theirs = (a + np.flatnonzero(x["asks"][a:b] == k) for k in (True, False))
+            if len(mine) and len(theirs):
+                i, j = could_link({k: v[mine] for k, v in x.items()}, {k: v[theirs] for k, v in x.items()}, limits, percent)
+                if len(i):
+                    i, j = mine[i], theirs[j]
+                    for row, side in ((i, 0), (j, 1)):
+                        # a pair's tile is told by the blocks of both; a row is needed once in each
+                        out.append(np.unique(np.stack([row, x["block"][i], x["block"][j], np.full(len(i), side)], axis=1), axis=0))
+        row, one, two, side = np.concatenate(out).T
+        columns = [x["cid"][row], x["hub"][row], one.astype(np.int32), two.astype(np.int32), side.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cid", "t", "one", "two", "side"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
-        tile = [table.column(i).to_numpy() for i in range(3)]
+        tile = [table.column(k).to_numpy() for k in ("hub", "one", "two")]
         ended = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in tile]))
         cut = int(ended[-1]) + 1 if len(ended) else 0
         if cut:
-            yield pairs(table.slice(0, cut))
+            yield spots(table.slice(0, cut))
         rest = table.slice(cut)
     if rest is not None:
-        yield pairs(rest)
+        yield spots(rest)
 
 
 def labels(links: DataFrame) -> DataFrame:
-    """(c1, label): of each class that has a link, the smallest class id in its component.
+    """(cid, label): of each class that has a link, the smallest class id in its component.
 
     Each round every class takes the smallest label among itself, its neighbours and its label's own label, so
     chains shorten by half and more; a round that changes nothing ends it.
     """
     both = checkpointed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c1"), F.least("a", "m").alias("label")))
+    label = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("label")))
     while True:
-        near = both.join(label.withColumnRenamed("c1", "b"), "b").select(F.col("a").alias("c1"), "label")
-        up = label.alias("l").join(label.alias("p"), F.col("l.label") == F.col("p.c1")).select(F.col("l.c1").alias("c1"), F.col("p.label").alias("label"))
-        new = near.unionByName(up).groupBy("c1").agg(F.min("label").alias("fresh"))
-        step = checkpointed(label.join(new, "c1").select("c1", F.least("label", "fresh").alias("label"), (F.col("fresh") < F.col("label")).alias("moved")))
-        label = step.select("c1", "label")
+        near = both.join(label.withColumnRenamed("cid", "b"), "b").select(F.col("a").alias("cid"), "label")
+        up = label.alias("l").join(label.alias("p"), F.col("l.label") == F.col("p.cid")).select(F.col("l.cid").alias("cid"), F.col("p.label").alias("label"))
+        new = near.unionByName(up).groupBy("cid").agg(F.min("label").alias("fresh"))
+        step = checkpointed(label.join(new, "cid").select("cid", F.least("label", "fresh").alias("label"), (F.col("fresh") < F.col("label")).alias("moved")))
+        label = step.select("cid", "label")
         if step.where("moved").isEmpty():
             return label
 
 
 def components(label: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(c1, top): of each class that has a label, the smallest ``least`` in its component.  ``nodes``: (c1, least)."""
-    named = label.join(nodes, "c1").groupBy("label").agg(F.min("least").alias("top"))
-    return label.join(named, "label").select("c1", "top")
+    """(cid, top): of each class that has a label, the smallest ``least`` in its component.  ``nodes``: (cid, least)."""
+    named = label.join(nodes, "cid").groupBy("label").agg(F.min("least").alias("top"))
+    return label.join(named, "label").select("cid", "top")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: int = 2, recall: float = 0.9998) -> DataFrame:
@@ -299,57 +371,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     component, and each row whose doc_id is the component's is kept.  An empty table gives no rows.
     """
     bands = bands_for(percent / 100, rows, recall)
+    limits = sketch_limits(percent / 100, (1 - recall) / 10)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows_ = written(signed(docs, width, bands, rows), "signed")
-    filled = rows_.where("n > 0")
     # one row a class, whose columns are equal in all its rows, with one document that holds its text
     doc = F.coalesce("doc_id", F.lit(_NO_ID))
     same = [F.first(c).alias(c) for c in ("n", "left", "right", "sketch")]
-    classes = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min(F.struct(doc.alias("doc"), "text_hash")).alias("holder"), *same)
-    classes = written(classes, "classes")
-    nodes = classes.select("c1", "least", "n")
-    sketch = classes.select("c1", "n", "sketch")
-
-    reach = int((1 - NEAR) * 2 * bands * rows)
-    spread = spread_of(percent / 100, 2 * bands * rows, (1 - recall) / 10)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a != b).sum(axis=1, dtype=np.int32))], ["hub", "c1", "far"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        cells = pairs.unionByName(pairs.select("hub", F.col("hub").alias("c1")).distinct())
-        sizes = pairs.groupBy("hub").agg((F.count("*") + 1).alias("size"))
-        # sets of the classes in some cell, computed again from one document of each class
-        holder = classes.select("c1", "holder.doc", "holder.text_hash").join(cells.select("c1").distinct(), "c1")
-        texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-        sets = full_sets(texts.join(checkpointed(holder), ["doc", "text_hash"]), width)
-        laid = tiled(cells.join(sizes, "hub"), ["hub", "c1"], BLOCK).join(sets, "c1").select("hub", "one", "two", "side", "c1", "shingles")
-        dealt = laid.repartition(n, "hub", "one", "two").sortWithinPartitions("hub", "one", "two", "side")
+    classes = rows_.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min(F.struct(doc.alias("doc"), "text_hash")).alias("holder"), *same)
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    def verified(spots: DataFrame) -> DataFrame:
+        """Links of the tiles, on sets computed again from one document of each class."""
+        holder = classes.select("cid", "holder.doc", "holder.text_hash").join(spots, "cid")
+        texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+        sets = full_sets(texts.join(holder, ["doc", "text_hash"]), width)
+        dealt = sets.select("t", F.inline("spots"), "cid", "shingles").repartition(n, "t", "one", "two").sortWithinPartitions("t", "one", "two", "side")
         return checkpointed(dealt.mapInArrow(lambda batches: _tile_links(batches, percent), "a long, b long").distinct())
 
-    keys = candidates(classes, bands)
-    members = written(keys.join(distinct_buckets(keys).select("key", "hub"), "key").where("c1 <> hub"), "members")
-    first = members.select("hub", "c1").distinct().join(sketch.select("c1", F.col("sketch").alias("own")), "c1")
-    first = first.join(sketch.select(F.col("c1").alias("hub"), F.col("sketch").alias("hubs")), "hub").select("hub", "c1", "own", "hubs")
-    first = written(first.mapInArrow(apart, "hub long, c1 long, far int"), "pairs")
-    links = verified(first.where(F.col("far") <= reach).select("hub", "c1"))
+    members = written(hub_members(classes, bands), "members")
+    links = verified(checkpointed(crowds(members)))
     label = labels(links)
-    # a member within reach - spread of the hub links with none beyond reach
-    left = members.join(first.where(F.col("far") > reach - spread), ["hub", "c1"]).select("key", "c1", (F.col("far") > reach).alias("outside"))
-    left = checkpointed(left.join(left.where("outside").select("key").distinct(), "key", "left_semi"))
-    left = left.join(distinct_buckets(left, "outside").select("key", "size"), "key")
-    marked = sketch.join(label, "c1", "left").select("c1", F.coalesce("label", "c1").alias("label"), "sketch")
-    left = tiled(left, ["key", "c1", "outside"], SKETCHES).join(marked, "c1").select("key", "one", "two", "c1", "outside", "label", "sketch")
-    left = left.repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two")
-    more = checkpointed(left.mapInArrow(lambda batches: _bucket_pairs(batches, spread), "hub long, c1 long").distinct())
-    if not more.isEmpty():
-        label = labels(links.unionByName(verified(more)))
-    tops = components(label, nodes)
-    named = nodes.join(tops, "c1", "left").select("c1", F.coalesce(F.least("top", "least"), "top", "least").alias("component_id"))
-    found = rows_.select("doc_id", "text_hash", "n", "c1").join(checkpointed(named), "c1", "left")
+    tiles = mixed_cells(members, label, classes.select("cid", "sketch")).repartition(n, "hub", "one", "two").sortWithinPartitions("hub", "one", "two")
+    spots = tiles.mapInArrow(lambda batches: _tile_spots(batches, limits, percent), "cid long, t long, one int, two int, side int")
+    spots = spots.groupBy("cid", "t").agg(F.collect_set(F.struct("one", "two", "side")).cast(SPOTS).alias("spots"))
+    more = verified(checkpointed(spots))
+    label = labels(links.unionByName(more))
+    nodes = classes.select("cid", "c1", "c2", "least")
+    named = nodes.join(components(label, nodes), "cid", "left").select("c1", "c2", F.coalesce(F.least("top", "least"), "top", "least").alias("component_id"))
+    found = rows_.select("doc_id", "text_hash", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
@@ -360,6 +409,7 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, rows: int = 2,
     Rows of a group without any id all stay, as do repeated rows of the document that is kept: they are one document.
     """
     found = near_duplicates(docs, percent, width, rows, recall)
-    gone = found.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__hash": F.xxhash64("text")})
-    return keyed.join(checkpointed(gone), ["__doc", "__hash"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc, text_hash = unused(docs, "doc", "text_hash")
+    gone = found.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias(doc), F.col("text_hash").alias(text_hash)).distinct()
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), text_hash: F.xxhash64("text")})
+    return keyed.join(checkpointed(gone), [doc, text_hash], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -148,19 +148,71 @@ def test_near_duplicates_among_documents_that_quote_them(spark):
     assert {r["doc_id"]: r["component_id"] for r in got}[1] == 0
 
 
-def test_outside_pairs_are_all_pairs():
+def test_pairs_that_could_link_are_all_pairs():
     r = np.random.default_rng(3)
-    sketches = np.repeat(r.integers(0, 256, (20, 32), dtype=np.uint8), 5, axis=0)
+    sketches = np.repeat(r.integers(1, 256, (20, minhash.BINS), dtype=np.uint8), 5, axis=0)
+    sketches[:, 100:] *= r.random((100, minhash.BINS - 100)) < 0.3
     for x in sketches:
-        x[r.permutation(32)[: r.integers(0, 12)]] = r.integers(0, 256)
-    ids, outside, label = np.arange(100), r.random(100) < 0.5, r.integers(0, 40, 100)
-    got = [tuple(sorted(p)) for p in zip(*(x.tolist() for x in minhash.outside_pairs(ids, outside, label, sketches, 14)))]
-    near = lambda i, j: (sketches[i] != sketches[j]).sum() <= 14 and (outside[i] or outside[j]) and label[i] != label[j]
-    assert sorted(got) == [(i, j) for i in range(100) for j in range(i + 1, 100) if near(i, j)]
+        x[r.permutation(minhash.BINS)[: r.integers(0, 60)]] = r.integers(1, 256)
+    limits = minhash.sketch_limits(0.85, 2e-5)
+    x = {"cid": np.arange(100), "outside": r.random(100) < 0.5, "label": r.integers(0, 40, 100), "n": r.integers(80, 100, 100), "sketch": sketches}
+    asks = np.flatnonzero(x["outside"])
+    i, j = minhash.could_link({k: v[asks] for k, v in x.items()}, x, limits, 85)
+
+    def near(i, j):
+        differ, seen = (sketches[i] != sketches[j]).sum(), ((sketches[i] > 0) | (sketches[j] > 0)).sum()
+        sizes = sorted((int(x["n"][i]), int(x["n"][j])))
+        return differ <= limits[seen] and x["label"][i] != x["label"][j] and 100 * sizes[0] >= 85 * sizes[1] and (x["outside"][i] or x["outside"][j])
+
+    got = [tuple(sorted(p)) for p in zip(asks[i].tolist(), j.tolist())]
+    assert sorted(got) == [(i, j) for i in range(100) for j in range(i + 1, 100) if near(i, j)] and got
+
+
+def test_links_are_within_the_sketch_limits():
+    r = np.random.default_rng(5)
+    limits = minhash.sketch_limits(0.85, 2e-5)
+    for n in [*range(1, 40), *range(40, 900, 9)] * 8:
+        both = r.integers(0, 2**64, n, dtype=np.uint64)
+        more = r.integers(0, 2**64, int(n * 0.15 / 0.85), dtype=np.uint64)  # of similarity 0.85 at least
+        cut = r.integers(0, len(more) + 1)
+        pair = [np.unique(np.concatenate([both, m])) for m in (more[:cut], more[cut:])]
+        a, b = minhash.sketches(np.concatenate(pair), np.cumsum([0, *map(len, pair)]))
+        assert (a != b).sum() <= limits[((a > 0) | (b > 0)).sum()]
+
+
+def test_near_copies_cost_what_their_members_cost(spark, monkeypatch):
+    """Blocks of a crowd hold all of it; what is left to be asked for one by one is a small part."""
+    r = random.Random(6)
+    base = ["w%d" % i for i in range(120)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        words[r.randrange(120)] = "x%d" % i
+        rows.append((i, " ".join(words), "s"))
+    asked = []
+    whole = minhash.mixed_cells
+    monkeypatch.setattr(minhash, "mixed_cells", lambda *a: (asked.append(whole(*a).where("asks").count()), whole(*a))[1])
+    got = minhash.near_duplicates(frame(spark, rows)).select("component_id").distinct().collect()
+    assert [r[0] for r in got] == [0] and asked[0] < 300
+
+
+def test_equal_first_hashes_do_not_multiply_rows(spark, monkeypatch):
+    signed = minhash.signed
+    monkeypatch.setattr(minhash, "signed", lambda *a: signed(*a).selectExpr("doc_id", "text_hash", "n", "7L AS c1", "c2", "left", "right", "sketch"))
+    rows = corpus(5)
+    assert sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).drop("text_hash").collect())) == brute_components(rows, 85)
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words), "s"), (2, " ".join([*words[:59_000], "other"]), "s"), (3, " ".join(words[:30_000]), "s"), (4, "x" * 3_000_000, "s"), (5, "x" * 3_000_000, "s")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
 
 
 def test_keep_one_and_empty(spark):
-    df = frame(spark, corpus(5))
+    df = frame(spark, corpus(5), "doc string")
     kept = minhash.keep_one(df, percent=80)
     assert kept.columns == df.columns
     want = [x[0] for x in brute_components(corpus(5), 80) if x[3]]
