@@ -43,7 +43,7 @@ _NO_ID = -(1 << 63)
 BINS = 128
 #: A cell of so many classes is crowded; classes and shingles of a block whose sets are checked; members that all blocks
 #: share; members of a bucket whose sketches one task holds.
-CROWD, BLOCK, SHINGLES, SHARED, SKETCHES = 16, 256, 1 << 22, 3, 4096
+CROWD, BLOCK, SHINGLES, SHARED, SKETCHES = 16, 256, 1 << 22, 3, 1024
 #: Places of a class in the tiles (one, two) of ``t``, on side 0 or 1; a tile with one side is checked against itself.
 SPOTS = "array<struct<one:int,two:int,side:int>>"
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, k, 2**64) for k in range(64)], dtype=np.uint64)
