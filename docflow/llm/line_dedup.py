@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, SPACE, chunks, span_hashes, text_buffers
-from .scratch import checkpointed
+from .scratch import checkpointed, unused
 from .tokens import release
 
 LINES = "h1 long, h2 long, doc long, text_hash long, pos int"
@@ -217,11 +217,12 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``__keep``, its bitmap or null."""
-    keyed = docs.withColumns({"__doc": doc_key(), "__hash": F.xxhash64("text")})
-    maps = bitmaps.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("keep").alias("__keep"))
-    return keyed.join(maps, ["__doc", "__hash"], "left").drop("__doc", "__hash")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with one column more, of the name returned: the row's bitmap or null."""
+    doc, text_hash, keep = unused(docs, "doc", "text_hash", "keep")
+    keyed = docs.withColumns({doc: doc_key(), text_hash: F.xxhash64("text")})
+    maps = bitmaps.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("keep").alias(keep))
+    return keyed.join(maps, [doc, text_hash], "left").drop(doc, text_hash), keep
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, with_text: bool = True) -> DataFrame:
@@ -238,7 +239,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, wit
             )
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return with_bitmaps(own, maps).select("doc_id", "text", "__keep").mapInArrow(apply, KEPT)
+    found, keep = with_bitmaps(own, maps)
+    return found.select("doc_id", "text", keep).mapInArrow(apply, KEPT)
 
 
 def replace_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -249,6 +251,8 @@ def replace_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     def reduced(text, keep):
         return text.combine(keep, lambda t, k: None if t is None else t if k is None else kept_lines(t, k)[2])
 
-    found = with_bitmaps(docs, bitmaps)
-    text = F.when(F.col("__keep").isNull(), F.col("text")).otherwise(reduced("text", "__keep"))
+    found, keep = with_bitmaps(docs, bitmaps)
+    # only texts that lose a line travel to Python: a udf is run for every row, whatever stands around it
+    losing = F.when(F.col(keep).isNotNull(), F.col("text"))
+    text = F.when(F.col(keep).isNull(), F.col("text")).otherwise(reduced(losing, F.col(keep)))
     return found.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])

@@ -27,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which goes when the application ends."""
+    root = f"{shared_dir(spark)}/docflow-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a DataFrame that reads it.
 
@@ -34,11 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     back to the work that made them.  They go when the application ends.
     """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/docflow-{spark.sparkContext.applicationId}"
-    if root not in _roots:
-        _roots.add(root)
-        atexit.register(_remove, spark, root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
