@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag after its "<": every part is possessive, so that no input makes it look at a character twice; a ">" within a
+#: quoted value does not end it.  The plain form, for what follows a tag that never ends, ends at the first ">".
+_TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+|[\"'])*+)>")
+_PLAIN = re.compile(r"(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))", re.I)
 _ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-#: Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template iframe svg math head title textarea select option button object video audio canvas datalist".split())
+#: Elements whose content is no text of the page: code, labels of controls, and what stands in where a browser shows something else.
+SILENT = frozenset("script style noscript template iframe svg annotation annotation-xml head title textarea select option button object video audio canvas datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Elements that leave an open head open, as its end tag may be left out.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes script style template title noscript head html".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp picture".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp picture".split()) | frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split()
+)
 #: Elements that an opening tag of a name closes, as their end tags may be left out.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody"}}
 _STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}}
@@ -38,6 +45,7 @@ class Node:
 class Page:
     nodes: list[Node]
     blocks: list[tuple[int, str]]  # (node, text), in page order
+    links: list[str] = field(default_factory=list)  # targets of its links as written, in page order
 
 
 def attribute_tokens(raw: str) -> list[str]:
@@ -46,33 +54,92 @@ def attribute_tokens(raw: str) -> list[str]:
     return [t.lower() for m in _ATTR.finditer(raw) for t in _PART.findall(m[2] or m[3] or m[4] or "")]
 
 
-def _raw_end(html: str, tag: str, at: int) -> int:
-    """Where the raw text element ends that began before ``at``; -1 without its end tag."""
-    stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-    return stop.end() if stop else -1
+class _Scanner:
+    """Tags by position.  Whatever the input, its characters are read a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.plain = html, html.rfind(">"), False
+        self.unended: set[str] = set()
+
+    def tag(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag; a comment or declaration has no name."""
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(html), False, "", ""
+            if at > self.last:
+                at = html.find("<!--", at)
+                return (at, len(html), False, "", "") if at >= 0 else None
+            c = html[at + 1 : at + 2]
+            if c == "!" or c == "?":
+                return at, html.find(">", at) + 1, False, "", ""
+            if c == "/" or c.isascii() and c.isalpha():
+                m = (_PLAIN if self.plain else _TAG).match(html, at + 1)
+                if m is None and not self.plain and (m := _PLAIN.match(html, at + 1)):
+                    self.plain = True
+                if m:
+                    return at, m.end(), bool(m[1]), m[2].lower(), m[3]
+            at += 1
+        return None
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the raw text element ends that began before ``at``; -1 without its end tag."""
+        if tag in self.unended:
+            return -1
+        stop = _raw_stop(tag).search(self.html, at)
+        end = self.html.find(">", stop.end()) if stop else -1
+        if end < 0:
+            self.unended.add(tag)
+            return -1
+        return end + 1
+
+
+@lru_cache(maxsize=64)
+def _raw_stop(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?![\w-])", re.I)
+
+
+class _Open:
+    """Open elements in order, with the places of each name, so that none has to be looked for."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, what: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.items))
+        self.items.append((tag, what))
+
+    def last(self, tag: str) -> int:
+        """The place of the last open element of a name, or -1."""
+        own = self.places.get(tag)
+        return own[-1] if own else -1
+
+    def cut(self, k: int) -> None:
+        """Close all from place ``k`` on."""
+        while len(self.items) > k:
+            self.places[self.items.pop()[0]].pop()
 
 
 def _ended(html: str) -> set[int]:
     """Where the silent elements begin that have their end tag before that of an element around them."""
     ended: set[int] = set()
-    stack: list[tuple[str, int]] = []
-    at = 0
-    while m := _TOKEN.search(html, at):
-        at = m.end()
-        if m[2] is None:
+    scan, stack, at = _Scanner(html), _Open(), 0
+    while found := scan.tag(at):
+        start, at, closing, tag, attributes = found
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in SILENT:
-                        ended.add(stack[k][1])
-                    del stack[k:]
-                    break
-        elif tag in RAW and not m[3].endswith("/"):
-            at = max(at, _raw_end(html, tag, at))
-        elif tag not in VOID and tag not in INLINE and tag != "head" and not m[3].endswith("/"):
-            stack.append((tag, m.start()))
+        if closing:
+            k = stack.last(tag)
+            if k >= 0:
+                if tag in SILENT:
+                    ended.add(stack.items[k][1])
+                stack.cut(k)
+        elif tag in RAW and not attributes.endswith("/"):
+            at = max(at, scan.raw_end(tag, at))
+        elif tag not in VOID and tag not in INLINE and tag != "head" and not attributes.endswith("/"):
+            stack.push(tag, start)
     return ended
 
 
@@ -80,7 +147,7 @@ def parse(html: str) -> Page:
     """Nodes are the elements that are neither inline nor silent, in order of their opening tags; node 0 is the page.
 
     A silent element without its end tag silences nothing, but for raw text; a head ends where something begins that
-    it cannot hold.
+    it cannot hold.  A tag that never ends is text.  The time is linear in the length of ``html``.
     """
     page = _read(html, None)
     return page if page is not None else _read(html, _ended(html))
@@ -90,8 +157,9 @@ def _read(html: str, ended: set[int] | None) -> Page | None:
     """The page, where of the silent elements those that begin at ``ended`` count; all if None, and None if one lacks its end tag."""
     nodes = [Node("#page", -1, 0, [])]
     blocks: list[tuple[int, str]] = []
-    stack: list[int] = [0]
-    silent: list[str] = []
+    targets: list[str] = []
+    scan, stack, silent = _Scanner(html), _Open(), _Open()
+    stack.push("#page", 0)
     links = 0
     text: list[str] = []
     linked = 0
@@ -102,56 +170,63 @@ def _read(html: str, ended: set[int] | None) -> Page | None:
             joined = " ".join(unescape("".join(text)).split())
             text.clear()
             if joined:
-                node = nodes[stack[-1]]
+                at = stack.items[-1][1]
+                node = nodes[at]
                 node.own += len(joined)
                 node.linked += min(linked, len(joined))
                 node.marks += sum(map(joined.count, ".,;!?"))
-                blocks.append((stack[-1], joined))
+                blocks.append((at, joined))
         linked = 0
 
+    def in_head() -> bool:
+        return len(silent.items) == 1 and silent.items[0][0] == "head"
+
     at, n = 0, len(html)
     while at < n:
-        m = _TOKEN.search(html, at)
-        end = m.start() if m else n
-        if silent == ["head"] and end > at and html[at:end].strip():
-            silent.clear()
-        if end > at and not silent:
-            piece = html[at:end]
-            text.append(piece)
-            if links:
-                linked += len(piece)
-        if m is None:
+        found = scan.tag(at)
+        end = found[0] if found else n
+        if end > at:
+            if in_head() and html[at:end].strip():
+                silent.cut(0)
+            if not silent.items:
+                piece = html[at:end]
+                text.append(piece)
+                if links:
+                    linked += len(piece)
+        if found is None:
             break
-        at = m.end()
-        if m[2] is None:
+        start, at, closing, tag, attributes = found
+        if not tag:
             continue
-        closing, tag = bool(m[1]), m[2].lower()
-        if silent == ["head"] and not closing and tag not in IN_HEAD:
-            silent.clear()
-        if silent:
+        empty = attributes.endswith("/")
+        if tag == "a" and not closing and (m := _HREF.search(attributes)):
+            targets.append(unescape(m[1] or m[2] or m[3] or "").strip())
+        if not closing and tag not in IN_HEAD and in_head():
+            silent.cut(0)
+        if silent.items:
             if closing:
-                if tag in silent:
-                    while silent.pop() != tag:
-                        pass
+                k = silent.last(tag)
+                if k >= 0:
+                    silent.cut(k)
                     continue
-                if tag not in ("body", "html") and all(nodes[k].tag != tag for k in stack[1:]):
+                if tag not in ("body", "html") and stack.last(tag) < 0:
                     continue
-                if silent != ["head"] and ended is None:
+                if not in_head() and ended is None:
                     return None
-                silent.clear()  # the end of an element around it
+                silent.cut(0)  # the end of an element around it
             else:
-                if tag in RAW and (stop := _raw_end(html, tag, at)) >= 0 and not m[3].endswith("/"):
+                if tag in RAW and not empty and (stop := scan.raw_end(tag, at)) >= 0:
                     at = stop
-                elif tag not in VOID and tag not in INLINE and not m[3].endswith("/") and tag not in ("html", "head"):
-                    silent.append(tag)
+                elif tag not in VOID and tag not in INLINE and not empty and tag not in ("html", "head"):
+                    silent.push(tag, start)
                 continue
         if tag in SILENT:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not empty:
                 if tag in RAW:
-                    stop = _raw_end(html, tag, at)
+                    stop = scan.raw_end(tag, at)
                     at = stop if stop >= 0 else n
-                elif ended is None or tag == "head" or m.start() in ended:
-                    silent.append(tag)
+                elif ended is None or tag == "head" or start in ended:
+                    silent.push(tag, start)
                 text.append(" ")
             continue
         if tag in VOID:
@@ -164,33 +239,30 @@ def _read(html: str, ended: set[int] | None) -> Page | None:
             if tag == "a":
                 links = max(0, links - 1) if closing else links + 1
             if not closing:
-                nodes[stack[-1]].inline += 1
+                nodes[stack.items[-1][1]].inline += 1
             continue
         flush()
         links = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+            if (k := stack.last(tag)) > 0:
+                stack.cut(k)
             continue
         if tag == "body" or tag == "html":
-            nodes[0].tokens += attribute_tokens(m[3])
+            nodes[0].tokens += attribute_tokens(attributes)
             continue
-        if nodes[stack[-1]].tag == "p":  # an open paragraph ends at any block
-            stack.pop()
-        for k in range(len(stack) - 1, 0, -1):
-            name = nodes[stack[k]].tag
-            if name in _CLOSES.get(tag, ()):
-                del stack[k:]
-                break
-            if name in _STOPS.get(tag, ("#",)) or tag not in _CLOSES:
-                break
-        nodes[stack[-1]].children.append(len(nodes))
-        nodes.append(Node(tag, stack[-1], len(stack), attribute_tokens(m[3])))
-        if not m[3].endswith("/"):
-            stack.append(len(nodes) - 1)
-    if ended is None and silent and silent != ["head"]:
+        if stack.items[-1][0] == "p":  # an open paragraph ends at any block
+            stack.cut(len(stack.items) - 1)
+        if tag in _CLOSES:
+            # the nearest element that this one closes, unless one that holds its likes is nearer
+            k = max(map(stack.last, _CLOSES[tag]))
+            if k > max(map(stack.last, _STOPS.get(tag, ("#page",)))) and k > 0:
+                stack.cut(k)
+        parent = stack.items[-1][1]
+        nodes[parent].children.append(len(nodes))
+        nodes.append(Node(tag, parent, len(stack.items), attribute_tokens(attributes)))
+        if not empty:
+            stack.push(tag, len(nodes) - 1)
+    if ended is None and silent.items and not in_head():
         return None
     flush()
-    return Page(nodes, blocks)
+    return Page(nodes, blocks, targets)

@@ -6,14 +6,19 @@ The trees give each node the odds that it is content.  Hierarchical decoding
 then picks the labelling of best total likelihood among the consistent ones: a
 node that is content or boilerplate as a whole decides for all below it, and
 only a node that is split leaves its children to decide.
+
+The trees are in ``html_trees.json``, which ``python -m docflow.llm.html_extract``
+writes: it trains them on invented pages (``page_maker``) and is deterministic.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,9 @@ _BIT = {t: 1 << i for i, t in enumerate(TAGS)} | {s: 1 << (len(TAGS) + i) for i,
 _LONG = [s for s in STEMS if len(s) >= 3 and s not in ("ad", "ads", "pag", "toc", "nav")] + ["pag", "nav"]
 BITS = len(TAGS) + len(STEMS)
 N_STATS = 14
+TREES = Path(__file__).with_name("html_trees.json")
+#: Nodes that are judged at once.
+NODES = 1 << 15
 
 
 @lru_cache(maxsize=100_000)
@@ -128,7 +136,7 @@ def truth(page: Page, marked: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=4)
 def train(n_pages: int = 800, seed: int = 11) -> Judges:
-    """Fit on ``n_pages`` invented pages; deterministic, so that every driver builds the same trees."""
+    """Fit on ``n_pages`` invented pages; deterministic, so that every run builds the same trees."""
     maker, tables, kinds, uniform = PageMaker(seed), [], [], []
     for _ in range(n_pages):
         html = maker.page()
@@ -144,6 +152,40 @@ def train(n_pages: int = 800, seed: int = 11) -> Judges:
     return Judges(boost(x[y >= 0], y[y >= 0].astype(float), np.ones(int((y >= 0).sum()))), boost(x[parents], one[parents].astype(float), np.ones(int(parents.sum())), trees=40))
 
 
+def save(judges: Judges, path: Path = TREES) -> None:
+    """Write the trees as text, a tree a line; numbers read back as they were."""
+    out = {}
+    for name in ("content", "uniform"):
+        t: Trees = getattr(judges, name)
+        rows = [{"feature": f.tolist(), "threshold": [None if np.isinf(x) else x for x in h.tolist()], "leaf": v.tolist()} for f, h, v in zip(t.feature, t.threshold, t.leaf)]
+        out[name] = f'{{"start": {t.start!r}, "trees": [\n' + ",\n".join(map(json.dumps, rows)) + "]}"
+    path.write_text("{" + ",\n".join(f'"{k}": {v}' for k, v in out.items()) + "}\n")
+
+
+@lru_cache(maxsize=4)
+def load(path: Path = TREES) -> Judges:
+    def trees(x: dict) -> Trees:
+        feature, threshold, leaf = ([t[k] for t in x["trees"]] for k in ("feature", "threshold", "leaf"))
+        return Trees(np.array(feature), np.array([[np.inf if h is None else h for h in t] for t in threshold]), np.array(leaf), x["start"])
+
+    return Judges(**{k: trees(x) for k, x in json.loads(path.read_text()).items()})
+
+
+def odds_of(judges: Judges, tables: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """The odds of all nodes of ``tables``, NODES of them at a time."""
+    out, held, size = [], [], 0
+    for table in tables:
+        for i in range(0, len(table[0]), NODES):
+            part = tuple(a[i : i + NODES] for a in table)
+            if held and size + len(part[0]) > NODES:
+                out.append(judges.odds(matrix(held)))
+                held, size = [], 0
+            held.append(part)
+            size += len(part[0])
+    out.append(judges.odds(matrix(held)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def decode(page: Page, odds: np.ndarray, one: np.ndarray) -> list[bool]:
     """Whether each node's own text is content: the consistent labelling of greatest likelihood, weighed by text.
 
@@ -182,7 +224,7 @@ def extract_texts(htmls: list[str | None], judges: Judges) -> list[str]:
     pages = [parse(h) for h in htmls if h]
     if not pages:
         return ["" for _ in htmls]
-    odds, one = judges.odds(matrix([node_table(p) for p in pages]))
+    odds, one = odds_of(judges, [node_table(p) for p in pages])
     found, at = iter(pages), 0
     out = []
     for h in htmls:
@@ -204,9 +246,11 @@ def extract(pages: DataFrame, judges: Judges | None = None) -> DataFrame:
     """EXTRACTED, a row for each row of ``pages``: blocks of the article in page order, joined by \\n.
 
     Null, empty and markup-only pages give an empty text; repeated rows are extracted each; other columns, null or
-    not, play no part beyond page_id and url, which pass through; an empty table gives no rows.
+    not, play no part beyond page_id and url, which pass through; an empty table gives no rows.  Pages of any length
+    are read whole, in time linear in it.  What stands in where a browser shows something else (``noscript``, the
+    inside of ``object``, ``video`` and the like) is no text of the page.
     """
-    held = pages.sparkSession.sparkContext.broadcast(judges or train())
+    held = pages.sparkSession.sparkContext.broadcast(judges or load())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,3 +260,7 @@ def extract(pages: DataFrame, judges: Judges | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, EXTRACTED)
+
+
+if __name__ == "__main__":
+    save(train())
