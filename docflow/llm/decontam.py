@@ -1,11 +1,13 @@
 """Benchmark decontamination with DataFrame functions alone.
 
-The test items' windows (normalised n-grams) go to every executor as a hash set
-of strings inside the plan, after a check of their number; one pass over each
-document's words tests every window by a hash of its words, and verifies hits
-by the words themselves.  Documents never shuffle: only hits do, to gather the
-items per document.  Beyond the checked bound the windows are joined instead:
-document windows are exploded as hashes and met by an equi-join.
+The test items' windows (normalised n-grams) are hashed into a bit set of a few
+megabytes at most, which goes to every executor within the plan.  One pass over
+each document's words tests every window against it; only windows that pass,
+those of the benchmark and few others, are written, as words.  They meet the
+windows themselves in an equi-join, which proves each hit by its words: the
+windows are broadcast as a hash table after a check of their bytes, and
+shuffled beyond that bound.  Documents never shuffle, whatever the benchmark's
+size: only windows that pass do.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import checkpointed
+from .scratch import checkpointed, unused, written
 
 #: Words after A-Z are lower-cased: runs of digits, a-z and whatever is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,35 +40,68 @@ def item_windows(benchmark: DataFrame, n: int) -> DataFrame:
     return sized.distinct()
 
 
-_SPANS = "array<struct<at:int,size:int>>"
-
-
-def _hash(w: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(F.slice(w, at, F.lit(size)))
+#: Bits of the set for each window, and the most it has in all: 4 MB.  Beyond that more windows pass that are no hits.
+BITS, MOST_BITS = 32, 1 << 25
+#: Bytes of windows up to which they are broadcast.
+BROADCAST = 64 << 20
+_MAYBE = "array<struct<at:int,size:int,window:string>>"
 
 
 def _starts(w: Column, size: int) -> Column:
     return F.sequence(F.lit(1), F.size(w) - F.lit(size - 1))
 
 
-def _window(w: Column, at: Column, size: Column) -> Column:
-    return F.array_join(F.slice(w, at, size), " ")
+def bit_set(windows: DataFrame, count: int) -> Column:
+    """The windows' hashes as a constant array of 64-bit words: two bits of it are set for each."""
+    bits = 1 << max(10, min(MOST_BITS, BITS * max(1, count)).bit_length() - 1)
+    spots = windows.select(F.explode(F.array(*_bits(F.col("hash"), bits))).alias("bit"))
+    rows = spots.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("value")).collect()
+    words = [0] * (bits >> 6)
+    for r in rows:
+        words[r["word"]] = r["value"]
+    # one literal, whatever its length: a constant text that the optimiser turns into an array
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
+def _bits(h: Column, bits: int) -> list[Column]:
+    return [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
+
+
+def _passes(h: Column, known: Column, bits: int) -> Column:
+    one, two = (F.getbit(F.element_at(known, (F.shiftright(b, 6) + 1).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in _bits(h, bits))
+    return one & two
+
 
+def maybe_hits(w: Column, sizes: list[int], known: Column, bits: int) -> Column:
+    """(at, size, window) of the windows of ``w`` that the bit set lets pass, by size and position."""
+    found = []
+    for size in sizes:
+        spots = F.filter(_starts(w, size), lambda i: _passes(F.xxhash64(F.slice(w, i, F.lit(size))), known, bits))
+        each = F.transform(spots, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice(w, i, F.lit(size)), " ").alias("window")))
+        found.append(F.when(F.size(w) >= size, each).otherwise(F.array().cast(_MAYBE)))
+    return F.concat(*found) if found else F.array().cast(_MAYBE)
 
-def _spans(w: Column, size: int, hashes: list[int], texts: list[str]) -> Column:
-    """(at, size) of the windows of ``size`` words that are in the set: by their hash first, then by their words."""
-    likely = F.filter(_starts(w, size), lambda i: _hash(w, i, size).isin(hashes))
-    sure = F.filter(likely, lambda i: _window(w, i, F.lit(size)).isin(texts))
-    sized = F.transform(sure, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size")))
-    return F.when(F.size(w) >= size, sized).otherwise(F.array().cast(_SPANS))
 
+class Windows:
+    """The items' windows with what finds them."""
 
-def _hits_by_set(docs: DataFrame, windows: dict[int, list[tuple[str, int]]], name: str = "hits") -> DataFrame:
-    """``docs`` (with ``__words``) with (at, size) of each window that is an item's, by position."""
-    found = [_spans(F.col("__words"), size, sorted({h for _, h in known}), sorted({t for t, _ in known})) for size, known in sorted(windows.items())]
-    if not found:
-        return docs.withColumn(name, F.array().cast(_SPANS))
-    return docs.withColumn(name, F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])
+    def __init__(self, benchmark: DataFrame, n: int, broadcast_bytes: int = BROADCAST):
+        self.rows = checkpointed(item_windows(benchmark, n).withColumn("hash", F.xxhash64(F.split("window", " "))))
+        sums = self.rows.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.octet_length("window") + 48).alias("bytes")).collect()
+        self.sizes = sorted(r["size"] for r in sums)
+        count = sum(r["n"] for r in sums)
+        self.known = bit_set(self.rows.select("hash").distinct(), count)
+        self.bits = 1 << max(10, min(MOST_BITS, BITS * max(1, count)).bit_length() - 1)
+        self.small = sum(r["bytes"] for r in sums) <= broadcast_bytes
+
+    def maybe(self, w: Column) -> Column:
+        return maybe_hits(w, self.sizes, self.known, self.bits)
+
+    def proven(self, rows: DataFrame, row: str, maybe: str) -> DataFrame:
+        """(row, at, size, window) of the windows in ``maybe`` that are an item's, by their words."""
+        each = rows.where(F.size(maybe) > 0).select(F.col(row).alias("row"), F.inline(maybe))
+        own = self.rows.select("size", "window").distinct()
+        return each.join(F.broadcast(own) if self.small else own, ["size", "window"], "left_semi").select("row", "at", "size", "window")
 
 
 def covered(hits: Column) -> Column:
@@ -80,83 +115,53 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, zero, step, lambda acc: acc["n"])
 
 
-SCANNED = ("row", "doc_id", "n_words", "n_hit", "hits")
+def scanned(docs: DataFrame, windows: Windows) -> DataFrame:
+    """(row, doc_id, n_words, maybe): a row for each row of ``docs`` with the windows that pass; not yet run."""
+    own = docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("w"))
+    return own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").cast("long").alias("n_words"), windows.maybe(F.col("w")).alias("maybe"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_windows: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """A row for each row of ``docs``: row (unique), doc_id, n_words, n_hit, hits [(at, size, window)]; and the items' windows.
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST) -> tuple[DataFrame, DataFrame]:
+    """A row for each row of ``docs``: row (unique), doc_id, n_words, n_hit, hits [(at, size, window)], null without any;
+    and the items' windows (item_id, size, window)."""
+    windows = Windows(benchmark, n, broadcast_bytes)
+    rows = written(scanned(docs, windows), "scanned")
+    hits = windows.proven(rows, "row", "maybe").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "size", "window"))).alias("hits"))
+    found = rows.select("row", "doc_id", "n_words").join(hits, "row", "left")
+    return found.select("row", "doc_id", "n_words", F.coalesce(covered(F.col("hits")), F.lit(0)).cast("long").alias("n_hit"), "hits"), windows.rows
 
-    ``most_windows`` is the number of windows up to which they travel as a set in the plan (some 60 bytes each);
-    beyond it they are joined.  Both ways give the same rows.
-    """
-    windows = checkpointed(item_windows(benchmark, n).withColumn("hash", F.xxhash64(F.split("window", " "))))
-    own = docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("__words"))
-    if windows.count() <= most_windows:
-        known: dict[int, list[tuple[str, int]]] = {}
-        for r in windows.select("size", "window", "hash").distinct().collect():
-            known.setdefault(r["size"], []).append((r["window"], r["hash"]))
-        hit = _hits_by_set(own, known)
-        texts = F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), _window(F.col("__words"), x["at"], x["size"]).alias("window")))
-        rows = hit.select("doc_id", F.size("__words").cast("long").alias("n_words"), covered(F.col("hits")).alias("n_hit"), texts.alias("hits"))
-        return checkpointed(rows.select(F.monotonically_increasing_id().alias("row"), *SCANNED[1:])), windows
-    return _scan_by_join(own, windows), windows
-
-
-def _hashed_spans(w: Column, size: int) -> Column:
-    spans = F.transform(_starts(w, size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), _hash(w, i, size).alias("hash")))
-    return F.when(F.size(w) >= size, spans).otherwise(F.array().cast("array<struct<at:int,size:int,hash:bigint>>"))
-
-
-def _scan_by_join(own: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same rows by an equi-join of exploded window hashes; the words of a document meet its candidates once more for the proof."""
-    own = checkpointed(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "__words"))
-    sizes = [r["size"] for r in windows.select("size").distinct().collect()]
-    w = F.col("__words")
-    each = [_hashed_spans(w, s) for s in sorted(sizes)] or [F.array().cast("array<struct<at:int,size:int,hash:bigint>>")]
-    spots = own.select("row", F.inline(F.concat(*each)))
-    maybe = spots.join(windows.select("size", "hash").distinct(), ["size", "hash"])
-    per_row = maybe.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("maybe"))
-    with_text = own.join(per_row, "row", "left").select(
-        "row", "doc_id", F.size(w).cast("long").alias("n_words"),
-        F.transform(F.coalesce("maybe", F.array().cast(_SPANS)), lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), _window(w, x["at"], x["size"]).alias("window"))).alias("maybe"),
-    )
-    with_text = checkpointed(with_text)
-    proven = with_text.select("row", F.inline("maybe")).join(windows.select("size", "window").distinct(), ["size", "window"])
-    hits = proven.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "size", "window"))).alias("hits"))
-    rows = with_text.join(hits, "row", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<at:int,size:int,window:string>>")))
-    return rows.select("row", "doc_id", "n_words", covered(F.col("hits")).alias("n_hit"), "hits")
 
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_windows: int = 100_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Words are WORD after A-Z is lower-cased; a word is hit if it lies inside any occurrence of an item window.
     Null or empty texts have no words; null or empty items occur nowhere; repeated rows are reported each; equal
-    windows of several items count for each of them; an empty table gives no rows.
+    windows of several items count for each of them; an empty table gives no rows.  Beyond ``broadcast_bytes`` of
+    windows these are joined by a shuffle, with the same rows.
     """
-    rows, windows = scan(docs, benchmark, n, most_windows)
-    hit = rows.where(F.size("hits") > 0).select("row", F.explode(F.array_distinct(F.transform("hits", lambda x: x["window"]))).alias("window"))
+    found, windows = scan(docs, benchmark, n, broadcast_bytes)
+    rows = checkpointed(found)
+    hit = rows.where("hits is not null").select("row", F.explode(F.array_distinct(F.transform("hits", lambda x: x["window"]))).alias("window"))
     named = windows.select("window", F.col("item_id").cast("string").alias("item"))
     items = hit.join(named, "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<string>")
-    found = rows.select("row", "doc_id", "n_words", "n_hit").join(items, "row", "left").withColumn("items", F.coalesce("items", none))
-    return found.select(
+    full = rows.select("row", "doc_id", "n_words", "n_hit").join(items, "row", "left").withColumn("items", F.coalesce("items", none))
+    return full.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_windows: int = 100_000) -> DataFrame:
-    """The rows of ``docs`` without any hit, all columns as they are: the removal of documents, decided row by row where the set is used."""
-    windows = item_windows(benchmark, n).withColumn("hash", F.xxhash64(F.split("window", " ")))
-    known: dict[int, list[tuple[str, int]]] = {}
-    got = windows.select("size", "window", "hash").distinct().limit(most_windows + 1).collect()
-    if len(got) > most_windows:
-        keyed = checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
-        flagged = _scan_by_join(keyed.select(F.col("__row").alias("doc_id"), words(F.col("text")).alias("__words")), checkpointed(windows))
-        return keyed.join(flagged.where("n_hit > 0").select(F.col("doc_id").alias("__row")), "__row", "left_anti").drop("__row")
-    for r in got:
-        known.setdefault(r["size"], []).append((r["window"], r["hash"]))
-    # the row number keeps the filter above the words, which it would otherwise compute anew for every window
-    tagged = docs.withColumns({"__words": words(F.col("text")), "__row": F.monotonically_increasing_id()})
-    return _hits_by_set(tagged, known, "__hits").where((F.size("__hits") == 0) & (F.col("__row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST) -> DataFrame:
+    """The rows of ``docs`` without any hit, all columns as they are: the removal of documents.
+
+    Rows no window of which passes are clean; the others are told by the windows proven.
+    """
+    windows = Windows(benchmark, n, broadcast_bytes)
+    row, maybe, w = unused(docs, "row", "maybe", "w")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    tagged = docs.withColumn(w, words(F.col("text"))).select(*columns, F.monotonically_increasing_id().alias(row), windows.maybe(F.col(w)).alias(maybe))
+    tagged = written(tagged, "tagged")
+    hit = windows.proven(tagged, row, maybe).select(F.col("row").alias(row)).distinct()
+    clean = tagged.where(F.size(maybe) == 0).unionByName(tagged.where(F.size(maybe) > 0).join(hit, row, "left_anti"))
+    return clean.select(*columns)
