@@ -2,9 +2,11 @@
 
 Every text is scanned once for the base patterns and for unlabelled random-looking
 tokens.  The hash of each candidate value is counted over the whole corpus by
-distinct repositories and owners; a value that many owners hold is a copied
-example, one that few hold looks live.  Base findings are always reported; the
-unlabelled candidates are added where they are owner-specific.
+distinct repositories (documents) and owners (sources).  A value that several
+owners hold, or that lies in many repositories of however few owners, is a
+widely copied example; one that few repositories of few owners hold is specific
+to its owner and looks live.  Base findings are always reported; the unlabelled
+candidates are added where they are owner-specific.
 """
 
 from __future__ import annotations
@@ -90,21 +92,26 @@ def _spelled(found, kinds: int):
     return F.array_join(F.transform(own, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", copied_owners: int = 3) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+def scan_secrets(docs: DataFrame, owner: str = "source", copied_owners: int = 3, copied_repositories: int = 10) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, most_owners, most_repositories.
 
-    Spans are kind:start:end in code points.  ``spans`` has the base findings and, as kind ``owned``, the unlabelled
-    tokens whose value fewer than ``copied_owners`` owners hold; ``n_live`` counts spans of such values, ``n_copied``
-    spans of widely held ones.  Null and empty texts have no spans; null owners count as one owner; repeated rows are
-    reported each (as one repository); an empty table gives no rows.
+    Spans are kind:start:end in code points.  A value is copied if ``copied_owners`` owners or ``copied_repositories``
+    repositories or more hold it, else live.  ``spans`` has the base findings and, as kind ``owned``, the unlabelled
+    tokens of live values; ``n_live`` and ``n_copied`` count the spans of either among base findings and live tokens,
+    the last two columns the owners and repositories of the value that has most.  Null and empty texts have no spans;
+    null owners count as one owner; rows without an id are one repository of their owner; repeated rows are reported
+    each (as one repository); an empty table gives no rows.  The values meet their counts in a join whose hot values
+    adaptive execution splits.
     """
     found = written(candidates(docs, owner), "secrets")
     counts = ownership(found)
     each = found.select("row", F.explode("found").alias("x")).select("row", "x", F.col("x.value").alias("value"))
-    judged = each.join(written(counts, "ownership"), "value").select("row", "x", (F.col("n_owners") < copied_owners).alias("live"))
+    live = (F.col("n_owners") < copied_owners) & (F.col("n_repositories") < copied_repositories)
+    judged = each.join(written(counts, "ownership"), "value").select("row", "x", "n_owners", "n_repositories", live.alias("live"))
     per_row = judged.where((F.col("x.kind") < 3) | F.col("live")).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("x.start", "x.kind", "x.stop"))).alias("all"),
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"),
+        F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"),
     )
     full = found.join(per_row, "row", "left")
     base = _spelled(F.col("found"), 3)
@@ -112,7 +119,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", copied_owners: int = 3)
     return full.select(
         "doc_id", *[c.alias(f"n_{k}") for c, k in zip(kinds, KINDS)], F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         F.coalesce(_spelled(F.col("all"), 4), F.lit("")).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied", "most_owners", "most_repositories")],
     )
 
 
