@@ -1,12 +1,13 @@
 """Token-id output: frequency-ranked ids in a byte-aligned variable-length code.
 
-The format is a folder of Parquet blocks, so that any store Spark can write
-will do.  A block holds consecutive documents in ascending doc_id order: their
-ids, token counts, the global position of the block's first token, and two
+The format is a folder with two Parquet tables, so that any store Spark can
+write will do.  ``ranks`` (rank, id) names the ids by falling corpus frequency.
+A row of ``blocks`` holds consecutive documents in ascending doc_id order: their
+ids, token counts, the position of the block's first token in its shard, and two
 separate byte streams - control bytes (four 2-bit byte lengths each) and data
-bytes (1 to 4 little-endian bytes a value).  Values are ranks of ids by falling
-corpus frequency, so that the 256 commonest ids take one byte.  Readers decode
-a block with a table of 256 control bytes.
+bytes (1 to 4 little-endian bytes a value).  Values are ranks, so that the 256
+commonest ids take one byte.  Shards follow one another by number, and readers
+decode a block with a table of 256 control bytes; they need the folder alone.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import tokenised
-from .scratch import written
+from .scratch import new_path, written
 from .tokens import crc32_u4, vocabulary_path
 
 BLOCKS = "shard long, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, control binary, data binary"
@@ -73,10 +74,10 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
     return np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
-def write_blocks(docs: DataFrame, vocabulary: str, cut: str, end_id: int = 1, block_tokens: int = 1 << 18, shards: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """Write ``docs`` in the format; returns the blocks as read back, and the ids by rank.
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str, cut: str, end_id: int = 1, block_tokens: int = 1 << 18, shards: int | None = None) -> None:
+    """Write ``docs`` in the format to ``folder``, which must not hold any yet.
 
-    Null doc_ids come first, equal doc_ids in order of a hash of their texts.  Null and empty texts hold the end id alone.
+    Null doc_ids come first, equal doc_ids in order of a hash of their ids.  Null and empty texts hold the end id alone.
     """
     spark = docs.sparkSession
     tagged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -114,11 +115,16 @@ def write_blocks(docs: DataFrame, vocabulary: str, cut: str, end_id: int = 1, bl
         if names:
             yield block()
 
-    return written(ordered.select("doc_id", "n_tokens", "ids").mapInArrow(blocks, BLOCKS), "blocks"), by_rank
+    spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
+    ordered.select("doc_id", "n_tokens", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(f"{folder}/blocks")
 
 
-def read_blocks(blocks: DataFrame, by_rank: np.ndarray, with_ids: bool = True) -> DataFrame:
-    """One row a document from the files alone: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids."""
+def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """One row a document from the files of ``folder`` alone: doc_id, start (ids of all documents before it), n_tokens,
+    ids_crc32, ids."""
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    ranks = spark.read.schema("rank long, id long").parquet(f"{folder}/ranks").collect()  # as many as the vocabulary at most
+    by_rank = np.array([r["id"] for r in sorted(ranks)], np.uint32)
     bases, at = {}, 0
     for shard, n in sorted((r["shard"], r["n"]) for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()):
         bases[shard] = at
@@ -144,6 +150,7 @@ def read_blocks(blocks: DataFrame, by_rank: np.ndarray, with_ids: bool = True) -
 
 
 def token_output(docs: DataFrame, vocabulary: str | None = None, cut: str = "space", end_id: int = 1, with_ids: bool = True) -> DataFrame:
-    """Tokenise, write the files, read them back (READ)."""
-    blocks, by_rank = write_blocks(docs, vocabulary or vocabulary_path("word_bpe_49k.json"), cut, end_id)
-    return read_blocks(blocks, by_rank, with_ids)
+    """Tokenise, write the files in the shared folder, read them back (READ)."""
+    folder = new_path(docs.sparkSession, "token-files")
+    write_tokens(docs, folder, vocabulary or vocabulary_path("word_bpe_49k.json"), cut, end_id)
+    return read_tokens(docs.sparkSession, folder, with_ids)
