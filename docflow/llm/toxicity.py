@@ -2,11 +2,12 @@
 
 Words, and prefixes of words for those not seen, carry log-odds between toxic
 and clean labelled documents under an informative Dirichlet prior.  A
-linear-time scan finds all maximal scoring segments of a text.  Karlin-Altschul
-statistics of the clean documents turn segment scores into significance; the
-sum of what the significant passages exceed chance by is the document's
-evidence, and a logistic fit on labelled documents that did not train the words
-calibrates it to a probability.
+linear-time scan finds all maximal scoring segments of a text.  The best segment
+of a clean text of m words follows an extreme-value law, P(best < s) =
+exp(-K m e^(-lambda s)); lambda and K are fitted to the clean documents of a fold
+that did not train the words.  What the passages of a text exceed chance by,
+lambda s - ln(K m), is summed to the document's evidence, and a logistic fit on
+the same fold calibrates it to a probability.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ LEAST_ODDS = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
 class Model:
     """``feature``: sorted hashes, ``odds``: their scores; every other word scores ``other`` (below 0).
 
-    ``rate`` and ``scale`` are Karlin-Altschul's lambda and K; ``offset`` and ``slope`` the logistic calibration.
+    ``rate`` and ``scale`` are the extreme-value law's lambda and K; ``offset`` and ``slope`` the logistic calibration.
     """
 
     feature: np.ndarray
@@ -147,22 +148,25 @@ def maximal_segments(at: list[int], score: list[float], other: float) -> list[tu
     """All maximal scoring segments (score, first word, last word) of a text whose words score ``other`` but for those at ``at``.
 
     Ruzzo and Tompa's scan; it needs to look at the words above 0 only, as every segment begins and ends with one.
+    Each segment keeps the place of the last one with a smaller left sum, so that none is looked at twice in a search
+    and the time is linear.
     """
-    found: list[list[float]] = []  # [left sum, right sum, first, last]
+    found: list[tuple[float, float, int, int, int]] = []  # left sum, right sum, first, last, place of that one
     total, before = 0.0, -1
     for i, s in zip(at, score):
         total += other * (i - before - 1)
         left, total, before, first = total, total + s, i, i
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= total:
-                found.append([left, total, first, i])
+                found.append((left, total, first, i, j))
                 break
-            left, first = found[j][0], found[j][2]
+            left, _, first, _, up = found[j]
             del found[j:]
-    return [(r - x, int(a), int(b)) for x, r, a, b in found]
+            j = up
+    return [(r - x, a, b) for x, r, a, b, _ in found]
 
 
 def passages(model: Model, words: int, at: list[int], score: list[float]) -> list[tuple[float, int, int]]:
@@ -185,16 +189,21 @@ def evidences(models: list[Model], sieve: np.ndarray, column: pa.Array) -> list[
     for a, b in chunks(offsets):
         own, row, at, score = word_scores(models[0], sieve, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         for model, (total, many) in zip(models, out):
-            good = score >= model.least
-            r, i, s = row[good], at[good].tolist(), score[good].tolist()
-            heads = np.flatnonzero(np.diff(r, prepend=-1)).tolist()
-            for first, last in zip(heads, [*heads[1:], len(i)]):
-                which = int(r[first])
-                found = passages(model, int(own[which]), i[first:last], s[first:last])
+            for which, i, s in by_row(row, at, score, model.least):
+                found = passages(model, int(own[which]), i, s)
                 total[a + which], many[a + which] = sum(x[0] for x in found), len(found)
     return out
 
 
+def by_row(row: np.ndarray, at: np.ndarray, score: np.ndarray, least: float) -> Iterator[tuple[int, list[int], list[float]]]:
+    """(row, positions, scores) of the rows with words of ``least`` or more."""
+    good = score >= least
+    r, i, s = row[good], at[good].tolist(), score[good].tolist()
+    heads = np.flatnonzero(np.diff(r, prepend=-1)).tolist()
+    for first, last in zip(heads, [*heads[1:], len(i)]):
+        yield int(r[first]), i[first:last], s[first:last]
+
+
 def probability(model: Model, total: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.offset + model.slope * np.log1p(total), -30, 30)))
 
@@ -245,17 +254,62 @@ def hit_counts(fold: DataFrame, model: Model) -> tuple[list[Model], list[dict[in
 
 
 def statistics(model: Model, counted: dict[int, tuple[int, int]]) -> Model:
-    """Score of other words, lambda and K, from the counts of clean and toxic documents."""
-    words, hits = ([counted[k][i] for k in (0, 1)] for i in (0, 1))
+    """Score of other words, from the counts of toxic documents, and the lambda that the clean ones' word scores imply."""
+    words, hits = ([counted.get(k, (0, 0))[i] for k in (0, 1)] for i in (0, 1))
     other = min(-0.002, math.log(1 - min(0.9, (hits[1] + 0.5) / (words[1] + 1))))
     p, mean = min(0.5, (hits[0] + 0.5) / (words[0] + 1)), float(np.median(model.odds))
     low, high = 1e-6, 2.0  # the positive root of p e^(rate mean) + (1 - p) e^(rate other) = 1
     for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if p * math.exp(min(700, mid * mean)) + (1 - p) * math.exp(mid * other) < 1 else (low, mid)
-    # each segment of a clean text begins at a word above 0, so these bound the segments by chance
-    scale = (hits[0] + 0.5) * math.exp(min(50.0, low * float(model.odds.min()))) / (words[0] + 1)
-    return replace(model, other=other, rate=low, scale=scale)
+    return replace(model, other=other, rate=low)
+
+
+def extreme_law(best: np.ndarray, words: np.ndarray, n: np.ndarray, blank: float, rate: float) -> tuple[float, float]:
+    """lambda and K of greatest likelihood: ``n`` texts of ``words`` words in all have a best segment of ``best``, and texts
+    of ``blank`` words in all have none.  Too few segments for a fit keep ``rate`` as their lambda."""
+    total = float(n.sum())
+
+    def scale(x: float) -> float:
+        return (total + 0.5) / (float((words * np.exp(-x * best)).sum()) + blank + 1)
+
+    def slope(x: float) -> float:  # of the likelihood, which is concave along this path
+        return total / x - float((n * best).sum()) + scale(x) * float((words * best * np.exp(-x * best)).sum())
+
+    if total >= 20 and len(best) > 1:
+        low, high = 1e-3, 20.0
+        if slope(low) > 0 > slope(high):
+            for _ in range(60):
+                rate = (low + high) / 2
+                low, high = (rate, high) if slope(rate) > 0 else (low, rate)
+    return rate, scale(rate)
+
+
+def extreme_laws(fold: DataFrame, models: list[Model], steps: int = 8) -> list[Model]:
+    """The models with lambda and K fitted to the best segments of the fold's clean texts, counted in 1/``steps``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = models[0].sieve()
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for a, b in chunks(offsets):
+                own, row, at, score = word_scores(models[0], sieve, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for k, model in enumerate(models):
+                    best = np.zeros(b - a)
+                    for r, i, s in by_row(row, at, score, model.least):
+                        best[r] = max(x for x, _, _ in maximal_segments(i, s, model.other))
+                    step, which = np.unique(np.ceil(best * steps).astype(np.int64), return_inverse=True)
+                    columns = [np.full(len(step), k), step, np.bincount(which), np.bincount(which, own).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["level", "step", "n", "words"])
+
+    got = fold.where("toxic = 0").select("text").mapInArrow(run, "level long, step long, n long, words long").groupBy("level", "step").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
+    out = []
+    for k, m in enumerate(models):
+        rows = [(r["step"] / steps, r["words"], r["n"]) for r in got if r["level"] == k and r["step"] > 0]
+        best, words, n = np.array(rows, float).reshape(-1, 3).T
+        rate, scale = extreme_law(best, words, n, sum(r["words"] for r in got if r["level"] == k and r["step"] == 0), m.rate)
+        out.append(replace(m, rate=rate, scale=scale))
+    return out
 
 
 def calibrations(fold: DataFrame, models: list[Model]) -> list[tuple[float, Model]]:
@@ -299,8 +353,9 @@ def training_labels(labels: DataFrame, most: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, most_features: int = 50_000, least_z: float = 2.5) -> Model:
     """Train on labelled documents outside the held-out third; ``most_labels`` bounds the sample that is broadcast and collected.
 
-    The words' odds are fit on one fold and calibrated on the other, then fit again on both.  Without toxic labels
-    every score is the base rate.
+    Of labelled rows with equal text and label one trains, as if each weighed one by their number; a text with both
+    labels counts once for each.  The words' odds are fit on one fold; the extreme-value law and the calibration on the
+    other; then the odds again on both.  Without toxic labels every score is the base rate.
     """
     chosen = training_labels(labels, most_labels)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -320,7 +375,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000, most_fea
             return math.inf, base_rate(model)
         fold = labelled.where("fold = 1")
         # the least score that a word needs is the one of several that predicts the fold best
-        tried = [statistics(m, counted) for m, counted in zip(*hit_counts(fold, model))]
+        tried = extreme_laws(fold, [statistics(m, counted) for m, counted in zip(*hit_counts(fold, model))])
         return min(calibrations(fold, tried), key=lambda x: x[0], default=(math.inf, base_rate(model)))
 
     # so is the support that a feature needs
