@@ -254,13 +254,13 @@ def brute_hits(texts, items, n=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most", [100_000, 1])
+@pytest.mark.parametrize("most", [decontam.BROADCAST, 1])
 def test_decontamination(spark, most):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    df = frame(spark, TEXTS)
-    got = decontam.decontaminate(df, bench, most_windows=most).collect()
+    df = frame(spark, TEXTS, "row string")
+    got = decontam.decontaminate(df, bench, broadcast_bytes=most).collect()
     assert sorted(map(tuple, got)) == brute_hits(TEXTS, ITEMS)
-    clean = decontam.clean_documents(df, bench, most_windows=most)
+    clean = decontam.clean_documents(df, bench, broadcast_bytes=most)
     assert clean.columns == df.columns
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(x[0] for x in brute_hits(TEXTS, ITEMS) if not x[5])
 
@@ -271,10 +271,60 @@ def test_decontamination_empty(spark):
     assert decontam.decontaminate(df, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_decontamination_runs_no_python(spark):
+def test_decontamination_runs_no_python(spark, monkeypatch):
+    """Every plan that the operator runs, not only what is left of it after its tables are written."""
     bench, df = spark.createDataFrame(ITEMS, "item_id long, text string"), frame(spark, TEXTS)
-    plan = decontam.decontaminate(df, bench)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    plans = []
+    for name in ("written", "checkpointed"):
+        run = getattr(decontam, name)
+        monkeypatch.setattr(decontam, name, lambda d, *a, run=run: (plans.append(d), run(d, *a))[1])
+    plans += [decontam.decontaminate(df, bench), decontam.clean_documents(df, bench)]
+    read = [d._jdf.queryExecution().executedPlan().toString() for d in plans]
+    assert len(read) == 7 and any("regexp_extract_all" in p for p in read)
+    assert not any(re.search("Python|Pandas|Arrow", p.replace("PythonRDD", "")) for p in read)
+
+
+def test_decontamination_by_many_windows(spark):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(r.choices(words, k=60))) for i in range(2000)]  # 102 000 windows
+    texts = [(i, " ".join(r.choices(words, k=300)), "s") for i in range(40)] + [(100 + i, "x y " + items[i][1] + " z", "s") for i in range(0, 2000, 97)]
+    got = decontam.decontaminate(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute_hits(texts, items)
+
+
+def test_helper_columns_do_not_clash(spark):
+    bench = spark.createDataFrame([(3, "tiny item")], "item_id long, text string")
+    rows = [(i, "a tiny item" if i % 3 else f"one line that all of them hold\nown {i} text", i, "k", None) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long, keep string, `__doc` string").selectExpr("*", "row AS maybe", "row AS w", "row AS doc", "row AS text_hash", "keep AS `__keep`", "keep AS `a.b`")
+    for out in (decontam.clean_documents(df, bench), line_dedup.replace_text(df, line_dedup.keep_bitmaps(df)), minhash.keep_one(df)):
+        got = out.collect()
+        assert out.columns == df.columns and got and all(r["row"] == r["doc_id"] == r["w"] and r["keep"] == "k" == r["a.b"] for r in got)
+    assert line_dedup.replace_text(df, line_dedup.keep_bitmaps(df)).where("text LIKE 'one line%'").select("doc_id").collect() == [(6,)]
+
+
+def test_very_long_texts(spark):
+    r = random.Random(3)
+    long = "\n".join(" ".join(r.choices("abcdefgh", k=40)) for _ in range(20_000)) + "\nthe very same line of all\n" + "y" * 500_000
+    rows = [(i, f"{long}\nend {i}", "s") for i in range(3)] + [(9, "the very same line of all", "s")]
+    got = sorted(map(tuple, line_dedup.dedup_lines(frame(spark, rows)).drop("text").collect()))
+    assert got == brute_lines(rows)
+    rows = [(1, long + " secret=" + "q1" * 40, "s")]
+    assert secret_scan.scan_secrets(frame(spark, rows)).first()["n_assign"] == 1
+    bench = [(1, "the very same line of all")]
+    rows = [(1, long, "s")]
+    assert sorted(map(tuple, decontam.decontaminate(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect())) == brute_hits(rows, bench)
+
+
+def test_spans_that_agree_modulo_powers_of_two():
+    from docflow.llm.kernels import span_hashes
+
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096)).encode()
+    b = a.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(a + b + a, np.uint8)
+    for which in (0, 1):
+        h = span_hashes(data, np.array([0, 4096, 8192]), np.array([4096, 8192, 12288]), which)
+        assert h[0] == h[2] != h[1]
 
 
 def brute_secrets(text):
@@ -319,6 +369,32 @@ def test_ownership_counts(spark):
     assert [tuple(r)[1:] for r in secret_scan.ownership(found).collect()] == [(7, 30, 60)]
 
 
+def test_ownership_decides_as_counted_by_hand(spark):
+    """Every value of a random corpus against distinct owners and documents counted in Python."""
+    r = random.Random(21)
+    values = ["".join(r.choices(string.ascii_letters + string.digits, k=24)) + "9z" for _ in range(40)]
+    rows = []
+    for i in range(400):
+        own = r.choices(values, weights=[1 / (k + 1) for k in range(40)], k=r.randint(0, 2))
+        rows.append((i, " ".join(f"token={v}" if r.random() < 0.5 else v for v in own), r.choices(["a", "b", "c", "d", None], weights=[60, 5, 5, 5, 5])[0]))
+    rows += [(1000 + i, f"token=onlyOneSource77x {values[39]}", "hot") for i in range(500)]
+    owners, repositories = {}, {}
+    for d, t, s in rows:
+        for v in set(t.replace("token=", "").split()):
+            owners.setdefault(v, set()).add(s or "")
+            repositories.setdefault(v, set()).add((d, s or ""))
+    copied = {v for v in owners if len(owners[v]) >= 3 or len(repositories[v]) >= 10}
+    assert "onlyOneSource77x" in copied and len(owners["onlyOneSource77x"]) == 1 and 0 < len(copied) < len(owners)
+    for r_ in secret_scan.scan_secrets(frame(spark, rows)).collect():
+        text = next(t for d, t, _ in rows if d == r_["doc_id"])
+        words = text.split()
+        labelled = [w[6:] for w in words if w.startswith("token=")]
+        bare = [w for w in words if not w.startswith("token=")]
+        assert r_["n_copied"] == sum(v in copied for v in labelled)
+        assert r_["n_live"] == sum(v not in copied for v in labelled + bare)
+        assert r_["spans"].count("owned") == sum(v not in copied for v in bare)
+
+
 def toxic_corpus():
     r = random.Random(9)
     rows, labels = [], []
@@ -383,6 +459,69 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none)).count() == 0
 
 
+def test_segments_of_falling_sums_take_linear_time():
+    import time
+
+    n = 200_000
+    began = time.perf_counter()
+    found = toxicity.maximal_segments(list(range(0, 40 * n, 40)), [1.0] * n, -0.05)
+    assert len(found) == n and time.perf_counter() - began < 10
+
+
+def test_extreme_law_finds_what_made_the_scores():
+    r = np.random.default_rng(8)
+    rate, scale = 0.7, 0.02
+    words = r.integers(20, 2000, 20_000)
+    best = (np.log(scale * words) + r.gumbel(size=len(words))) / rate
+    hit = best > 0
+    got = toxicity.extreme_law(best[hit], words[hit].astype(float), np.ones(hit.sum()), float(words[~hit].sum()), 1.0)
+    assert abs(got[0] / rate - 1) < 0.05 and abs(got[1] / scale - 1) < 0.1
+    assert toxicity.extreme_law(np.zeros(0), np.zeros(0), np.zeros(0), 1000.0, 0.9)[0] == 0.9
+
+
+def test_scores_match_brute_force(spark):
+    """Word scores, segments, law and logistic of a fitted model, word by word in Python."""
+    import math
+
+    rows, labels = toxic_corpus()
+    rows = [*rows, (7000, "blorgo " + "nae " * 150_000 + "zxkvu grimpfen", "s")]
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    odds = dict(zip(model.feature.tolist(), model.odds.tolist()))
+
+    def hashes(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        _, _, found = toxicity.features(data, np.array([0, len(data)]))
+        return [int(h[0]) for _, h in found if len(h)]
+
+    known = {}
+
+    def score(text):
+        x = []
+        for w in text.split():
+            if w not in known:
+                known[w] = max([odds.get(h, 0.0) for h in hashes(w)], default=0.0)
+            x.append(known[w])
+        x = [v if v >= model.least and v > 0 else model.other for v in x]
+        total, stack = 0.0, [(0, len(x))]
+        sums = np.concatenate([[0.0], np.cumsum(x)])
+        while stack:  # the best segment of a stretch, then what lies left and right of it
+            a, b = stack.pop()
+            if a >= b:
+                continue
+            low = np.minimum.accumulate(sums[a:b])
+            gains = sums[a + 1 : b + 1] - low
+            end = int(gains.argmax())
+            if gains[end] <= 1e-9:
+                continue
+            start = int(sums[a : a + end + 1].argmin())
+            total += max(0.0, model.rate * gains[end] - max(0.0, math.log(model.scale * len(x))))
+            stack += [(a, a + start), (a + end + 1, b)]
+        return 1 / (1 + math.exp(-(model.offset + model.slope * math.log1p(total))))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, rows), model).collect()}
+    assert max(abs(got[d] - score(t)) for d, t, _ in rows) < 1e-6
+
+
 def test_maximal_segments_match_brute_force():
     r = random.Random(4)
 

@@ -78,3 +78,22 @@ def test_empty_tables(spark):
     none = docs(spark, [])
     assert packing.pack(none).count() == 0
     assert token_output.token_output(none).count() == 0
+
+
+def test_token_files_are_read_in_another_process(spark, tmp_path):
+    """From the folder alone, without Spark or anything that the writer held."""
+    import subprocess
+    import sys
+
+    token_output.write_tokens(docs(spark), f"file://{tmp_path}/files", vocabulary_path("word_bpe_49k.json"), "space")
+    code = f"""
+import numpy as np, pyarrow.parquet as pq
+from docflow.llm.token_output import decode_values
+ranks = sorted(zip(*(c.to_pylist() for c in pq.read_table({str(tmp_path)!r} + "/files/ranks").columns)))
+ids = np.array([i for _, i in ranks])
+for b in sorted(pq.read_table({str(tmp_path)!r} + "/files/blocks").to_pylist(), key=lambda b: (b["shard"], b["first_token"])):
+    print(*ids[decode_values(b["control"], b["data"], b["n_tokens"])], end=" ")
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    want = [i for d, t in sorted(DOCS, key=lambda x: (x[0] is not None, x[0] or 0)) for i in library("word_bpe_49k.json", t)]
+    assert list(map(int, said.split())) == want

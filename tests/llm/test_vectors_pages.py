@@ -99,6 +99,49 @@ def test_decoding_is_consistent():
     assert judges is html_extract.train()
 
 
+def test_trees_of_the_file_are_those_of_the_training(tmp_path):
+    judges, held = html_extract.train(), html_extract.load()
+    table = html_extract.matrix([html_extract.node_table(parse(PageMaker(9).page()))])
+    html_extract.save(judges, tmp_path / "trees.json")
+    for got in (held, html_extract.load(tmp_path / "trees.json")):
+        assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(got.odds(table), judges.odds(table)))
+
+
+MB = 1 << 20
+
+
+@pytest.mark.parametrize("html", [
+    "<a x " * (MB // 5), '<a x="' * (MB // 6), '<a x=">" ' * (MB // 9), "<!" * (MB // 2), "<" * MB, "<title>" * (MB // 7), "<svg>" * (MB // 5), "<!--" * (MB // 4),
+    "<div>" * (MB // 10) + "</x>" * (MB // 8), "<li><ul>" + "<div>" * 40_000 + "<li></li>" * 40_000, "<button>" + "<div>" * 60_000 + "</x>" * 60_000, "<script>" + "</script" * (MB // 8),
+], ids=range(12))
+def test_time_is_linear(html):
+    import time
+
+    began = time.perf_counter()
+    parse(html)
+    assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<article><p title=it's>one</p><p>two's</p></article>", ["one", "two's"]),
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>", ["a x=2 b"]),
+    ("<head><script>if (a<b) w('</p>')</script><body><p>one</p>", ["one"]),
+    ('<p title="a>b">one</p><p title=\'c">d\'>two</p>', ["one", "two"]),
+    ("<p>one</p><p title=\"x>two</p><p>three", ["one", "two", "three"]),
+    ("<p>one <a href=x", ["one <a href=x"]),
+    ("<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table><td>e</table>f", ["a", "b", "c", "d", "e", "f"]),
+])
+def test_odd_html(html, want):
+    assert [t for _, t in parse(html).blocks] == want
+
+
+def test_extract_very_long_pages(spark):
+    text = "word and word, " * 20_000
+    pages = [(1, "u", f"<html><body><nav><a href=/>x</a></nav><article><h1>T</h1>{'<p>short one.</p>' * 40_000}<p>{text}</p></article></body></html>")]
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).first()["text"].split("\n")
+    assert got == ["T"] + ["short one."] * 40_000 + [text.strip()]
+
+
 def test_warc_round_trip_and_links(spark):
     df = spark.createDataFrame([(1, "http://h.example/a", PAGE), (2, None, None), (1, "http://h.example/a", PAGE)], "page_id long, url string, html string")
     rows = warc.page_derivatives(df).collect()
@@ -124,3 +167,70 @@ def test_warc_files(spark):
     rows = warc.derivatives(files).collect()
     assert len(rows) == 2 * (2 + 2 + 1)
     assert sum(b"source-truncated: length" in (r["record"] or b"") for r in rows) == 1
+
+
+#: A file that this module did not write: version 1.0, other header names and orders, two encodings, a redirect and an image.
+_PAGE = b"<title>t</title><p>caf\xe9 <a href='../z?a=1&amp;b=2'>z</a>"
+
+
+def _foreign():
+    import zlib
+
+    packed = gzip.compress("<p>zipped é</p>".encode(), mtime=0)
+    chunked = b"5\r\n<p>ab\r\n6;x=y\r\nc</p>!\r\n0\r\n\r\n"
+    http = [
+        b"HTTP/1.0 200 OK\r\nServer: x\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n" + _PAGE,
+        b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nContent-Type: text/html\r\n\r\n" + packed,
+        b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\ncontent-type: text/html\r\n\r\n" + chunked,
+        b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG\r\n\r\nWARC/1.0 inside\r\n",
+        b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: br\r\n\r\n\x01\x02",
+        b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Encoding: deflate\r\n\r\n" + zlib.compress(b"plain <b>"),
+    ]
+    out = [b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n"]
+    for i, block in enumerate(http):
+        head = f"WARC/1.0\r\nwarc-record-id: <urn:uuid:{i}>\r\nContent-Length: {len(block)}\r\nWARC-IP-Address: 192.0.2.{i}\r\nWARC-TYPE: response\r\nWARC-Target-URI: http://h.example/a/{i}\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n\r\n"
+        out.append(head.encode() + block + b"\r\n\r\n")
+    return out
+
+
+def _texts(rows):
+    return {r["refers_to"]: warc_block(r) for r in rows if r["warc_type"] == "conversion"}
+
+
+def warc_block(row):
+    ((_, block),) = warc.read_records(row["record"])
+    return block.decode()
+
+
+def test_warc_files_of_others(spark, tmp_path):
+    records = _foreign()
+    want = {"<urn:uuid:0>": "café z", "<urn:uuid:1>": "zipped é", "<urn:uuid:2>": "abc\n!", "<urn:uuid:5>": "plain <b>"}
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    for name in ("plain.warc", "packed.warc.gz"):
+        whole = warc.derivatives(spark.read.format("binaryFile").load(f"{tmp_path}/{name}")).collect()
+        each = warc.derivatives(warc.read_warc(spark, f"{tmp_path}/{name}")).collect()
+        key = lambda r: (r["refers_to"], r["warc_type"])
+        assert sorted(map(tuple, whole), key=str) == sorted(map(tuple, each), key=str) and len(whole) == 10
+        assert _texts(whole) == want
+        meta = {r["refers_to"]: warc_block(r) for r in whole if r["warc_type"] == "metadata"}
+        assert "source-http-set-cookie: a=1\r\nsource-http-set-cookie: b=2\r\n" in meta["<urn:uuid:0>"] and "source-warc-ip-address: 192.0.2.0" in meta["<urn:uuid:0>"]
+        assert "outlink: http://h.example/z?a=1&b=2" in meta["<urn:uuid:0>"] and "text-missing: image/png" in meta["<urn:uuid:3>"] and "text-missing: br" in meta["<urn:uuid:4>"]
+        assert len({key(r) for r in whole}) == 10
+
+
+def test_damaged_warc_files(spark):
+    records = _foreign()
+    packed = gzip.compress(records[1]) + gzip.compress(records[2])
+    wrong = records[1].replace(b"Content-Length: ", b"Content-Length: x")
+    files = [b"".join(records)[:-10], packed[:-25], packed[: len(gzip.compress(records[1]))] + b"\x1f\x8bjunk", wrong + records[2], b"WARC/1.0\r\n", b"\x1f\x8b", b"no warc", b"\xff" * 5000]
+    rows = [warc.derivatives(spark.createDataFrame([(f,)], "content binary")).collect() for f in files]
+    assert [len(r) for r in rows] == [10, 4, 2, 4, 0, 0, 0, 0]
+    assert _texts(rows[3]) == {"<urn:uuid:0>": "café z", "<urn:uuid:1>": "zipped é"}
+    assert sum(b"WARC-Truncated: unspecified" in r["record"] for r in rows[3]) == 2 and sum(b"WARC-Truncated: length" in r["record"] for r in rows[0]) == 2
+
+
+def test_very_long_warc_record():
+    page = "<p>" + "word " * 1_000_000 + "</p>"
+    ((headers, block),) = warc.read_records(gzip.compress(warc.response("http://h/", page, "2024-01-01T00:00:00Z")))
+    assert "x-truncated" not in headers and len(warc.derive(headers, block)[1]["record"]) > 4_900_000
