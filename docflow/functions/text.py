@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +20,11 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, f"{SPACE}+", " "))
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(x, rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
 def has_text(x: Column) -> Column:
     """Whether anything but white space is there."""
     return x.rlike(f"[^{SPACE[1:-1]}]")
@@ -47,6 +53,27 @@ def tokens(x: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.char_length(x) / F.lit(4.0))).cast("int")
 
 
+def word_tokens(x: Column) -> Column:
+    """Words parted by white space, one at least: another measure of a chunk."""
+    return F.greatest(F.lit(1), F.size(F.filter(F.split(x, f"{SPACE}+"), lambda w: w != ""))).cast("int")
+
+
+def tokenizer_tokens(path: str):
+    """A measure by a vocabulary file of the tokenizers library (F6, X5), one token at least, Arrow batches at a time."""
+    held = {}
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        if path not in held:
+            from tokenizers import Tokenizer
+
+            held[path] = Tokenizer.from_file(path)
+        found = held[path].encode_batch([t or "" for t in texts], add_special_tokens=False)
+        return pd.Series([max(1, len(e.ids)) for e in found])
+
+    return count
+
+
 def separators(x: Column) -> Column:
     """Separators in a text."""
     return ((F.char_length(x) - F.char_length(F.replace(x, F.lit(SEPARATOR), F.lit("")))) / len(SEPARATOR)).cast("int")
@@ -61,18 +88,34 @@ def word_runs(x: Column) -> Column:
     return F.filter(F.split(x, f"[^{WORD}]+"), lambda w: w != "")
 
 
-def english_score(x: Column) -> Column:
-    """Likelihood that a text is English (M1): shares of common words and of typical openings, and a length bonus."""
+def english_words(x: Column) -> Column:
+    """(n, common): words of Latin letters without accents, and those among them that are common in English."""
+    words = F.regexp_extract_all(F.lower(x), F.lit(f"(?<![{WORD}])[a-z]+(?![{WORD}])"), F.lit(0))
+    return F.aggregate(
+        words, F.struct(F.lit(0).alias("n"), F.lit(0).alias("common")),
+        lambda acc, w: F.struct((acc["n"] + 1).alias("n"), (acc["common"] + F.when(w.isin(sorted(set(COMMON_ENGLISH))), 1).otherwise(0)).alias("common")),
+    )
+
+
+def english_openings(x: Column) -> Column:
+    """How many kinds of typical English openings a text has."""
     low = F.lower(x)
-    words = F.filter(word_runs(low), lambda w: w.rlike("^[a-z]+$"))
-    common = F.size(F.filter(words, lambda w: w.isin(sorted(set(COMMON_ENGLISH)))))
-    n = F.size(words)
     opened = [F.when(low.rlike(f"(^|[^{WORD}])({alt}){SPACE}" + (f"+[{WORD}]" if word else "")), 1).otherwise(0) for alt, word in ENGLISH_OPENINGS]
-    hits = sum(opened[1:], opened[0])
-    score = F.lit(0.6) * (common.cast("double") / n) + F.lit(0.3) * (hits.cast("double") / F.lit(5.0)) + F.least(n.cast("double") / F.lit(10.0), F.lit(0.2))
+    return sum(opened[1:], opened[0])
+
+
+def english_sum(n: Column, common: Column, opened: Column) -> Column:
+    """The score from its three parts: shares of common words and of openings, and a length bonus."""
+    score = F.lit(0.6) * (common.cast("double") / n) + F.lit(0.3) * (opened.cast("double") / F.lit(5.0)) + F.least(n.cast("double") / F.lit(10.0), F.lit(0.2))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.least(score, F.lit(1.0)))
 
 
+def english_score(x: Column) -> Column:
+    """Likelihood that a text is English (M1)."""
+    words = english_words(x)
+    return english_sum(words["n"], words["common"], english_openings(x))
+
+
 def sentences(x: Column) -> Column:
     """Sentences of a text, blank ones dropped."""
     return F.filter(F.split(x, f"[.!?]+{SPACE}+"), has_text)

@@ -2,30 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import quote_pairs, separators
-from ..functions.words import END_MARK, ERROR_MARK
+from ..functions import prompts
+from ..functions.text import once, quote_pairs, separators, strip
+from ..functions.words import END_MARK, ERROR_MARK, SPACE
 
-#: Quarantined lines.
+#: Quarantined lines (U6, J20), and the rows of ``validate_only`` (V7).
 FILTERED = ["file_name", "file_line", "chunk_index", "chunk_line", "check_name", "reason", "original_text", "translated_text"]
+ERRORS = ["doc_id", "pos", "check_name", "expected", "actual", "reason"]
+
+
+@dataclass(frozen=True)
+class Check:
+    """A check of lines (X1): ``counts`` gives what it expects and finds, which must be equal; a null is no failure.
+
+    Any check with these two can be handed to ``quarantine``, ``validate_only`` and ``correct.run``; one that can mend
+    lines has a ``correct`` there.
+    """
+
+    name: str
+    counts: Callable[[Column, Column], tuple[Column, Column]]
+
+
+LINE_COUNT = Check("line_count", lambda o, t: (F.lit(1), F.when(t.isNull(), 0).otherwise(1)))
+PUNCTUATION = Check("punctuation", lambda o, t: (quote_pairs(o), quote_pairs(t)))
+FRAGMENT_COUNT = Check("fragment_count", lambda o, t: (separators(o) + 1, separators(t) + 1))
+#: In the order in which a run applies them.
+PRODUCTION = (LINE_COUNT, PUNCTUATION, FRAGMENT_COUNT)
 
 
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.where(F.col("original").isNotNull() & F.col("translated").isNotNull())
+def counted(pairs: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """``pairs`` with e0, a0, e1, ...: what each check expects and finds, computed once a row."""
+    both = {f"{k}{i}": c for i, check in enumerate(checks) for k, c in zip("ea", check.counts(F.col("original"), F.col("translated")))}
+    return once(pairs, **both)
+
+
+def _fails(i: int) -> Column:
+    return F.coalesce(F.col(f"e{i}") != F.col(f"a{i}"), F.lit(False))
+
+
+def _line_errors(pairs: DataFrame, check: Check, expected: str, actual: str) -> DataFrame:
+    rows = counted(pairs.select("doc_id", "pos", "original", "translated").where("original is not null and translated is not null"), [check])
+    return rows.where(_fails(0)).select("doc_id", F.col("pos").alias("line_idx"), F.col("e0").alias(expected), F.col("a0").alias(actual))
 
 
 def fragment_count_errors(pairs: DataFrame) -> DataFrame:
     """Lines whose separator counts differ (A15, J8): doc_id, line_idx, expected, actual fragments."""
-    a, b = separators(F.col("original")) + 1, separators(F.col("translated")) + 1
-    return _both(pairs).where(a != b).select("doc_id", F.col("pos").alias("line_idx"), a.alias("expected"), b.alias("actual"))
+    return _line_errors(pairs, FRAGMENT_COUNT, "expected", "actual")
 
 
 def punctuation_errors(pairs: DataFrame) -> DataFrame:
     """Lines whose quotation pairs differ."""
-    a, b = quote_pairs(F.col("original")), quote_pairs(F.col("translated"))
-    return _both(pairs).where(a != b).select("doc_id", F.col("pos").alias("line_idx"), a.alias("expected_pairs"), b.alias("actual_pairs"))
+    return _line_errors(pairs, PUNCTUATION, "expected_pairs", "actual_pairs")
+
+
+def validate_only(pairs: DataFrame, checks: Sequence[Check] = PRODUCTION) -> DataFrame:
+    """ERRORS: every failure of every check, none hiding another (V2); nothing is mended or set aside."""
+    rows = counted(pairs.select("doc_id", "pos", "original", "translated"), checks)
+    each = F.array(*[F.when(_fails(i), F.struct(F.lit(c.name).alias("check_name"), F.col(f"e{i}").alias("expected"), F.col(f"a{i}").alias("actual"))) for i, c in enumerate(checks)])
+    found = rows.select("doc_id", "pos", F.inline(F.filter(each, lambda x: x.isNotNull())))
+    return found.withColumn("reason", prompts.reason(F.col("check_name"), F.col("expected"), F.col("actual")))
 
 
 def line_count_errors(pairs: DataFrame, strict_keys: bool = False) -> DataFrame:
@@ -38,21 +79,24 @@ def line_count_errors(pairs: DataFrame, strict_keys: bool = False) -> DataFrame:
     return found.where(wrong).select("doc_id", "expected", "actual", F.size("gone").alias("n_missing"), listed.alias("missing"))
 
 
-def quarantine(pairs: DataFrame) -> DataFrame:
-    """Lines set aside by the checks in production order - line count, punctuation, fragments - with the first that fails.
+def flagged(pairs: DataFrame, checks: Sequence[Check] = PRODUCTION) -> DataFrame:
+    """``pairs`` that fail, with check_name, expected and actual of the first check that they fail."""
+    rows = counted(pairs, checks)
+    first = F.coalesce(*[F.when(_fails(i), F.struct(F.lit(c.name).alias("check_name"), F.col(f"e{i}").alias("expected"), F.col(f"a{i}").alias("actual"))) for i, c in enumerate(checks)])
+    found = once(rows.select(*pairs.columns, *[f"{k}{i}" for i in range(len(checks)) for k in "ea"]), first=first)
+    return found.where("first is not null").select(*pairs.columns, "first.*")
+
+
+def quarantine(pairs: DataFrame, checks: Sequence[Check] = PRODUCTION) -> DataFrame:
+    """FILTERED: lines set aside by the checks in their order, with the first that fails and why.
 
     The checks judge line by line once a missing line is set aside, so one pass with the first failing check is the
     outcome of running them in turn.
     """
-    o, t = F.col("original"), F.col("translated")
-    check = F.when(t.isNull(), "line_count").when(quote_pairs(o) != quote_pairs(t), "punctuation").when(separators(o) != separators(t), "fragment_count")
-    expected = F.when(t.isNull(), F.lit("1")).when(quote_pairs(o) != quote_pairs(t), quote_pairs(o).cast("string")).otherwise((separators(o) + 1).cast("string"))
-    actual = F.when(t.isNull(), F.lit("0")).when(quote_pairs(o) != quote_pairs(t), quote_pairs(t).cast("string")).otherwise((separators(t) + 1).cast("string"))
-    rows = pairs.withColumn("check_name", check).where("check_name is not null")
-    return rows.select(
+    return flagged(pairs, checks).select(
         F.col("doc_id").cast("string").alias("file_name"), F.col("pos").cast("string").alias("file_line"), F.col("doc_id").alias("chunk_index"),
-        F.col("pos").alias("chunk_line"), "check_name", F.concat(F.lit("expected "), expected, F.lit(", got "), actual).alias("reason"),
-        o.alias("original_text"), F.coalesce(t, F.lit("")).alias("translated_text"),
+        F.col("pos").alias("chunk_line"), "check_name", prompts.reason(F.col("check_name"), F.col("expected"), F.col("actual")).alias("reason"),
+        F.col("original").alias("original_text"), F.coalesce("translated", F.lit("")).alias("translated_text"),
     )
 
 
@@ -72,9 +116,9 @@ def render(lines: DataFrame) -> DataFrame:
 
 
 def status(raw: Column) -> Column:
-    """``ok`` or the parser's error: error, missing_end, no_lines (F1)."""
-    text = F.trim(raw)
-    numbered = F.replace(raw, F.lit(END_MARK), F.lit("")).rlike(r"(^|\n)<[0-9]+/>")
+    """``ok`` or the parser's error: error, missing_end, no_lines (F1).  White space of any kind at the ends does not count."""
+    text = strip(raw)
+    numbered = strip(F.replace(text, F.lit(END_MARK), F.lit(""))).rlike(r"(^|\n)<[0-9]+/>")
     return F.when(text.startswith(ERROR_MARK), "error").when(~text.endswith(END_MARK), "missing_end").when(~numbered, "no_lines").otherwise("ok")
 
 
@@ -84,12 +128,13 @@ def numbered_lines(raw: Column) -> Column:
 
 
 def parse_output(outputs: DataFrame) -> DataFrame:
-    """(doc_id, line_idx, text) of outputs that parse: the rest of each numbered line, the last of equal numbers (F1)."""
+    """(doc_id, line_idx, text) of outputs that parse: the rest of each numbered line without white space at its ends,
+    the last of equal numbers (F1)."""
     good = outputs.where(status(F.col("raw")) == "ok")
-    body = F.trim(F.replace("raw", F.lit(END_MARK), F.lit("")))
+    body = strip(F.replace("raw", F.lit(END_MARK), F.lit("")))
     each = good.select("doc_id", F.posexplode(F.split(body, "\n")).alias("at", "line")).where(F.col("line").rlike("^<[0-9]+/>"))
     index = F.regexp_extract("line", "^<([0-9]+)/>", 1).cast("long")
-    text = F.trim(F.regexp_replace("line", "^<[0-9]+/>", ""))
+    text = F.regexp_replace("line", rf"\A<[0-9]+/>{SPACE}*|{SPACE}+\z", "")
     return each.groupBy("doc_id", index.alias("line_idx")).agg(F.max_by(text, "at").alias("text"))
 
 
