@@ -127,6 +127,30 @@ def export(counted: DataFrame, most: int = 50, least: float = 0.5) -> DataFrame:
     return top.agg(F.array_join(F.transform(order, lambda x: F.concat_ws(" → ", x["source"], x["target"])), ", ").alias("prompt"))
 
 
+def term_list(terms: DataFrame, most: int = 50) -> DataFrame:
+    """One row, ``prompt``: "s → t" of the first ``most`` of a settled glossary (source, target) by source, the limit of a prompt (O1)."""
+    return terms.orderBy("source").limit(most).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "target"))), lambda x: F.concat_ws(" → ", x["source"], x["target"])), ", ").alias("prompt"))
+
+
+def override(validated: DataFrame, decided: DataFrame) -> DataFrame:
+    """Validated terms with an editor's own (source, target) put over them."""
+    return decided.select("source", "target").unionByName(validated.select("source", "target").join(decided.select("source"), "source", "left_anti"))
+
+
+def decided(counted: DataFrame, validated: DataFrame, choices: DataFrame) -> DataFrame:
+    """Validated terms after an editor's decisions (source, choice) on the open conflicts.
+
+    ``choice`` is the number of a target as ``conflicts`` lists them, from 1, a target of the editor's own, or ``s`` or
+    null to skip; skipped conflicts and those without a decision are settled by their mode.
+    """
+    found = conflicts(counted, validated).select("source", "targets").join(choices.select("source", F.trim("choice").alias("choice")), "source", "left")
+    number = F.expr("try_cast(choice AS INT)")
+    mode = F.element_at("targets", 1)
+    listed = F.when((number >= 1) & (number <= F.size("targets")), F.expr("targets[try_cast(choice AS INT) - 1]"))
+    own = F.when(number.isNull() & F.col("choice").isNotNull() & ~F.lower("choice").isin("s", ""), F.col("choice"))
+    return validated.select("source", "target").unionByName(found.select("source", F.coalesce(listed, own, mode).alias("target")))
+
+
 def resolved(counted: DataFrame, validated: DataFrame) -> DataFrame:
     """Validated terms with every conflict settled by its mode (V10); manual entries stay."""
     clash = conflicts(counted, validated).select("source")

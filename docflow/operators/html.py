@@ -203,17 +203,51 @@ def rewrite(html: str, translations: dict[int, str], mode: str = "replace") -> t
     return page.html(), done
 
 
-REWRITTEN = "page_id long, n_groups int, html string"
+def document(html: str) -> tuple[bytes, dict[str, str | None] | None]:
+    """(content, link) of a page as a book item (S11): its body alone, or all of it without one, and rel, href and type of
+    its first link."""
+    page = tree(html)
+    body = next((n for n in _elements(page) if n.tag == "body"), page)
+    link = next((n for n in _elements(page) if n.tag == "link"), None)
+    return body.html().encode("utf-8", "replace"), None if link is None else {k: link.attrs.get(k) for k in ("rel", "href", "type")}
+
+
+REWRITTEN = "page_id long, n_groups int, html string, error string"
+ITEMS = "page_id long, content binary, link struct<rel:string,href:string,type:string>"
 
 
 def rewrite_pages(pages: DataFrame, translated: DataFrame, mode: str = "replace") -> DataFrame:
-    """REWRITTEN pages; ``translated`` has page_id, frag_index, text, gathered per page before they meet the page."""
+    """REWRITTEN pages; ``translated`` has page_id, frag_index, text, gathered per page before they meet the page.
+
+    A page with a translation that has another number of parts than its group stays as it is, with the mismatch in
+    ``error`` (D3, D7).
+    """
     per = translated.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("frag_index", "text"))).alias("t"))
     rows = pages.select("page_id", F.col("html").cast("string")).join(per, "page_id", "left")
 
+    def one(page_id, html: str, texts: dict) -> tuple:
+        try:
+            done, n = rewrite(html, texts, mode)
+        except FragmentMismatch as e:
+            return page_id, 0, html, str(e)
+        return page_id, n, done, None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:
-            out = [(p, rewrite(h or "", dict(t or []), mode)) for p, h, t in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([n for _, (_, n) in out], pa.int32()), pa.array([h for _, (h, _) in out], pa.string())], ["page_id", "n_groups", "html"])
+            out = [one(p, h or "", dict(t or [])) for p, h, t in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in REWRITTEN.split(", ")])
 
     return rows.mapInArrow(run, REWRITTEN)
+
+
+def items(pages: DataFrame) -> DataFrame:
+    """ITEMS of pages (page_id, html) (S11); a null page is empty, and a page without a link has a null one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        link = pa.struct([(k, pa.string()) for k in ("rel", "href", "type")])
+        for batch in batches:
+            made = [document(h or "") for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in made], pa.binary()), pa.array([x for _, x in made], link)], ["page_id", "content", "link"])
+
+    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, ITEMS)

@@ -2,50 +2,45 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import tokens
 
+BODY = "book long, seq int, chunk_id int, tok int, before long, text string"
+
 
-def chunk_ids(counts: Column, max_tokens: int) -> Column:
-    """The chunk of each fragment of a book, by an ordered fold over its token counts.
+def body(lines: DataFrame, max_tokens: int, count: Callable[[Column], Column] = tokens) -> DataFrame:
+    """BODY: fragments of each book in order with their chunk, their tokens and the tokens before them.
 
-    A fragment that would overfill a chunk opens the next; one above the limit has a chunk alone, and as the very
-    first leaves chunk 0 empty.
+    ``lines`` has doc_id, pos, text; ``count`` measures a text (F6, X5).  A fragment that would overfill a chunk opens
+    the next; one above the limit has a chunk alone, and as the very first leaves chunk 0 empty.  The fold is
+    sequential within a book; it streams over sorted partitions and holds one batch, however long a book is.
     """
 
-    @F.pandas_udf("array<int>")
-    def fold(books: pd.Series) -> pd.Series:
-        out = []
-        for book in books:
-            chunk, held, ids = 0, 0, []
-            for n in book:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, seq, chunk, held, before = object(), 0, 0, 0, 0
+        for batch in batches:
+            out = []
+            for own, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own != book:
+                    book, seq, chunk, held, before = own, 0, 0, 0, 0
                 if held + n > max_tokens:
                     chunk, held = chunk + 1, n
                 else:
                     held += n
-                ids.append(chunk)
-            out.append(ids)
-        return pd.Series(out)
-
-    return fold(counts)
-
-
-def body(lines: DataFrame, max_tokens: int) -> DataFrame:
-    """(book, seq, chunk_id, tok, before, text): fragments of each book in order with their chunk and tokens before them.
+                out.append((seq, chunk, n, before))
+                seq, before = seq + 1, before + n
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            made = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(2)], [x.split()[0] for x in BODY.split(", ")])
 
-    ``lines`` has doc_id, pos, text.  One row a book meets the fold, so books run in parallel.
-    """
-    per = lines.groupBy(F.col("doc_id").alias("book")).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("f"))
-    per = per.withColumn("tok", F.transform("f", lambda x: tokens(x["text"])))
-    per = per.withColumn("chunk", chunk_ids(F.col("tok"), max_tokens))
-    rows = per.select("book", F.posexplode(F.arrays_zip("f", "tok", "chunk")).alias("seq", "x"))
-    rows = rows.select("book", "seq", F.col("x.chunk").alias("chunk_id"), F.col("x.tok").alias("tok"), F.col("x.f.text").alias("text"))
-    order = W.partitionBy("book").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum("tok").over(order), F.lit(0)).cast("long"))
+    ordered = lines.select(F.col("doc_id").cast("long").alias("book"), "pos", "text").repartition("book").sortWithinPartitions("book", "pos")
+    return ordered.select("book", count(F.col("text")).cast("int").alias("tok"), "text").mapInArrow(fold, BODY)
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -54,12 +49,21 @@ def _starts(rows: DataFrame) -> DataFrame:
     return first.select("book", F.col("chunk_id").alias("k"), F.col("x.seq").alias("s"), F.col("x.before").alias("p"), (F.col("x.before") + F.col("x.tok")).alias("p1"))
 
 
+def _near(rows: DataFrame, starts: DataFrame, at: str, budget: int, side: int) -> DataFrame:
+    """``rows`` with the ``starts`` whose ``at`` is less than about ``budget`` tokens away, after it (1) or before it (-1):
+    an equi-join on the book and a stretch of ``budget`` tokens, so that a book costs its length and not its square."""
+    stretch = lambda c: F.floor(F.col(c) / budget)
+    spread = starts.withColumn("stretch", F.explode(F.array(stretch(at), stretch(at) + side)))
+    return rows.withColumn("stretch", stretch("before")).join(spread, ["book", "stretch"])
+
+
 def tail(rows: DataFrame, budget: int) -> DataFrame:
     """(book, chunk_id, seq): context after each chunk (J18): fragments beyond the next chunk's first, while fewer than
-    ``budget`` tokens lie between.  An equi-join on the book with a range on running sums."""
-    nxt = _starts(rows).select("book", (F.col("k") - 1).alias("k"), "s", "p1")
+    ``budget`` tokens lie between."""
+    nxt = _starts(rows).select("book", (F.col("k") - 1).alias("k"), "s", "p1").where("k >= 0")
     f = rows.select("book", "seq", "before")
-    return f.join(nxt, "book").where((F.col("k") >= 0) & (F.col("seq") > F.col("s")) & (F.col("before") - F.col("p1") < budget)).select("book", F.col("k").alias("chunk_id"), "seq")
+    found = _near(f, nxt, "p1", max(1, budget), 1)
+    return found.where((F.col("seq") > F.col("s")) & (F.col("before") - F.col("p1") < budget)).select("book", F.col("k").alias("chunk_id"), "seq")
 
 
 def head(rows: DataFrame, budget: int) -> DataFrame:
@@ -70,7 +74,12 @@ def head(rows: DataFrame, budget: int) -> DataFrame:
     f = rows.select("book", "seq", "before", F.col("chunk_id").alias("own")).join(nxt, ["book", "own"])
     near = (F.col("seq") < F.col("s")) & (F.col("p") - F.col("before") < budget)
     open_tail = (F.col("own") == F.col("k") - 1) | (F.col("p1") - F.col("q1") < budget)
-    return f.join(at, "book").where(near & open_tail).select("book", F.col("k").alias("chunk_id"), "seq")
+    return _near(f, at, "p", max(1, budget), -1).where(near & open_tail).select("book", F.col("k").alias("chunk_id"), "seq")
+
+
+def sizes(chunk_members: DataFrame) -> DataFrame:
+    """(book, chunk_id, head, body, tail): fragments of each part of a chunk."""
+    return chunk_members.groupBy("book", "chunk_id").agg(*[F.count_if(F.col("role") == i).alias(name) for i, name in enumerate(("head", "body", "tail"))])
 
 
 def members(rows: DataFrame, max_tokens: int, ratio: float) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def upsert(writes: DataFrame) -> DataFrame:
@@ -39,16 +40,33 @@ def file_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("phase").agg(F.count_distinct("source_file").alias("n_files"), F.count("*").alias("n_lines"))
 
 
-def refine_prompts(members: DataFrame, initial: DataFrame, glossary_prompt: DataFrame) -> DataFrame:
+def active(initial: DataFrame, refined: DataFrame, phase: str) -> DataFrame:
+    """The store of the phase that is active (X8): ``initial`` or ``refined``."""
+    return {"initial": initial, "refined": refined}[phase]
+
+
+def cleared(stored: DataFrame, source_file: str | None = None, phase: str | None = None) -> DataFrame:
+    """A store (phase, source_file, line_index, text) without the lines of a source, of a phase, or of both (S8); all if neither is named."""
+    gone = F.lit(True)
+    for column, value in (("source_file", source_file), ("phase", phase)):
+        if value is not None:
+            gone = gone & F.col(column).eqNullSafe(F.lit(value))
+    return stored.where(~gone)
+
+
+def refine_prompts(members: DataFrame, initial: DataFrame, glossary_prompt: DataFrame, wording=None) -> DataFrame:
     """(book, chunk_id, has_missing, prompt) of the second phase (J19, F17): members (book, chunk_id, role, seq, text) with
     their first translation; a chunk that lacks one, context included, is flagged and keeps its original there."""
     from ..functions import prompts
 
     keyed = members.withColumn("key", F.concat_ws("/", F.col("book").cast("string"), F.col("seq").cast("string")))
-    found = keyed.join(initial.select("key", F.col("text").alias("first")), "key", "left")
-    rows = F.array_sort(F.collect_list(F.struct("role", "seq", "text", F.coalesce("first", "text").alias("first"))))
-    per = found.groupBy("book", "chunk_id").agg(rows.alias("r"), (F.count_if(F.col("first").isNull()) > 0).alias("has_missing"), F.count_if(F.col("role") == 1).alias("n"))
+    found = keyed.join(initial.select("key", F.col("text").alias("first")), "key", "left").withColumn("lacks", F.col("first").isNull())
+    place = F.row_number().over(W.partitionBy("book", "chunk_id", "role").orderBy("seq")) - 1
+    number = F.when(F.col("role") == 1, F.concat(F.lit("<"), place.cast("string"), F.lit("/>"))).otherwise("")
+    found = found.withColumn("first", F.coalesce("first", "text")).withColumn("number", number)
+    rows = F.array_sort(F.collect_list(F.struct("role", "seq", "text", F.concat("number", "first").alias("first"))))
+    per = found.groupBy("book", "chunk_id").agg(rows.alias("r"), (F.count_if("lacks") > 0).alias("has_missing"), F.count_if(F.col("role") == 1).alias("n"))
     joined = lambda c: F.array_join(F.transform("r", lambda x: x[c]), "\n\n")
-    terms = glossary_prompt.first()
-    text = prompts.second_pass(joined("text"), joined("first"), F.lit(terms["prompt"] if terms else ""), F.col("n"))
+    terms = glossary_prompt.agg(F.max("prompt")).scalar()  # one row of bounded length, or none
+    text = prompts.second_pass(joined("text"), joined("first"), terms, F.col("n"), wording or prompts.WORDING)
     return per.select("book", "chunk_id", "has_missing", text.alias("prompt"))

@@ -1,16 +1,22 @@
-"""Model calls over chunks: a translator interface, retries, targeted repair and the two-phase run."""
+"""Model calls over chunks: clients and their log, retries, repair of lines and the two-phase run."""
 
 from __future__ import annotations
 
+import os
+import re
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..functions import prompts as wordings
 from ..functions.words import END_MARK, SEPARATOR
-from . import checks, segment, store
+from ..sources.shared import once
+from . import checks, correct, glossary, segment, store
 
 #: (prompt, reasoning) -> answer.  A translator raises TimeoutError or ConnectionError for faults worth a retry.
 Translator = Callable[[str, bool], str]
@@ -22,8 +28,35 @@ def backoff(kind: str, attempt: int, base: float = 1.0) -> float:
     return base * (2 if kind == "timeout" else 3) ** attempt
 
 
-def call(translator: Translator, prompt: str, tries: int = 3, base: float = 0.0, reasoning_last: bool = True) -> tuple[str, int]:
-    """(answer, attempts): up to ``tries`` calls, reasoning on the last; a failure of all is an answer with the error mark."""
+def api_key(spark: SparkSession | None = None, name: str = "docflow.apiKey", variable: str = "API_KEY") -> str:
+    """The model's key (S16): the session's setting, else the environment's; ValueError without either."""
+    found = (spark.conf.get(name, None) if spark else None) or os.environ.get(variable)
+    if not found:
+        raise ValueError(f"no key: set {name} or {variable}")
+    return found
+
+
+@dataclass(frozen=True)
+class ChatClient:
+    """A translator over a chat service (S15): ``post`` sends a request body and returns the answer's text, and raises
+    TimeoutError or ConnectionError.  Reasoning takes the other model; an empty answer is said so."""
+
+    post: Callable[[dict], str]
+    system: str
+    model: str = "chat"
+    reasoning_model: str = "reasoner"
+    most_tokens: int = 4000
+
+    def __call__(self, prompt: str, reasoning: bool = False) -> str:
+        said = [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}]
+        return self.post({"model": self.reasoning_model if reasoning else self.model, "messages": said, "max_tokens": self.most_tokens}) or "Result Empty"
+
+
+def call(translator: Translator, prompt: str, tries: int = 3, base: float = 1.0, reasoning_last: bool = True) -> tuple[str, int]:
+    """(answer, attempts): up to ``tries`` calls, reasoning on the last; a failure of all is an answer with the error mark.
+
+    ``base`` scales the waits between tries.
+    """
     said = ""
     for n in range(tries):
         try:
@@ -37,60 +70,136 @@ def call(translator: Translator, prompt: str, tries: int = 3, base: float = 0.0,
     return f"[ERREUR: {said}]", tries
 
 
-def translate(prompts: DataFrame, translator: Translator, tries: int = 3) -> DataFrame:
-    """OUTPUT: one call a prompt (book, chunk_id, prompt), partitions in parallel (T9, S13 by its attempts column)."""
+def translate(prompts: DataFrame, translator: Translator, tries: int = 3, base: float = 1.0) -> DataFrame:
+    """OUTPUT: one call a prompt (book, chunk_id, prompt), partitions in parallel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             books, chunks, texts = (c.to_pylist() for c in batch.columns)
-            answers = [call(translator, t, tries) for t in texts]
+            answers = [call(translator, t, tries, base) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(books, pa.int64()), pa.array(chunks, pa.int32()), pa.array([a for a, _ in answers], pa.string()), pa.array([n for _, n in answers], pa.int32())], ["doc_id", "chunk_id", "raw", "attempts"])
 
     return prompts.select(F.col("book").cast("long"), F.col("chunk_id").cast("int"), "prompt").mapInArrow(run, OUTPUT)
 
 
+def request_log(prompts: DataFrame, outputs: DataFrame, context: str, model: str) -> DataFrame:
+    """(name, context, number, model, prompt_len, prompt, response, attempts): a row a request, to be appended to a log.
+
+    Names count the requests of a context by book and chunk.
+    """
+    rows = prompts.join(outputs.select(F.col("doc_id").alias("book"), "chunk_id", F.col("raw").alias("response"), "attempts"), ["book", "chunk_id"], "left")
+    name = F.concat(F.lit(f"llm_{context}_"), F.col("book").cast("string"), F.lit("_"), F.lpad(F.col("chunk_id").cast("string"), 4, "0"), F.lit(".log"))
+    return rows.select(name.alias("name"), F.lit(context).alias("context"), F.col("book"), F.col("chunk_id"), F.lit(model).alias("model"), F.char_length("prompt").alias("prompt_len"), "prompt", "response", "attempts")
+
+
 def mock(prompt: str, reasoning: bool = False) -> str:
     """Upper-cases numbered lines: a stand-in that keeps the protocol."""
-    rows = [x.upper().replace(SEPARATOR.upper(), SEPARATOR) for x in prompt.split("\n\n") if x[:1] == "<" and x[1:2].isdigit()]
+    rows = [x.upper().replace(SEPARATOR.upper(), SEPARATOR) for x in re.findall(r"^<[0-9]+/>.*$", prompt, re.M)]
     return "\n".join([*rows, END_MARK])
 
 
-def repair(pairs: DataFrame, translator: Translator, tries: int = 3) -> DataFrame:
-    """``pairs`` (doc_id, pos, original, translated) with lines that fail a check asked for again, each alone, up to
-    ``tries`` times (V1, V3-V5); what still fails keeps its old text for the quarantine."""
-    bad = checks.quarantine(pairs).select(F.col("chunk_index").alias("doc_id"), F.col("chunk_line").alias("pos"))
-
-    @F.udf("string")
-    def again(original: str, old: str | None) -> str | None:
-        for n in range(tries):
-            answer, _ = call(translator, f"<0/>{original}", 1, reasoning_last=n == tries - 1)
-            lines = [x[4:] for x in answer.split("\n") if x.startswith("<0/>")]
-            if len(lines) == 1 and lines[0].count(SEPARATOR) == original.count(SEPARATOR):
-                return lines[0]
-        return old
-
-    flagged = pairs.join(bad.withColumn("bad", F.lit(True)), ["doc_id", "pos"], "left")
-    fixed = F.when(F.col("bad"), again("original", "translated")).otherwise(F.col("translated"))
-    return flagged.withColumn("translated", fixed).drop("bad")
-
-
-def two_phase(lines: DataFrame, first: Translator, second: Translator, first_tokens: int = 1500, ratio: float = 0.15, second_tokens: int = 300) -> DataFrame:
-    """(key, text, origin): lines translated in chunks, repaired, checked, then refined in smaller chunks; where the second
-    answer lacks a line the first one's stands (T10, T11)."""
-
-    def phase(max_tokens: int, overlap: float, translator: Translator) -> DataFrame:
-        rows = segment.body(lines, max_tokens)
-        order = F.row_number().over(segment.W.partitionBy("book", "chunk_id").orderBy("seq")) - 1
-        place = rows.withColumn("line_idx", order).select(F.col("book").alias("doc_id"), "chunk_id", "seq", "line_idx", F.col("text").alias("original"))
-        outputs = translate(segment.prompts(segment.members(rows, max_tokens, overlap)), translator)
-        keyed = outputs.select(F.struct("doc_id", "chunk_id").alias("doc_id"), "raw")
-        parsed = checks.parse_output(keyed).select("doc_id.*", "line_idx", F.col("text").alias("translated"))
-        pairs = place.join(parsed, ["doc_id", "chunk_id", "line_idx"], "left").select("doc_id", F.col("seq").alias("pos"), "original", "translated")
-        pairs = repair(pairs, translator)
-        bad = checks.quarantine(pairs).select(F.col("chunk_index").alias("doc_id"), F.col("chunk_line").alias("pos"))
-        return pairs.join(bad, ["doc_id", "pos"], "left_anti").select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("key"), F.col("translated").alias("text"))
-
-    return store.fallback(phase(first_tokens, ratio, first), phase(second_tokens, 1.0, second))
+def repair(pairs: DataFrame, translator: Translator, max_retries: int = 1) -> DataFrame:
+    """``pairs`` (doc_id, pos, original, translated) with lines that fail a check asked for again (V1, V3-V5): a call for
+    each flagged chunk or line and attempt, none for the others.  What still fails keeps its old text for the quarantine."""
+    kept, _ = correct.run(pairs, translator, max_retries=max_retries)
+    new = kept.select("doc_id", "pos", F.col("translated").alias("new"))
+    return pairs.join(new, ["doc_id", "pos"], "left").withColumn("translated", F.coalesce("new", "translated")).drop("new")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Sizes and limits of a run (X5, X6): frozen, so that no stage can change them."""
+
+    first_tokens: int = 1500
+    first_ratio: float = 0.15
+    second_tokens: int = 300
+    second_ratio: float = 1.0
+    tries: int = 3
+    wait: float = 1.0
+    max_retries: int = 1
+    least_seen: int = 2
+    language: str = "fr"
+    wording: wordings.Templates = wordings.WORDING
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a run leaves (X10): the stores of both phases (key, text), their fallback (key, text, origin), what was set
+    aside, the glossary that the second phase used, and the requests of each phase."""
+
+    initial: DataFrame
+    refined: DataFrame
+    stored: DataFrame
+    quarantined: DataFrame
+    glossary: DataFrame
+    first_log: DataFrame
+    second_log: DataFrame
+
+
+def _key(book: str = "book", seq: str = "seq"):
+    return F.concat_ws("/", F.col(book).cast("string"), F.col(seq).cast("string"))
+
+
+def _answers(rows: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, line_idx, pos, original, translated) of the chunks whose answer parses; lines that are not in it
+    are null.  An answer meets its chunk by line index (J1, J12)."""
+    order = F.row_number().over(W.partitionBy("book", "chunk_id").orderBy("seq")) - 1
+    place = rows.select(F.col("book").alias("doc_id"), "chunk_id", order.alias("line_idx"), F.col("seq").cast("long").alias("pos"), F.col("text").alias("original"))
+    good = outputs.where(checks.status(F.col("raw")) == "ok")
+    parsed = checks.parse_output(good.select(F.struct("doc_id", "chunk_id").alias("doc_id"), "raw")).select("doc_id.*", "line_idx", F.col("text").alias("translated"))
+    return place.join(good.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi").join(parsed, ["doc_id", "chunk_id", "line_idx"], "left")
+
+
+def _store(old: DataFrame, kept: DataFrame) -> DataFrame:
+    """The store with the lines of a phase written over it."""
+    new = kept.select(_key("doc_id", "pos").alias("key"), F.col("translated").alias("text"), F.lit(1).alias("write_seq"))
+    return store.upsert(old.select("key", "text", F.lit(0).alias("write_seq")).unionByName(new))
+
+
+def two_phase(
+    lines: DataFrame,
+    first: Translator,
+    second: Translator,
+    settings: Settings = Settings(),
+    initial: DataFrame | None = None,
+    refined: DataFrame | None = None,
+    validated: DataFrame | None = None,
+) -> Run:
+    """Lines (doc_id, pos, text) translated in chunks and refined in smaller ones.
+
+    Phase one asks for chunks that lack a line in the store ``initial`` only, mends and checks the answers and writes
+    them to it.  The glossary is learned from the store by alignment, cleaned and settled, ``validated`` terms first
+    (V9, V10).  Phase two asks for chunks that ``refined`` lacks, with their first translation and the glossary in the
+    prompt; a chunk whose context lacks a first translation, or whose answer does not parse, stays with phase one.
+    """
+    spark, s = lines.sparkSession, settings
+    none = spark.createDataFrame([], "key string, text string")
+    initial, refined = (none if x is None else x.select("key", "text") for x in (initial, refined))
+    text = lines.select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "text")
+
+    def ask(rows: DataFrame, prompts: DataFrame, known: DataFrame, translator: Translator, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        chunk = F.struct("book", "chunk_id")
+        lacking = store.cache_misses(rows.select(_key().alias("key"), chunk.alias("chunk_id")), known).select("chunk_id.*")
+        asked = once(prompts.join(lacking, ["book", "chunk_id"], "left_semi"), f"{name}-prompts")
+        outputs = once(translate(asked, translator, s.tries, s.wait), f"{name}-answers")
+        kept, bad = correct.run(_answers(rows, outputs), translator, max_retries=s.max_retries, wording=s.wording)
+        return once(_store(known, kept), f"{name}-store"), bad.withColumn("phase", F.lit(name)), request_log(asked, outputs, name, name)
+
+    rows = once(segment.body(text, s.first_tokens), "first-body")
+    told = wordings.first_pass(s.language, s.wording)
+    prompts = segment.prompts(segment.members(rows, s.first_tokens, s.first_ratio)).withColumn("prompt", F.concat(told, F.lit("\n\n"), "prompt"))
+    initial, first_bad, first_log = ask(rows, prompts, initial, first, "initial")
+
+    pairs = rows.select((F.col("book") * 1_000_000 + F.col("seq")).alias("pair_id"), _key().alias("key"), F.col("text").alias("original")).join(initial.withColumnRenamed("text", "translated"), "key")
+    fixed = spark.createDataFrame([], "source string, target string") if validated is None else validated
+    observed = glossary.observations(glossary.align(pairs))
+    terms = once(glossary.gate(observed, fixed, s.least_seen), "glossary")
+    prompt = glossary.term_list(terms)
+
+    rows = once(segment.body(text, s.second_tokens), "second-body")
+    made = store.refine_prompts(segment.members(rows, s.second_tokens, s.second_ratio), initial, prompt, s.wording).where(~F.col("has_missing"))
+    refined, second_bad, second_log = ask(rows, made.select("book", "chunk_id", "prompt"), refined, second, "refined")
+    return Run(initial, refined, store.fallback(initial, refined), first_bad.unionByName(second_bad), terms, first_log, second_log)
 
 
 def run_summary(stored: DataFrame, first: DataFrame, seconds: float) -> DataFrame:

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
-from ..operators.store import sort_key, upsert
+from ..operators.store import cleared, sort_key, upsert
+from .shared import once
+
+
+def read_json_store(spark: SparkSession, path: str, phase: str = "initial") -> tuple[DataFrame, DataFrame]:
+    """(rows, damaged): (phase, source_file, line_index, text) of JSON objects {index: text}, a file a source (S5), and
+    (source_file, value) of the files that do not parse, which give no rows."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_file"), "value")
+    parsed = files.withColumn("m", F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}))
+    bad = F.col("m").isNull() & (F.trim("value") != "null")
+    rows = parsed.where(~bad).select(F.lit(phase).alias("phase"), "source_file", F.explode("m").alias("line_index", "text"))
+    return rows, parsed.where(bad).select("source_file", "value")
 
 
-def read_json_store(spark: SparkSession, path: str, phase: str = "initial") -> DataFrame:
-    """(phase, source_file, line_index, text) of JSON objects {index: text}, a file a source (S5); files that do not
-    parse are given as one row with a null index, so that a caller can set them aside."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_file"), F.from_json("value", "map<string,string>").alias("m"))
-    return files.select(F.lit(phase).alias("phase"), "source_file", F.explode_outer("m").alias("line_index", "text"))
+def set_aside(damaged: DataFrame, folder: str) -> None:
+    """Write damaged files' bytes to ``folder``, each row with the name it had (S5's backup)."""
+    damaged.select(F.concat(F.element_at(F.split("source_file", "/"), -1), F.lit(".backup")).alias("backup"), "source_file", "value").write.mode("append").parquet(folder)
 
 
 def json_store(rows: DataFrame) -> DataFrame:
@@ -26,6 +33,20 @@ def json_store(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_file").agg(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias("value")).select(cache_key(F.col("source_file")).alias("file_name"), "value")
 
 
+def write_json_store(rows: DataFrame, path: str) -> None:
+    """Write ``json_store`` (S6): a folder a source, named by its cache key, with one JSON object as text; sources that are
+    written again are replaced as a whole, and the committer makes each visible at once."""
+    made = json_store(rows).repartition("file_name")
+    made.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("file_name").text(path)
+
+
+def clear_store(spark: SparkSession, path: str, source_file: str | None = None, phase: str | None = None) -> None:
+    """Take a source's lines, a phase, or everything out of the store at ``path`` (S8): the rest is written beside it and
+    put in its place."""
+    kept = once(cleared(spark.read.parquet(path), source_file, phase), "store")
+    kept.write.mode("overwrite").partitionBy("phase").parquet(path)
+
+
 def write_store(writes: DataFrame, path: str) -> None:
     """Last write of each key, partitioned by phase (S7); ``write_seq`` orders the writes; replaces what was there."""
     keyed = writes.withColumn("key", F.struct("phase", "source_file", "line_index"))
@@ -36,20 +57,23 @@ def read_store(spark: SparkSession, path: str, phase: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("phase") == phase).orderBy("source_file", *sort_key("line_index"))
 
 
-def glossary_json(counts: DataFrame, validated: DataFrame) -> str:
-    """The glossary's JSON (S9): as small as its terms, so made on the driver."""
-    found: dict[str, dict[str, int]] = {}
-    for r in counts.orderBy("first_seen").collect():
-        found.setdefault(r["source"], {})[r["target"]] = r["cnt"]
-    return json.dumps({"glossary": found, "validated": {r["source"]: r["target"] for r in validated.collect()}}, ensure_ascii=False)
-
-
-def read_glossary(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
-    """(counts, validated) of a glossary's JSON (S10); text that does not parse gives empty tables."""
-    try:
-        data = json.loads(text)
-        rows = [(s, t, int(n), i) for i, (s, t, n) in enumerate((s, t, n) for s, ts in data["glossary"].items() for t, n in ts.items())]
-        fixed = [(s, t) for s, t in data["validated"].items()]
-    except (ValueError, KeyError, AttributeError, TypeError):
-        rows, fixed = [], []
-    return spark.createDataFrame(rows, "source string, target string, cnt long, first_seen long"), spark.createDataFrame(fixed, "source string, target string")
+def glossary_json(counts: DataFrame, validated: DataFrame) -> DataFrame:
+    """One row, ``value``: the glossary's JSON {"glossary": {source: {target: n}}, "validated": {source: target}} (S9), sources
+    in the order first seen.  Made by Spark: terms never pass the driver."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", 1)
+    pair = lambda k, v: F.concat(quoted(k), F.lit(": "), v)
+    joined = lambda rows, k, v: F.concat(F.lit("{"), F.array_join(F.transform(rows, lambda x: pair(x[k], v(x))), ", "), F.lit("}"))
+    targets = F.array_sort(F.collect_list(F.struct("first_seen", "target", "cnt")))
+    per = counts.groupBy("source").agg(F.min("first_seen").alias("first_seen"), joined(targets, "target", lambda x: x["cnt"].cast("string")).alias("targets"))
+    learned = per.agg(joined(F.array_sort(F.collect_list(F.struct("first_seen", "source", "targets"))), "source", lambda x: x["targets"]).alias("v"))
+    fixed = validated.agg(joined(F.array_sort(F.collect_list(F.struct("source", "target"))), "source", lambda x: quoted(x["target"])).alias("v"))
+    return learned.select(F.concat(F.lit('{"glossary": '), "v", F.lit(', "validated": '), fixed.scalar(), F.lit("}")).alias("value"))
+
+
+def read_glossary(spark: SparkSession, made: DataFrame | str) -> tuple[DataFrame, DataFrame]:
+    """(counts, validated) of a glossary's JSON (S10), a text or a row of one column; what does not parse gives empty tables."""
+    rows = spark.createDataFrame([(made,)], "value string") if isinstance(made, str) else made.toDF("value")
+    kind = "struct<glossary:map<string,map<string,bigint>>,validated:map<string,string>>"
+    data = rows.select(F.from_json("value", kind).alias("x"))
+    learned = data.select(F.posexplode("x.glossary").alias("i", "source", "targets")).select("i", "source", F.posexplode("targets").alias("j", "target", "cnt"))
+    return learned.select("source", "target", "cnt", (F.col("i") * 1_000_000 + F.col("j")).cast("long").alias("first_seen")), data.select(F.explode("x.validated").alias("source", "target"))

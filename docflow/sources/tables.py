@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import has_text
+from ..functions.text import collapse, has_text
 from ..functions.words import SEPARATOR
+from .shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table, over all cores even if it is one small file."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,3 +41,21 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("original"))
     answer = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("translated"))
     return user.join(answer, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "original", "translated")
+
+
+def escaped(x: Column) -> Column:
+    return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, html): documents as pages, line by line a paragraph, a heading of two parts, loose text and a blank paragraph in turn."""
+    x = lines(spark, sf_dir).select("doc_id", "pos", F.pmod("pos", F.lit(4)).alias("kind"), collapse(F.col("text")).alias("t"))
+    block = (
+        F.when(F.col("kind") == 0, F.concat(F.lit("<p>"), escaped(F.col("t")), F.lit("</p>")))
+        .when(F.col("kind") == 1, F.concat(F.lit("<h2>n"), F.col("pos").cast("string"), F.lit("<b>"), escaped(F.col("t")), F.lit("</b></h2>")))
+        .when(F.col("kind") == 2, F.concat(F.lit("<div>"), escaped(F.col("t")), F.lit("</div>")))
+        .otherwise("<p> </p>")
+    )
+    rows = x.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda r: r["b"]), "").alias("body"))
+    head = '<html><head><link rel="stylesheet" href="s.css"></head><body>'
+    return rows.select(F.col("doc_id").alias("page_id"), F.concat(F.lit(head), "body", F.lit("</body></html>")).alias("html"))
