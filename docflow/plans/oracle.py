@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.prompts import RULES
 from ..functions.words import COMMON_ENGLISH, ENGLISH_OPENINGS, SPACE, STOPWORDS, TITLES, WORD
 
 
@@ -13,6 +14,14 @@ def _collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, '{SPACE}+', ' ', 'g'))"
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{SPACE}+', ''), '{SPACE}+$', '')"
+
+
+def _upper(x: str) -> str:
+    return f"translate({x}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
 def _runs(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '[^{WORD}]+'), lambda w: w <> '')"
 
@@ -130,7 +139,7 @@ def _prompt(marked: str) -> str:
 _QUARANTINE = f"""{_MOCK}, q AS (
     SELECT doc_id::VARCHAR AS file_name, pos::VARCHAR AS file_line, doc_id AS chunk_index, pos AS chunk_line,
         CASE WHEN translated IS NULL THEN 'line_count' WHEN {_QUOTES.format("original")} <> {_QUOTES.format("translated")} THEN 'punctuation' WHEN {_SEP.format("original")} <> {_SEP.format("translated")} THEN 'fragment_count' END AS check_name,
-        'expected ' || CASE WHEN translated IS NULL THEN '1' WHEN {_QUOTES.format("original")} <> {_QUOTES.format("translated")} THEN {_QUOTES.format("original")}::VARCHAR ELSE ({_SEP.format("original")} + 1)::VARCHAR END
+        CASE WHEN translated IS NULL THEN 'line_count' WHEN {_QUOTES.format("original")} <> {_QUOTES.format("translated")} THEN 'punctuation' ELSE 'fragment_count' END || ': expected ' || CASE WHEN translated IS NULL THEN '1' WHEN {_QUOTES.format("original")} <> {_QUOTES.format("translated")} THEN {_QUOTES.format("original")}::VARCHAR ELSE ({_SEP.format("original")} + 1)::VARCHAR END
         || ', got ' || CASE WHEN translated IS NULL THEN '0' WHEN {_QUOTES.format("original")} <> {_QUOTES.format("translated")} THEN {_QUOTES.format("translated")}::VARCHAR ELSE ({_SEP.format("translated")} + 1)::VARCHAR END AS reason,
         original AS original_text, coalesce(translated, '') AS translated_text FROM mock),
 quarantined AS (SELECT * FROM q WHERE check_name IS NOT NULL)"""
@@ -158,10 +167,13 @@ ORACLE_SQL: dict[str, str] = {
     "quarantine": f"WITH {_QUARANTINE} SELECT * FROM quarantined",
     "validation_stats": f"""WITH {_QUARANTINE}, per AS (SELECT doc_id, count(*) AS n FROM mock GROUP BY 1), bad AS (SELECT chunk_index, count(*) AS bad FROM quarantined GROUP BY 1)
         SELECT CASE WHEN bad IS NULL THEN 'validated' WHEN bad < n THEN 'partial' ELSE 'rejected' END AS status, count(*) AS n FROM per LEFT JOIN bad ON chunk_index = doc_id GROUP BY 1""",
-    "parse_output": f"WITH {_LINES} SELECT doc_id, pos AS line_idx, trim(text) AS text FROM lines",
-    "parse_status": f"""WITH {_RENDER}, broken AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN replace(raw, '[=[END]=]', '') WHEN 2 THEN '[ERREUR: ' || raw WHEN 3 THEN regexp_replace(raw, '(^|\\n)<', '\\1 <', 'g') ELSE raw END AS raw FROM rendered)
-        SELECT doc_id, CASE WHEN starts_with(trim(raw), '[ERREUR') THEN 'error' WHEN NOT ends_with(trim(raw), '[=[END]=]') THEN 'missing_end' WHEN NOT regexp_matches(raw, '(^|\\n)<[0-9]+/>') THEN 'no_lines' ELSE 'ok' END AS status,
-            len(list_filter(string_split(raw, chr(10)), lambda x: regexp_matches(x, '^<[0-9]+/>'))) AS n_numbered FROM broken""",
+    "parse_output": f"""WITH {_LINES} SELECT doc_id, pos AS line_idx, {_strip("text")} AS text FROM lines
+        UNION ALL SELECT DISTINCT doc_id, 0, 'first' FROM lines WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM lines WHERE pos = 0)""",
+    "parse_status": f"""WITH {_RENDER}, broken AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN replace(raw, '[=[END]=]', '') WHEN 2 THEN '[ERREUR: ' || raw WHEN 3 THEN regexp_replace(raw, '(^|\\n)<', '\\1- <', 'g')
+            WHEN 4 THEN chr(10) || chr(9) || raw || chr(10) || ' ' || chr(160) || chr(10) ELSE raw END AS raw FROM rendered),
+        stripped AS (SELECT doc_id, raw, {_strip("raw")} AS s FROM broken)
+        SELECT doc_id, CASE WHEN starts_with(s, '[ERREUR') THEN 'error' WHEN NOT ends_with(s, '[=[END]=]') THEN 'missing_end' WHEN NOT regexp_matches(s, '(^|\\n)<[0-9]+/>') THEN 'no_lines' ELSE 'ok' END AS status,
+            len(list_filter(string_split(raw, chr(10)), lambda x: regexp_matches(x, '^<[0-9]+/>'))) AS n_numbered FROM stripped""",
     "retry_index_check": f"""WITH {_MOCK}, came AS (SELECT doc_id, pos FROM mock WHERE h % 17 <> 0 UNION ALL SELECT doc_id, pos + 1000 FROM mock WHERE h % 19 = 0),
         b AS (SELECT coalesce(m.doc_id, c.doc_id) AS doc_id, CASE WHEN c.pos IS NULL THEN m.pos END AS gone, CASE WHEN m.pos IS NULL THEN c.pos END AS more FROM (SELECT doc_id, pos FROM mock) m FULL JOIN came c ON c.doc_id = m.doc_id AND c.pos = m.pos),
         g AS (SELECT doc_id, list(gone ORDER BY gone) FILTER (WHERE gone IS NOT NULL) AS gone, list(more ORDER BY more) FILTER (WHERE more IS NOT NULL) AS more FROM b GROUP BY 1)
@@ -215,3 +227,121 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'refined', count(DISTINCT doc_id), count(*) FROM mock WHERE h % 2 = 0""",
 }
 ORACLE_SQL["stream_checks"] = ORACLE_SQL["fragment_count_errors"]
+
+_NAME = "'Q' || translate(({0})::VARCHAR, '0123456789', 'abcdefghij')"
+_NOUNS = f"""{_PAIRS}, named AS (SELECT pair_id, {_NAME.format("pair_id")} AS one, {_NAME.format("pair_id % 97")} AS two, {_NAME.format("pair_id % 89")} AS other FROM pairs),
+nouns AS (SELECT pair_id, [one || ' ' || two, 'NASA', other, two] AS o, [other, 'ESA', one] AS t FROM named)"""
+_ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_MADE = f"""{_LINES}, made AS (SELECT doc_id AS page_id, pos, pos % 4 AS kind, {_collapse("text")} AS t FROM lines),
+grouped AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS frag_index, {_upper("t")} AS u FROM made WHERE kind < 3)"""
+_OPEN, _TWIN = 'class="original" style="color: #9ca3af;"', 'class="translation" lang="translated"'
+
+
+def _block(tag: str, attributes: str, number: str, text: str) -> str:
+    """SQL of one element of the made pages: a paragraph with a text, or a heading with a number and a text in bold."""
+    opened = f"<{tag} {attributes}>" if attributes else f"<{tag}>"
+    if tag == "p":
+        return f"'{opened}' || {_ESC.format(text)} || '</p>'"
+    return f"'{opened}' || {number} || '<b>' || {_ESC.format(text)} || '</b></h2>'"
+
+
+def _rewritten(mode: str) -> str:
+    old, new = "'n' || pos::VARCHAR", "'N' || pos::VARCHAR"
+    out = []
+    for kind, tag in ((0, "p"), (1, "h2")):
+        if mode == "replace":
+            made = _block(tag, "", new, "u")
+        elif mode == "inline":
+            made = _block(tag, "", f"{old} || ' | ' || {new}", "t || ' | ' || u")
+        else:
+            made = _block(tag, _OPEN, old, "t") + " || " + _block(tag, _TWIN, new, "u")
+        out.append(f"WHEN kind = {kind} AND done THEN {made} WHEN kind = {kind} THEN {_block(tag, '', old, 't')}")
+    return f"CASE {' '.join(out)} WHEN kind = 2 THEN '<div>' || {_ESC.format('t')} || '</div>' ELSE '<p> </p>' END"
+
+
+_HEAD = '<html><head><link rel="stylesheet" href="s.css"></head><body>'
+_REWRITE = f"""{_MADE}, placed AS (
+    SELECT m.page_id, m.pos, m.kind, m.t, g.u, g.frag_index, coalesce(m.kind < 2 AND g.frag_index % 3 <> 0, false) AS asked FROM made m LEFT JOIN grouped g ON g.page_id = m.page_id AND g.pos = m.pos),
+marked AS (SELECT *, asked AND page_id % 10 <> 0 AS done FROM placed),
+first_asked AS (SELECT page_id, arg_min(kind + 1, pos) AS parts FROM placed WHERE asked GROUP BY page_id)"""
+
+
+def _rewrite_of(mode: str) -> str:
+    return f"""SELECT m.page_id, '{mode}' AS mode, count(*) FILTER (WHERE done) AS n_groups,
+        CASE WHEN m.page_id % 10 = 0 AND any_value(f.parts) IS NOT NULL THEN 'expected ' || any_value(f.parts) || ' fragments, got ' || any_value(f.parts + 1) END AS error,
+        md5('{_HEAD}' || string_agg({_rewritten(mode)}, '' ORDER BY pos) || '</body></html>') AS html_md5
+        FROM marked m LEFT JOIN first_asked f ON f.page_id = m.page_id GROUP BY m.page_id"""
+
+
+_BOOKS = """chapters AS (SELECT doc_id, (doc_id % 20)::VARCHAR AS book_id, 'i' || doc_id::VARCHAR AS item_id, doc_id % 7 = 0 AS sheet, text FROM documents WHERE text IS NOT NULL),
+spine AS (SELECT item_id, row_number() OVER (PARTITION BY book_id ORDER BY doc_id * 7919 % 100003) - 1 AS spine_pos FROM chapters WHERE NOT sheet)"""
+_FILE = "doc_id::VARCHAR || '_' || md5(doc_id::VARCHAR)[1:8] || '.json'"
+_JSON = f"{_MOCK}, stored AS (SELECT doc_id, pos, translated FROM mock WHERE translated IS NOT NULL)"
+_VALIDITY = f"""{_MOCK}, {_PAIRS}, keyed AS (
+    SELECT {_KEY} AS key, original, translated FROM mock WHERE translated IS NOT NULL UNION ALL SELECT 't' || pair_id::VARCHAR, original, translated FROM pairs),
+parted AS (SELECT key, unnest({_sentences("translated")}) AS sentence FROM keyed),
+english AS (SELECT key, count(*) AS n FROM parted WHERE {_english("sentence")} >= 0.7::DOUBLE GROUP BY key),
+compared AS (SELECT key, {_compare("original")} AS a, {_compare("translated")} AS b FROM keyed),
+copied AS (SELECT key, CASE WHEN a = b THEN true ELSE len(list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda p: p[1] = p[2] AND p[1] <> ''))::DOUBLE / greatest(length(a), length(b)) >= 0.9::DOUBLE END AS is_copy FROM compared)"""
+_REPAIR = f"""{_MOCK}, gaps AS (SELECT doc_id, count(*) AS k FROM mock WHERE translated IS NULL GROUP BY doc_id),
+r AS (SELECT m.*, k, length(original) AS n, {_QUOTES.format("original")} <> {_QUOTES.format("translated")} AS q, {_SEP.format("original")} <> {_SEP.format("translated")} AS f, {_strip(_upper("original"))} AS mended FROM mock m LEFT JOIN gaps g ON g.doc_id = m.doc_id),
+judged AS (SELECT *, CASE WHEN translated IS NULL AND k % 5 = 0 THEN 'line_count' WHEN translated IS NOT NULL AND n % 7 = 0 AND q THEN 'punctuation' WHEN translated IS NOT NULL AND n % 7 = 0 AND f THEN 'fragment_count' END AS check_name FROM r)"""
+_TWO = f"""{_BODY}, sized AS (SELECT book, chunk_id, count(*) AS n FROM body GROUP BY 1, 2),
+firsts AS (SELECT b.book, b.seq, s.n, b.chunk_id, CASE WHEN b.book % 3 = 0 THEN 'c ' || b.text ELSE {_strip(_upper("b.text"))} END AS initial FROM body b JOIN sized s ON s.book = b.book AND s.chunk_id = b.chunk_id)"""
+
+ORACLE_SQL |= {
+    "proper_nouns": f"WITH {_NOUNS} SELECT pair_id, unnest(range(0, len(o))) AS pos, unnest(o) AS noun FROM nouns",
+    "paired_nouns": f"WITH {_NOUNS} SELECT unnest(o[1:3]) AS source, unnest(t) AS target, pair_id * 100000 + unnest(range(0, 3)) AS seq FROM nouns",
+    "validate_only": f"""WITH {_MOCK}, e AS (
+        SELECT doc_id, pos, 'line_count' AS check_name, 1 AS expected, 0 AS actual FROM mock WHERE translated IS NULL
+        UNION ALL SELECT doc_id, pos, 'punctuation', {_QUOTES.format("original")}, {_QUOTES.format("translated")} FROM mock WHERE {_QUOTES.format("original")} <> {_QUOTES.format("translated")}
+        UNION ALL SELECT doc_id, pos, 'fragment_count', {_SEP.format("original")} + 1, {_SEP.format("translated")} + 1 FROM mock WHERE {_SEP.format("original")} <> {_SEP.format("translated")})
+        SELECT *, check_name || ': expected ' || expected || ', got ' || actual AS reason FROM e""",
+    "html_made_fragments": f"""WITH {_MADE} SELECT page_id, frag_index, CASE kind WHEN 0 THEN 'p' ELSE 'h2' END AS root_tag, kind + 1 AS n_parts,
+        CASE kind WHEN 0 THEN t ELSE 'n' || pos::VARCHAR || '</>' || t END AS text FROM grouped WHERE kind < 2""",
+    "html_made_rewrite": f"WITH {_REWRITE} " + " UNION ALL ".join(map(_rewrite_of, ("replace", "inline", "separate"))),
+    "html_items": f"""WITH {_REWRITE} SELECT page_id, md5('<body>' || string_agg({_rewritten("replace").replace(" AND done", " AND false")}, '' ORDER BY pos) || '</body>') AS content_md5,
+        'stylesheet' AS rel, 's.css' AS href, NULL AS type FROM marked GROUP BY page_id""",
+    "epub_items": f"""WITH {_BOOKS} SELECT book_id, c.item_id, c.item_id || CASE WHEN sheet THEN '.css' ELSE '.xhtml' END AS file_name, CASE WHEN sheet THEN 'text/css' ELSE 'application/xhtml+xml' END AS media_type,
+        NOT sheet AS is_document, spine_pos, md5(text) AS content_md5 FROM chapters c LEFT JOIN spine s ON s.item_id = c.item_id""",
+    "epub_metadata": f"WITH {_BOOKS} SELECT DISTINCT book_id, 'urn:' || book_id AS identifier, 'Title & ' || book_id || ' (fr)' AS title, 'fr' AS language, 'A <b>|' || book_id AS creators FROM chapters",
+    "json_store_values": f"WITH {_JSON} SELECT {_FILE} AS file_name, md5('{{' || string_agg('\"' || pos::VARCHAR || '\": ' || to_json(translated)::VARCHAR, ', ' ORDER BY pos) || '}}') AS value_md5 FROM stored GROUP BY doc_id",
+    "json_store_files": f"WITH {_JSON} SELECT 'initial' AS phase, {_FILE} AS file_name, pos::VARCHAR AS line_index, translated AS text FROM stored",
+    "store_cleared": f"""WITH {_MOCK} SELECT 'initial' AS phase, doc_id::VARCHAR AS source_file, pos::VARCHAR AS line_index, CASE WHEN h % 3 = 0 THEN 'v"2 ' || original ELSE translated END AS text FROM mock WHERE h % 3 = 0 OR translated IS NOT NULL
+        UNION ALL SELECT 'refined', doc_id::VARCHAR, 't' || pos::VARCHAR, original FROM mock WHERE h % 2 = 0 AND doc_id <> 4""",
+    "store_lookup": f"""WITH {_MOCK} SELECT {_KEY} AS key, CASE WHEN h % 2 <> 0 OR h % 6 = 0 THEN '' ELSE 'r ' || original END AS text, h % 2 <> 0 AS missing FROM mock UNION ALL SELECT '999/x', '', true""",
+    "glossary_files": f"WITH {_COUNTS} SELECT 'learned' AS kind, source, target, cnt FROM counted UNION ALL SELECT 'validated', source, target, NULL FROM validated",
+    "glossary_decided": f"""WITH {_COUNTS} SELECT source, target FROM validated
+        UNION ALL SELECT source, CASE length(source) % 4 WHEN 0 THEN targets[2] WHEN 1 THEN 'own ' || source ELSE targets[1] END FROM conflicts WHERE source NOT IN (SELECT source FROM validated)""",
+    "glossary_override": f"WITH {_COUNTS} SELECT source, CASE WHEN source < 'M' THEN 'own ' || target ELSE target END AS target FROM validated UNION ALL SELECT 'Zzz', 'new'",
+    "extraction_errors": f"""WITH {_ALIGN} SELECT pair_id, source, target, target = '' OR (lower(source) IN {_in(STOPWORDS)} AND {_UPPER.format("target")})
+        OR (length(source) > 0 AND length(target) > 0 AND greatest(length(source), length(target))::DOUBLE / least(length(source), length(target)) > 5) AS is_error FROM aligned""",
+    "terminology_glossary": f"WITH {_ISSUES} SELECT source, target FROM tops WHERE rn = 1",
+    "all_issues": f"""WITH {_ISSUES}, {_VOTES} SELECT 'terminology' AS kind, source || ': ' || n_targets || ' targets, best ' || suggestion AS issue FROM issues
+        UNION ALL SELECT 'glossary_conflicts', source || ': ' || array_to_string(targets, ', ') FROM conflicts""",
+    "pair_validation": f"""WITH {_VALIDITY} SELECT k.key, coalesce(e.n, 0) AS n_untranslated, c.is_copy, coalesce(e.n, 0) = 0 AND NOT c.is_copy AS ok
+        FROM keyed k JOIN copied c ON c.key = k.key LEFT JOIN english e ON e.key = k.key""",
+    "chunk_sizes": f"WITH RECURSIVE {_BODY} SELECT book, chunk_id::BIGINT AS chunk_id, count(*) FILTER (WHERE role = 0) AS head, count(*) FILTER (WHERE role = 1) AS body, count(*) FILTER (WHERE role = 2) AS tail FROM members GROUP BY 1, 2",
+    "segment_words": f"""WITH RECURSIVE {_LINES}, f AS (
+        SELECT doc_id AS book, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seq, greatest(1, len(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda w: w <> ''))) AS tok FROM lines),
+        folded AS (
+            SELECT book, seq, tok, CASE WHEN tok > 80 THEN 1 ELSE 0 END AS chunk_id, tok AS held FROM f WHERE seq = 0
+            UNION ALL SELECT f.book, f.seq, f.tok, CASE WHEN held + f.tok > 80 THEN chunk_id + 1 ELSE chunk_id END, CASE WHEN held + f.tok > 80 THEN f.tok ELSE held + f.tok END
+            FROM folded JOIN f ON f.book = folded.book AND f.seq = folded.seq + 1)
+        SELECT book, seq, chunk_id::BIGINT AS chunk_id, tok::BIGINT AS tok FROM folded""",
+    "line_repair": f"""WITH {_REPAIR} SELECT doc_id, pos, check_name,
+        CASE WHEN check_name IS NOT NULL THEN coalesce(translated, '') WHEN translated IS NULL OR q OR f THEN mended ELSE translated END AS text,
+        CASE WHEN check_name IS NOT NULL THEN NULL WHEN translated IS NULL THEN CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END WHEN q THEN CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END WHEN f THEN CASE WHEN n % 3 = 0 THEN 3 ELSE 1 END ELSE 0 END AS attempts FROM judged""",
+    "request_log": f"""WITH RECURSIVE {_BODY} SELECT 'llm_initial_' || book::VARCHAR || '_' || lpad(chunk_id::VARCHAR, 4, '0') || '.log' AS name, 'stand-in' AS model, 1 AS attempts,
+        length(string_agg(CASE WHEN role = 1 THEN '<' || i::VARCHAR || '/>' || text ELSE text END, chr(10) || chr(10) ORDER BY role, seq)) AS prompt_len,
+        md5(coalesce(string_agg('<' || i::VARCHAR || '/>' || {_upper("text")}, chr(10) ORDER BY seq) FILTER (WHERE role = 1) || chr(10), '') || '[=[END]=]') AS response_md5 FROM placed GROUP BY book, chunk_id""",
+    "refine_prompts": f"""WITH RECURSIVE {_BODY}, {_COUNTS}, top AS (SELECT * FROM modes WHERE cnt::DOUBLE / total >= 0.5::DOUBLE ORDER BY total DESC, first_seen, source LIMIT 50),
+        terms AS (SELECT coalesce(string_agg(source || ' → ' || target, ', ' ORDER BY total DESC, first_seen, source), '') AS terms FROM top),
+        shown AS (SELECT *, (book * 31 + seq) % 17 = 0 AS lacks, CASE WHEN role = 1 THEN '<' || i::VARCHAR || '/>' ELSE '' END || CASE WHEN (book * 31 + seq) % 17 <> 0 THEN {_upper("text")} ELSE text END AS initial FROM placed)
+        SELECT book, chunk_id::BIGINT AS chunk_id, bool_or(lacks) AS has_missing, md5('Refine the translation. {RULES}' || chr(10) || 'Lines: ' || count(*) FILTER (WHERE role = 1) || chr(10) || 'Glossary: ' || (SELECT CASE WHEN terms = '' THEN 'no terms' ELSE terms END FROM terms)
+            || chr(10) || 'Original:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY role, seq) || chr(10) || 'Translation:' || chr(10) || string_agg(initial, chr(10) || chr(10) ORDER BY role, seq)) AS prompt_md5 FROM shown GROUP BY book, chunk_id""",
+    "stream_route": f"WITH {_QUARANTINE} SELECT m.doc_id, m.pos, coalesce(q.check_name, 'passed') AS side FROM mock m LEFT JOIN quarantined q ON q.chunk_index = m.doc_id AND q.chunk_line = m.pos",
+    "two_phase_run": f"WITH RECURSIVE {_TWO} SELECT book::VARCHAR || '/' || seq::VARCHAR AS key, CASE WHEN n % 2 = 0 THEN {_strip("'r ' || initial")} ELSE initial END AS text, CASE WHEN n % 2 = 0 THEN 'refined' ELSE 'initial' END AS origin FROM firsts",
+    "run_summary": f"""WITH RECURSIVE {_TWO} SELECT 'lines_' || CASE WHEN n % 2 = 0 THEN 'refined' ELSE 'initial' END AS metric, count(*)::DOUBLE AS value FROM firsts GROUP BY 1
+        UNION ALL SELECT 'chunks', count(*)::DOUBLE FROM sized UNION ALL SELECT 'calls', count(*)::DOUBLE FROM sized UNION ALL SELECT 'seconds', 0.0::DOUBLE""",
+}

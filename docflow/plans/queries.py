@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import checks, glossary, html, quality, segment, store, translate
-from ..sources import epub
-from ..sources.tables import lines, mock_translation, table, turn_pairs
+from ..functions.words import END_MARK
+from ..operators import checks, correct, glossary, html, quality, segment, store, translate
+from ..sources import epub, stores
+from ..sources.shared import shared_path
+from ..sources.tables import lines, made_pages, mock_translation, table, turn_pairs
 
 #: Tokens of a chunk, and the share of them that context may take.
 MAX_TOKENS, RATIO = 300, 0.5
@@ -44,13 +46,16 @@ def retry_index_check(spark, sf):
 
 
 def parse_output(spark, sf):
-    return checks.parse_output(checks.render(lines(spark, sf)))
+    """White space of every kind at the ends of answers and lines, and numbers that come twice."""
+    raw = checks.render(lines(spark, sf).select("doc_id", "pos", F.concat(F.lit("\t "), "text", F.lit("\u00a0\t")).alias("text")))
+    again = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" \n<0/>first\nmore\n"), "raw", F.lit("\n\t"))).otherwise(F.concat("raw", F.lit("\r\n")))
+    return checks.parse_output(raw.select("doc_id", again.alias("raw")))
 
 
 def parse_status(spark, sf):
     raw = checks.render(lines(spark, sf))
     kind = F.col("doc_id") % 5
-    broken = F.when(kind == 1, F.replace("raw", F.lit("[=[END]=]"), F.lit(""))).when(kind == 2, F.concat(F.lit("[ERREUR: "), "raw")).when(kind == 3, F.regexp_replace("raw", "(^|\n)<", "$1 <")).otherwise(F.col("raw"))
+    broken = F.when(kind == 1, F.replace("raw", F.lit("[=[END]=]"), F.lit(""))).when(kind == 2, F.concat(F.lit("[ERREUR: "), "raw")).when(kind == 3, F.regexp_replace("raw", "(^|\n)<", "$1- <")).when(kind == 4, F.concat(F.lit("\n\t"), "raw", F.lit("\n \u00a0\n"))).otherwise(F.col("raw"))
     return raw.select("doc_id", checks.status(broken).alias("status"), checks.numbered_lines(broken).alias("n_numbered"))
 
 
@@ -118,8 +123,26 @@ def term_extract(spark, sf):
     return glossary.extract(turn_pairs(spark, sf))
 
 
+def _named(n: Column) -> Column:
+    """A name that is a number's: its digits as letters."""
+    return F.concat(F.lit("Q"), F.translate(n.cast("string"), "0123456789", "abcdefghij"))
+
+
+def _noun_pairs(spark, sf):
+    """Pairs of turns with names in known places: openings that do not count, a name of two words, an acronym, and one
+    that only the original has."""
+    p = turn_pairs(spark, sf).select("pair_id")
+    one, two, other = _named(F.col("pair_id")), _named(F.col("pair_id") % 97), _named(F.col("pair_id") % 89)
+    original = F.concat(F.lit("Then came "), one, F.lit(" "), two, F.lit(" with NASA. Later "), other, F.lit(" left.\nSo did "), two)
+    return p.select("pair_id", original.alias("original"), F.concat(F.lit("Puis vint "), other, F.lit(" et l\u2019ESA. Alors "), one, F.lit(" partit")).alias("translated"))
+
+
 def proper_nouns(spark, sf):
-    return turn_pairs(spark, sf).select("pair_id", F.posexplode(X.proper_nouns(F.col("original"))).alias("pos", "noun"))
+    return _noun_pairs(spark, sf).select("pair_id", F.posexplode(X.proper_nouns(F.col("original"))).alias("pos", "noun"))
+
+
+def paired_nouns(spark, sf):
+    return quality.paired_nouns(_noun_pairs(spark, sf))
 
 
 def term_alignment(spark, sf):
@@ -189,7 +212,184 @@ def html_headings(spark, sf):
 def html_rewrite(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "html")
     upper = html.fragments(pages).select("page_id", "frag_index", F.upper("text").alias("text"))
-    return html.rewrite_pages(pages, upper, "separate").select("page_id", "n_groups", F.char_length("html").alias("html_len"))
+    return html.rewrite_pages(pages, upper, "separate").select("page_id", "n_groups", "error", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
+def html_made_fragments(spark, sf):
+    return html.fragments(made_pages(spark, sf))
+
+
+def html_made_rewrite(spark, sf):
+    """Each way of rewriting: two groups of three are translated, and every tenth page has one with a part too many."""
+    pages = made_pages(spark, sf)
+    upper = html.fragments(pages).where("frag_index % 3 <> 0").select("page_id", "frag_index", _upper(F.col("text")).alias("text"), (F.col("page_id") % 10 == 0).alias("wrong"))
+    upper = upper.withColumn("text", F.when(F.col("wrong"), F.concat("text", F.lit("</>x"))).otherwise(F.col("text")))
+    made = [html.rewrite_pages(pages, upper, mode).select("page_id", F.lit(mode).alias("mode"), "n_groups", "error", F.md5(F.col("html").cast("binary")).alias("html_md5")) for mode in ("replace", "inline", "separate")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def html_items(spark, sf):
+    return html.items(made_pages(spark, sf)).select("page_id", F.md5("content").alias("content_md5"), "link.rel", "link.href", "link.type")
+
+
+def _books(spark, sf):
+    """Documents as the chapters of twenty books, in another order than their ids; every seventh is a style sheet."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    item = F.concat(F.lit("i"), F.col("doc_id").cast("string"))
+    sheet = F.col("doc_id") % 7 == 0
+    place = F.when(~sheet, (F.col("doc_id") * 7919 % 100_003).cast("int"))
+    rows = docs.select((F.col("doc_id") % 20).cast("string").alias("book_id"), item.alias("item_id"), F.concat(item, F.when(sheet, ".css").otherwise(".xhtml")).alias("file_name"), F.when(sheet, "text/css").otherwise("application/xhtml+xml").alias("media_type"), F.col("text").cast("binary").alias("content"), place.alias("spine_pos"))
+    title = F.concat(F.lit("Title & "), "book_id")
+    books = rows.select("book_id").distinct().select("book_id", F.concat(F.lit("urn:"), "book_id").alias("identifier"), title.alias("title"), F.lit("en").alias("language"), F.array(F.lit("A <b>"), F.col("book_id")).alias("creators"))
+    return books, rows
+
+
+def epub_items(spark, sf):
+    """Archives written, and read back as items."""
+    archives = epub.archives(*_books(spark, sf)).select(F.col("book_id").alias("path"), "content")
+    return epub.items(archives).select("book_id", "item_id", "file_name", "media_type", "is_document", "spine_pos", F.md5("content").alias("content_md5"))
+
+
+def epub_metadata(spark, sf):
+    books, rows = _books(spark, sf)
+    archives = epub.archives(epub.translated_metadata(books, "fr"), rows).select(F.col("book_id").alias("path"), "content")
+    return epub.metadata(archives).select("book_id", "identifier", "title", "language", F.array_join("creators", "|").alias("creators"))
+
+
+def _store_rows(spark, sf):
+    x = mock_translation(spark, sf)
+    rows = x.where("translated is not null").select(F.lit("initial").alias("phase"), F.col("doc_id").cast("string").alias("source_file"), F.col("pos").cast("string").alias("line_index"), F.col("translated").alias("text"), F.lit(1).alias("write_seq"))
+    again = x.where("h % 3 = 0").select(F.lit("initial").alias("phase"), F.col("doc_id").cast("string").alias("source_file"), F.col("pos").cast("string").alias("line_index"), F.concat(F.lit('v"2 '), "original").alias("text"), F.lit(2).alias("write_seq"))
+    refined = x.where("h % 2 = 0").select(F.lit("refined").alias("phase"), F.col("doc_id").cast("string").alias("source_file"), F.concat(F.lit("t"), F.col("pos").cast("string")).alias("line_index"), F.col("original").alias("text"), F.lit(1).alias("write_seq"))
+    return rows.unionByName(again).unionByName(refined)
+
+
+def json_store_values(spark, sf):
+    rows = _store_rows(spark, sf).where("phase = 'initial' and write_seq = 1")
+    return stores.json_store(rows).select("file_name", F.md5(F.col("value").cast("binary")).alias("value_md5"))
+
+
+def json_store_files(spark, sf):
+    """The JSON files written, read back by the store's reader."""
+    path = shared_path(spark, "json-store")
+    stores.write_json_store(_store_rows(spark, sf).where("phase = 'initial' and write_seq = 1"), path)
+    rows, damaged = stores.read_json_store(spark, path)
+    found = rows.select("phase", F.regexp_extract("source_file", "file_name=([^/]+)", 1).alias("file_name"), "line_index", "text")
+    return found.unionByName(damaged.select(F.lit("damaged").alias("phase"), F.col("source_file").alias("file_name"), F.lit(None).cast("string").alias("line_index"), F.col("value").alias("text")))
+
+
+def store_cleared(spark, sf):
+    """A store written, rid of the lines of one source in one phase, and read back in its order."""
+    path = shared_path(spark, "store")
+    stores.write_store(_store_rows(spark, sf), path)
+    stores.clear_store(spark, path, source_file="4", phase="refined")
+    both = [stores.read_store(spark, path, p) for p in ("initial", "refined")]
+    return both[0].unionByName(both[1]).select("phase", "source_file", "line_index", "text")
+
+
+def store_lookup(spark, sf):
+    """Every line and one that no store has, looked up in the active store."""
+    x, initial, refined = _phases(spark, sf)
+    keys = x.select(_key().alias("key")).unionByName(spark.createDataFrame([("999/x",)], "key string"))
+    return store.lookup(keys, store.active(initial, refined, "refined"))
+
+
+def glossary_files(spark, sf):
+    """A glossary's JSON made and read back."""
+    counted = _counted(spark, sf)
+    learned, fixed = stores.read_glossary(spark, stores.glossary_json(counted, _validated(counted)))
+    return learned.select(F.lit("learned").alias("kind"), "source", "target", "cnt").unionByName(fixed.select(F.lit("validated").alias("kind"), "source", "target", F.lit(None).cast("long").alias("cnt")))
+
+
+def glossary_decided(spark, sf):
+    """An editor's decisions by the length of a conflict's source: its second target, a word of their own, or none."""
+    counted = _counted(spark, sf)
+    fixed = _validated(counted)
+    size = F.char_length("source") % 4
+    choices = glossary.conflicts(counted).select("source", F.when(size == 0, " 2 ").when(size == 1, F.concat(F.lit("own "), "source")).when(size == 2, "s").alias("choice"))
+    return glossary.decided(counted, fixed, choices)
+
+
+def glossary_override(spark, sf):
+    fixed = _validated(_counted(spark, sf))
+    own = fixed.where("source < 'M'").select("source", F.concat(F.lit("own "), "target").alias("target")).unionByName(spark.createDataFrame([("Zzz", "new")], "source string, target string"))
+    return glossary.override(fixed, own)
+
+
+def extraction_errors(spark, sf):
+    return _aligned(spark, sf).select("pair_id", "source", "target", X.is_extraction_error(F.col("source"), F.col("target")).alias("is_error"))
+
+
+def terminology_glossary(spark, sf):
+    return quality.terminology(glossary.observations(_aligned(spark, sf)))
+
+
+def all_issues(spark, sf):
+    return quality.all_issues(quality.by_confidence(terminology_issues(spark, sf)), glossary.conflicts(_counted(spark, sf)))
+
+
+def _keyed_pairs(spark, sf):
+    turns = turn_pairs(spark, sf).select(F.concat(F.lit("t"), F.col("pair_id").cast("string")).alias("key"), "original", "translated")
+    return mock_translation(spark, sf).where("translated is not null").select(_key().alias("key"), "original", "translated").unionByName(turns)
+
+
+def pair_validation(spark, sf):
+    return quality.pair_validation(_keyed_pairs(spark, sf))
+
+
+def chunk_sizes(spark, sf):
+    return segment.sizes(segment.members(_body(spark, sf), MAX_TOKENS, RATIO))
+
+
+def segment_words(spark, sf):
+    """Chunks of 80 words: another measure than the token estimate."""
+    return segment.body(lines(spark, sf), 80, X.word_tokens).select("book", "seq", "chunk_id", "tok")
+
+
+_UPPERS = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LINES = re.compile(r"^<(\d+)/>(.*)$", re.M)
+
+
+def _upper(x: Column) -> Column:
+    return F.translate(x, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def stand_in(prompt: str, reasoning: bool = False) -> str:
+    """A model that upper-cases, with faults that follow from the request: texts of a length that 7 divides are never right
+    and those that 3 divides with reasoning only; of lines that lack, one is forgotten, always where 5 divides their
+    number and without reasoning where 4 does."""
+    if prompt.startswith("Translate again"):
+        text = prompt.rsplit("\n<0/>", 1)[1]
+        if len(text) % 7 == 0 or (len(text) % 3 == 0 and not reasoning):
+            return f"wrong {END_MARK}"
+        return f"{text.translate(_UPPERS)}\n{END_MARK}"
+    rows = _LINES.findall(prompt)
+    if len(rows) % 5 == 0 or (len(rows) % 4 == 0 and not reasoning):
+        rows = rows[:-1]
+    return "\n".join([*(f"<{i}/>{t.translate(_UPPERS)}" for i, t in rows), END_MARK])
+
+
+def polite(prompt: str, reasoning: bool = False) -> str:
+    """A model that upper-cases every numbered line."""
+    return "\n".join([*(f"<{i}/>{t.translate(_UPPERS)}" for i, t in _LINES.findall(prompt)), END_MARK])
+
+
+def refiner(prompt: str, reasoning: bool = False) -> str:
+    """A model that marks the lines of a first translation, and forgets the end where their number is odd."""
+    rows = _LINES.findall(prompt.split("\nTranslation:\n", 1)[1])
+    return "\n".join([*(f"<{i}/>r {t}" for i, t in rows), *([END_MARK] if len(rows) % 2 == 0 else [])])
+
+
+def line_repair(spark, sf):
+    """Every line after the correction stage: its text and attempts, or the check that set it aside."""
+    kept, bad = correct.run(mock_translation(spark, sf).select("doc_id", "pos", "original", "translated"), stand_in)
+    aside = bad.select(F.col("chunk_index").alias("doc_id"), F.col("chunk_line").alias("pos"), F.col("translated_text").alias("text"), F.lit(None).cast("int").alias("attempts"), "check_name")
+    return kept.select("doc_id", "pos", F.col("translated").alias("text"), "attempts", F.lit(None).cast("string").alias("check_name")).unionByName(aside)
+
+
+def request_log(spark, sf):
+    prompts = segment.prompts(segment.members(_body(spark, sf), MAX_TOKENS, RATIO))
+    return translate.request_log(prompts, translate.translate(prompts, polite), "initial", "stand-in").select("name", "model", "prompt_len", "attempts", F.md5(F.col("response").cast("binary")).alias("response_md5"))
 
 
 def bilingual_inline(spark, sf):
@@ -234,26 +434,53 @@ def store_file_counts(spark, sf):
 def refine_prompts(spark, sf):
     rows = _body(spark, sf)
     members = segment.members(rows, MAX_TOKENS, RATIO)
-    initial = rows.where((F.col("book") * 31 + F.col("seq")) % 17 != 0).select(F.concat_ws("/", F.col("book").cast("string"), F.col("seq").cast("string")).alias("key"), F.upper("text").alias("text"))
+    initial = rows.where((F.col("book") * 31 + F.col("seq")) % 17 != 0).select(F.concat_ws("/", F.col("book").cast("string"), F.col("seq").cast("string")).alias("key"), _upper(F.col("text")).alias("text"))
     made = store.refine_prompts(members, initial, glossary.export(_counted(spark, sf)))
-    return made.select("book", "chunk_id", "has_missing", F.char_length("prompt").alias("prompt_len"))
+    return made.select("book", "chunk_id", "has_missing", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+def _stream_input(spark, sf) -> str:
+    """Pairs as files of a folder of their own, whatever ran before."""
+    root = shared_path(spark, "stream")
+    mock_translation(spark, sf).write.parquet(f"{root}/in")
+    return root
 
 
 def stream_checks(spark, sf):
     """The fragment check over a file stream, run to its end; the same rows as the batch."""
     from ..streaming import checks as streaming
 
-    root = tempfile.mkdtemp() if spark.conf.get("spark.checkpoint.dir", None) is None else spark.conf.get("spark.checkpoint.dir") + f"/stream-{spark.sparkContext.applicationId}-{hash(sf) & 0xFFFFFFFF:x}"
-    mock_translation(spark, sf).write.mode("overwrite").parquet(f"{root}/in")
+    root = _stream_input(spark, sf)
     found = streaming.fragment_errors(streaming.read_pairs(spark, f"{root}/in"))
-    query = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    streaming.drain(found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
     return spark.read.schema(found.schema).parquet(f"{root}/out")
 
 
+def stream_route(spark, sf):
+    """Lines of a stream by the side that its writers put them on."""
+    from ..streaming import checks as streaming
+
+    root = _stream_input(spark, sf)
+    streaming.drain(streaming.route(streaming.read_pairs(spark, f"{root}/in", 2), f"{root}/good", f"{root}/bad", f"{root}/state"))
+    good = spark.read.parquet(f"{root}/good").select("doc_id", "pos", F.lit("passed").alias("side"))
+    return good.unionByName(spark.read.parquet(f"{root}/bad").selectExpr("chunk_index AS doc_id", "chunk_line AS pos", "check_name AS side"))
+
+
+def _run(spark, sf) -> translate.Run:
+    """The whole run over the lines of documents; a third of these are in the first store already."""
+    rows = lines(spark, sf)
+    known = rows.withColumn("seq", F.row_number().over(segment.W.partitionBy("doc_id").orderBy("pos")) - 1).where("doc_id % 3 = 0")
+    initial = known.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("seq").cast("string")).alias("key"), F.concat(F.lit("c "), "text").alias("text"))
+    return translate.two_phase(rows, polite, refiner, translate.Settings(first_tokens=500, second_tokens=MAX_TOKENS, second_ratio=RATIO), initial=initial)
+
+
 def two_phase_run(spark, sf):
-    """The whole run over the lines of documents, with the stand-in translator in both phases."""
-    return translate.two_phase(lines(spark, sf), translate.mock, translate.mock)
+    return _run(spark, sf).stored
+
+
+def run_summary(spark, sf):
+    run = _run(spark, sf)
+    return translate.run_summary(run.stored, run.second_log, 0.0)
 
 
 def _on_pairs(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -275,11 +502,14 @@ _ALL = [
     segment_body, segment_head, segment_tail, chunk_prompt, chunk_marked, term_extract, proper_nouns, term_alignment, glossary_counts, glossary_translation,
     glossary_conflicts, conflict_category, glossary_clean, glossary_stats, glossary_export, glossary_dict, glossary_high_confidence, glossary_resolved,
     terminology_issues, quality_report, html_fragments, html_headings, html_rewrite, bilingual_inline, edge_space, cache_keys, spine_scan, conflict_shares, glossary_sample, glossary_gate, store_file_counts, refine_prompts, stream_checks, two_phase_run,
+    paired_nouns, html_made_fragments, html_made_rewrite, html_items, epub_items, epub_metadata, json_store_values, json_store_files, store_cleared, store_lookup,
+    glossary_files, glossary_decided, glossary_override, extraction_errors, terminology_glossary, all_issues, pair_validation, chunk_sizes, segment_words, line_repair,
+    request_log, stream_route, run_summary,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _wide(f) for f in _ALL} | {
     name: _wide(_on_pairs(f))
     for name, f in (
         ("fragment_count_errors", checks.fragment_count_errors), ("punctuation_errors", checks.punctuation_errors), ("line_count_errors", checks.line_count_errors),
-        ("quarantine", checks.quarantine), ("validation_stats", checks.validation_stats),
+        ("quarantine", checks.quarantine), ("validation_stats", checks.validation_stats), ("validate_only", checks.validate_only),
     )
 }

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docflow.functions import text as X
-from docflow.operators import checks, glossary, html, quality, segment, store, translate
+from docflow.operators import checks, correct, glossary, html, quality, segment, store, translate
 from docflow.plans.oracle import ORACLE_SQL
 from docflow.plans.queries import QUERIES
 from docflow.sources import epub, stores
@@ -80,14 +80,24 @@ def test_nulls_pass_through(spark):
 def test_parser(spark):
     raws = [
         (1, "<0/>Bonjour\n<1/>Monde\n<2/>Test\n[=[END]=]"), (2, "<0/>Hello</>World\n<1/>Foo</>Bar</>Baz\n[=[END]=]"), (3, "<0/>First line\nSecond\n<1/>Another\n[=[END]=]"),
-        (4, "<0/>no end"), (5, "[ERREUR: x"), (6, "nothing\n[=[END]=]"), (7, "<0/>a\n<0/>b\n[=[END]=]"),
+        (4, "<0/>no end"), (5, "[ERREUR: x"), (6, "nothing\n[=[END]=]"), (7, "<0/>a\n<0/>b\n[=[END]=]"), (8, "\n\t<0/> a\t\n<1/>\tb \u00a0\n[=[END]=]\r\n"), (9, " \n[ERREUR: y"),
+        (10, "<0/>a [=[END]=]\n<1/>b\n[=[END]=]\n"), (11, None), (12, ""), (13, "[=[END]=]"),
     ]
     df = spark.createDataFrame(raws, "doc_id long, raw string")
     got = {}
     for r in checks.parse_output(df).collect():
         got.setdefault(r["doc_id"], {})[r["line_idx"]] = r["text"]
-    assert got == {1: {0: "Bonjour", 1: "Monde", 2: "Test"}, 2: {0: "Hello</>World", 1: "Foo</>Bar</>Baz"}, 3: {0: "First line", 1: "Another"}, 7: {0: "b"}}
-    assert [r["s"] for r in df.orderBy("doc_id").select(checks.status(F.col("raw")).alias("s")).collect()] == ["ok", "ok", "ok", "missing_end", "error", "no_lines", "ok"]
+    assert got == {1: {0: "Bonjour", 1: "Monde", 2: "Test"}, 2: {0: "Hello</>World", 1: "Foo</>Bar</>Baz"}, 3: {0: "First line", 1: "Another"}, 7: {0: "b"}, 8: {0: "a", 1: "b"}, 10: {0: "a", 1: "b"}}
+    said = [r["s"] for r in df.orderBy("doc_id").select(checks.status(F.col("raw")).alias("s")).collect()]
+    assert said[:10] == ["ok", "ok", "ok", "missing_end", "error", "no_lines", "ok", "ok", "error", "ok"] and said[11:] == ["missing_end", "no_lines"]
+    from docflow.functions import protocol
+
+    for doc, raw in raws:
+        if raw is not None:
+            try:
+                assert protocol.parse(raw) == got[doc]
+            except ValueError as e:
+                assert str(e) == said[doc - 1] and doc not in got
 
 
 def pairs(spark, rows):
@@ -140,7 +150,14 @@ def test_store(spark):
     assert got["2"] == ("y", "initial")
     (tmp := open(path + ".json", "w")).write("{ invalid json }")
     tmp.close()
-    assert stores.read_json_store(spark, path + ".json").first()["line_index"] is None
+    rows, damaged = stores.read_json_store(spark, path + ".json")
+    assert rows.count() == 0 and damaged.first()["value"] == "{ invalid json }"
+    stores.set_aside(damaged, path + "-aside")
+    assert spark.read.parquet(path + "-aside").first()["backup"].endswith(".json.backup")
+    stores.clear_store(spark, path, source_file="a.html", phase="refined")
+    assert spark.read.parquet(path).where("phase = 'refined'").count() == 0 and spark.read.parquet(path).count() == 3
+    stores.clear_store(spark, path)
+    assert spark.read.schema("source_file string, line_index string, text string").parquet(path).count() == 0
 
 
 def test_glossary(spark):
@@ -203,18 +220,196 @@ def test_translator_and_repair(spark):
             raise TimeoutError("slow")
         return "ok"
 
-    assert translate.call(flaky, "x") == ("ok", 3) and calls == [False, False, True]
-    assert translate.call(lambda p, r: (_ for _ in ()).throw(ConnectionError("limit")), "x")[0].startswith("[ERREUR")
+    assert translate.call(flaky, "x", base=0) == ("ok", 3) and calls == [False, False, True]
+    assert translate.call(lambda p, r: (_ for _ in ()).throw(ConnectionError("limit")), "x", base=0)[0].startswith("[ERREUR")
     assert [translate.backoff("timeout", n) for n in range(3)] == [1, 2, 4] and [translate.backoff("rate", n) for n in range(3)] == [1, 3, 9]
     df = pairs(spark, [("a</>b", "x"), ("c", None), ("d", "D")])
     fixed = {r["pos"]: r["translated"] for r in translate.repair(df, translate.mock).collect()}
     assert fixed == {0: "A</>B", 1: "C", 2: "D"}
 
 
-def test_two_phase(spark):
-    df = spark.createDataFrame([(1, 0, "one"), (1, 1, "two"), (2, 0, "three")], "doc_id long, pos long, text string")
-    got = {r["key"]: (r["text"], r["origin"]) for r in translate.two_phase(df, translate.mock, lambda p, r: "broken").collect()}
-    assert got == {"1/0": ("ONE", "initial"), "1/1": ("TWO", "initial"), "2/0": ("THREE", "initial")}
+def counting(path, answer):
+    """A translator that leaves a file for each call, to be counted whatever process made it."""
+    import uuid
+
+    def ask(prompt, reasoning=False):
+        (path / uuid.uuid4().hex).write_text(f"{int(reasoning)} {prompt}")
+        return answer(prompt, reasoning)
+
+    return ask, lambda: sorted(p.read_text() for p in path.iterdir())
+
+
+END = "[=[END]=]"
+
+
+def test_only_flagged_lines_are_asked_for(spark, tmp_path):
+    df = pairs(spark, [(f"line {i}", f"ligne {i}") for i in range(20)] + [("a</>b", "ab")])
+    ask, calls = counting(tmp_path, lambda p, r: f"x</>y\n{END}")
+    kept, bad = correct.run(df, ask)
+    assert kept.count() == 21 and bad.count() == 0 and len(calls()) == 1
+    assert "exactly 1 separators at the same places" in calls()[0] and "Before, with 0: ab" in calls()[0]
+
+
+def test_missing_lines_are_asked_for_together(spark, tmp_path):
+    rows = [(f"line {i}", None if i in (3, 7) else f"ligne {i}") for i in range(10)]
+    ask, calls = counting(tmp_path, lambda p, r: f"<3/>trois\n<7/>sept\n{END}" if r else f"<3/>trois\n{END}")
+    kept, bad = correct.run(pairs(spark, rows), ask)
+    got = {r["pos"]: (r["translated"], r["attempts"]) for r in kept.collect()}
+    assert got[3] == ("trois", 2) and got[7] == ("sept", 2) and got[0] == ("ligne 0", 0) and bad.count() == 0
+    assert [c[0] for c in calls()] == ["0", "1"] and "missing: 3, 7." in calls()[0] and "<3/>line 3" in calls()[0] and "<4/>" not in calls()[0] and "line 4" in calls()[0]
+
+
+def test_the_failing_check_decides(spark, tmp_path):
+    rows = [("x “q” y", "x q y"), ("a</>b</>c", "abc"), ("d", None), ("e", "E")]
+    ask, calls = counting(tmp_path, lambda p, r: f"x y\n{END}")
+    kept, bad = correct.run(pairs(spark, rows), ask)
+    assert [r["pos"] for r in kept.collect()] == [3]
+    assert {r["chunk_line"]: (r["check_name"], r["translated_text"], r["reason"]) for r in bad.collect()} == {
+        0: ("punctuation", "x q y", "punctuation: expected 1, got 0"), 1: ("fragment_count", "abc", "fragment_count: expected 3, got 1"), 2: ("line_count", "", "line_count: expected 1, got 0"),
+    }
+    said = calls()
+    assert len(said) == 2 + 2 + 3 and sum("anywhere" in c or "wherever" in c for c in said) == 1
+    assert sorted(c[0] for c in said) == list("0000111")
+
+
+def test_a_model_that_raises_is_a_failed_attempt(spark, tmp_path):
+    def answer(prompt, reasoning):
+        if not reasoning:
+            raise RuntimeError("down")
+        return f"“q”\n{END}"
+
+    ask, calls = counting(tmp_path, answer)
+    kept, _ = correct.run(pairs(spark, [("“a”", "b")]), ask)
+    assert kept.first()["translated"] == "“q”" and kept.first()["attempts"] == 2 and len(calls()) == 2
+
+
+def test_a_check_of_ones_own(spark):
+    digits = checks.Check("digits", lambda o, t: (F.char_length(F.regexp_replace(o, "[^0-9]", "")), F.char_length(F.regexp_replace(t, "[^0-9]", ""))))
+    df = pairs(spark, [("a 1", "b 2"), ("a 12", "b 1"), ("c", None)])
+    assert [(r["pos"], r["expected"], r["actual"]) for r in checks.validate_only(df, [digits]).collect()] == [(1, 2, 1)]
+    mends = {"digits": lambda rows, ask, wording: rows.where("pos = 1").selectExpr("doc_id", "pos", "original AS new", "1 AS attempts")}
+    kept, bad = correct.run(df, lambda p, r: "", [digits], mends=mends)
+    assert {r["pos"]: r["translated"] for r in kept.collect()} == {0: "b 2", 1: "a 12", 2: None} and bad.count() == 0
+    kept, bad = correct.run(df, lambda p, r: "", [digits], mends={})
+    assert kept.count() == 2 and bad.first()["check_name"] == "digits"
+
+
+def test_clients_and_keys(spark, monkeypatch):
+    sent = []
+    client = translate.ChatClient(lambda body: sent.append(body) or "", "be brief")
+    assert client("hi") == "Result Empty" and client("hi", True) == "Result Empty"
+    assert [b["model"] for b in sent] == ["chat", "reasoner"] and sent[0]["messages"][0]["content"] == "be brief" and sent[0]["max_tokens"] == 4000
+    monkeypatch.delenv("API_KEY", raising=False)
+    with pytest.raises(ValueError):
+        translate.api_key(spark)
+    monkeypatch.setenv("API_KEY", "k")
+    assert translate.api_key(spark) == "k"
+    with pytest.raises(AttributeError):
+        translate.Settings().tries = 5
+
+
+def test_session_logs(tmp_path):
+    from datetime import datetime
+
+    from docflow.sources.logs import Session
+
+    session = Session(tmp_path, datetime(2024, 1, 2, 3, 4, 5))
+    log = session.logger("a")
+    assert not session.folder.exists() and log is session.logger("a")
+    log.info("said")
+    assert session.folder.name == "run_20240102_030405" and "INFO said" in (session.folder / "translation.log").read_text()
+    for h in list(log.handlers):
+        h.close()
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    from docflow.functions import prompts
+
+    (tmp_path / "quotes.txt").write_text("Quote {expected} in {original}!")
+    wording = prompts.Templates.from_folder(tmp_path)
+    assert value(spark, prompts.retry_quotes(F.col("a"), F.lit(2), wording=wording), a="x") == "Quote 2 in x!"
+    assert wording.refine == prompts.WORDING.refine and "into fr" in value(spark, prompts.first_pass("fr"), a="x")
+    with pytest.raises(KeyError):
+        prompts.render("{what}")
+
+
+def test_tokenizer_measure(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    rows = [(1, 0, "some words here"), (1, 1, ""), (1, 2, "Ünïcödé")]
+    got = segment.body(spark.createDataFrame(rows, "doc_id long, pos long, text string"), 100, X.tokenizer_tokens(path)).orderBy("seq").collect()
+    assert [r["tok"] for r in got] == [max(1, len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids)) for _, _, t in rows]
+
+
+def test_report_text(spark):
+    verdicts = spark.createDataFrame([("a", 2, True, False), ("b", 0, False, True)], "key string, n_untranslated long, is_copy boolean, ok boolean")
+    issues = spark.createDataFrame([(f"S{i:02}", 2, 0.7 + i / 100, "T") for i in range(12)], "source string, n_targets long, confidence double, suggestion string")
+    conflicts = spark.createDataFrame([("Ahh", ["Aah", "Oh"])], "source string, targets array<string>")
+    stats = spark.createDataFrame([("total_terms", 5)], "metric string, value long")
+    text = quality.report_text(verdicts, issues, conflicts, stats)
+    assert "untranslated: 3" in text and "terminology_issues: 12" in text and "total_terms: 5" in text and "  and 2 more" in text and "Ahh: Aah, Oh" in text
+    assert "S11: 2 targets" in text and "S00:" not in text
+    assert quality.report_text(verdicts.limit(0), issues.limit(0), conflicts.limit(0), stats).endswith("no issues")
+
+
+def test_pair_validation_flag(spark):
+    df = spark.createDataFrame([("a", "x", "It is the one that they have and you will like it."), ("b", "Bonjour", "Bonjour"), ("c", "x", None)], "key string, original string, translated string")
+    got = {r["key"]: (r["n_untranslated"], r["is_copy"], r["ok"]) for r in quality.pair_validation(df).collect()}
+    assert got == {"a": (1, False, False), "b": (0, True, False), "c": (0, False, True)}
+    assert quality.pair_validation(df, untranslated_check=False).where("ok").count() == 3
+
+
+def test_context_of_long_books_is_that_of_all_pairs(spark):
+    r = __import__("random").Random(5)
+    tok = [r.randint(1, 130) for _ in range(300)]
+    df = spark.createDataFrame([(1, i, "x" * (4 * n)) for i, n in enumerate(tok)], "doc_id long, pos long, text string")
+    rows = segment.body(df, 100)
+    held = [(r["seq"], r["chunk_id"], r["before"], r["tok"]) for r in rows.orderBy("seq").collect()]
+    first = {}
+    for seq, chunk, before, n in held:
+        first.setdefault(chunk, (seq, before, before + n))
+    for budget in (0, 15, 100, 1000):
+        want = {(k - 1, seq) for k, (s, _, p1) in first.items() if k >= 1 for seq, _, before, _ in held if seq > s and before - p1 < budget}
+        assert {(r["chunk_id"], r["seq"]) for r in segment.tail(rows, budget).collect()} == want
+        want = {(k, seq) for k, (s, p, p1) in first.items() for seq, own, before, _ in held if own + 1 in first and seq < s and p - before < budget and (own == k - 1 or p1 - first[own + 1][2] < budget)}
+        assert {(r["chunk_id"], r["seq"]) for r in segment.head(rows, budget).collect()} == want
+
+
+def test_rewrite_error_is_a_column(spark):
+    pages = spark.createDataFrame([(1, "<p>a<b>b</b></p>"), (2, "<p>c</p>")], "page_id long, html string")
+    texts = spark.createDataFrame([(1, 1, "x"), (2, 1, "C")], "page_id long, frag_index long, text string")
+    got = {r["page_id"]: (r["n_groups"], r["html"], r["error"]) for r in html.rewrite_pages(pages, texts).collect()}
+    assert got == {1: (0, "<p>a<b>b</b></p>", "expected 2 fragments, got 1"), 2: (1, "<p>C</p>", None)}
+    content, link = html.document('<head><link href=x rel="a"><link href=y></head><body class="k"><p>é</p></body>')
+    assert content.decode() == '<body class="k"><p>é</p></body>' and link == {"rel": "a", "href": "x", "type": None}
+    assert html.document("plain") == (b"plain", None)
+
+
+def test_stream_twice_in_one_session(spark):
+    """With a checkpoint folder set, as conftest does: a second call starts anew."""
+    assert spark.conf.get("spark.checkpoint.dir")
+    once = QUERIES["stream_checks"](spark, DATA).count()
+    assert once > 0 and QUERIES["stream_checks"](spark, DATA).count() == once
+
+
+def test_two_phase(spark, tmp_path):
+    rows = [(1, 0, "one met Temporal Matrix"), (1, 1, "two met Temporal Matrix"), (2, 0, "three"), (3, 0, "four")]
+    df = spark.createDataFrame(rows, "doc_id long, pos long, text string")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    first, asked = counting(tmp_path / "a", translate.mock)
+    second, again = counting(tmp_path / "b", lambda p, r: f"<0/>fine\n<1/>good\n{END}" if "Lines: 2" in p else "broken")
+    known = spark.createDataFrame([("2/0", "trois")], "key string, text string")
+    run = translate.two_phase(df, first, second, initial=known, validated=spark.createDataFrame([("Matrix", "Grille")], "source string, target string"))
+    got = {r["key"]: (r["text"], r["origin"]) for r in run.stored.collect()}
+    assert got == {"1/0": ("fine", "refined"), "1/1": ("good", "refined"), "2/0": ("trois", "initial"), "3/0": ("FOUR", "initial")}
+    assert len(asked()) == 2 and not any("three" in c for c in asked()) and "into fr" in asked()[0]  # what the store has is not asked for
+    assert len(again()) == 3 and any("Matrix → Grille" in c and "<0/>ONE MET TEMPORAL MATRIX" in c for c in again())
+    assert {r["source"]: r["target"] for r in run.glossary.collect()}["Matrix"] == "Grille" and run.first_log.count() == 2 and run.second_log.count() == 3
+    summary = {r["metric"]: r["value"] for r in translate.run_summary(run.stored, run.second_log, 1.5).collect()}
+    assert summary == {"lines_refined": 2, "lines_initial": 2, "chunks": 3, "calls": 3, "seconds": 1.5}
 
 
 def test_stream_routes_every_row_once(spark, tmp_path):
@@ -257,7 +452,7 @@ def test_refinement_flags_missing_lines(spark):
     initial = spark.createDataFrame([("1/0", "A"), ("1/2", "C")], "key string, text string")
     terms = spark.createDataFrame([("x → y",)], "prompt string")
     got = {r["chunk_id"]: r for r in store.refine_prompts(members, initial, terms).collect()}
-    assert got[0]["has_missing"] and not got[1]["has_missing"] and "x → y" in got[1]["prompt"] and "A\n\nb" in got[0]["prompt"]
+    assert got[0]["has_missing"] and not got[1]["has_missing"] and "x → y" in got[1]["prompt"] and "<0/>A\n\n<1/>b" in got[0]["prompt"]
 
 
 def test_summary_text(spark):
