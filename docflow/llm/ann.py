@@ -2,8 +2,8 @@
 
 Queries are dealt into groups and candidates into lanes; every (lane, group)
 cell is one tile strip, held by a task as one query block in memory and a stream
-of candidate blocks.  Products of int8 codes give each inner product with an
-error bound (Cauchy-Schwarz on the quantisation residuals); only pairs whose
+of candidate blocks.  Products of int8 codes, multiplied as floats that hold them
+and their sums exactly, give each inner product with an error bound (Cauchy-Schwarz on the quantisation residuals); only pairs whose
 upper bound reaches the k-th best so far are computed again in double
 precision, and per-query heaps are merged over lanes.  The bound is strict, so
 the neighbours are exact.
