@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm import decontam, line_dedup, minhash, packing, toxicity
 from docflow.llm.scratch import written
+from docflow.sources.shared import spread
 
 #: SQL cannot express the trained scorer or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -55,7 +56,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
