@@ -24,9 +24,9 @@ HEAPS = "query_id long, found array<struct<s:double,vec_id:long>>"
 TILE, PAIRS = 2048, 1 << 16
 
 
-def usable(vectors: DataFrame) -> DataFrame:
+def usable(vectors: DataFrame, kind: str = "array<double>") -> DataFrame:
     """Rows that take part: an id, and a vector that is neither null nor empty nor zero and has finite components only."""
-    own = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    own = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return own.where(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0.0))
 
@@ -108,7 +108,7 @@ def _strips(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         if batch.num_rows == 0:
             continue
         dim, lane, group, kind, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        flat = batch.column(5).flatten().to_numpy(zero_copy_only=False)
+        flat = batch.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
         ends = np.cumsum(dim)
         key = np.stack([dim, lane, group, kind])
         cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(dim)]])
@@ -139,8 +139,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: in
     candidates count each.  Fewer than ``k`` candidates: all of them; empty tables: no rows.
     """
     spark = vectors.sparkSession
-    all_rows = usable(vectors)
-    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # single-precision components travel as they are; tasks widen them, which changes no value
+    kinds = {x.schema["embedding"].dataType.simpleString() for x in (vectors, queries)}
+    kind = "array<float>" if kinds == {"array<float>"} else "array<double>"
+    all_rows = usable(vectors, kind)
+    asked = usable(queries, kind).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n_queries, n_rows = asked.count(), all_rows.count()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(1, math.ceil(n_queries / query_block))

@@ -36,6 +36,15 @@ def test_nearest_is_exact(spark, block, lane):
     assert sorted(map(tuple, got)) == brute_nearest(rows, {i for i, _ in rows if i is not None and i % 20 == 0}, 20)
 
 
+def test_single_precision_is_searched_in_double(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(r.normal(size=(300, 24)) * 10.0 ** r.integers(-3, 4, (300, 1)))]
+    single, double = (spark.createDataFrame(rows, f"vec_id long, embedding array<{k}>") for k in ("float", "double"))
+    want = brute_nearest(rows, {i for i, _ in rows if i % 20 == 0}, 20)
+    for vectors, queries in ((single, single), (single, double), (double, single)):
+        assert sorted(map(tuple, ann.nearest(vectors, queries.where("vec_id % 20 = 0")).collect())) == want
+
+
 def test_nearest_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(df, df).count() == 0
