@@ -217,12 +217,13 @@ ITEMS = "page_id long, content binary, link struct<rel:string,href:string,type:s
 
 
 def rewrite_pages(pages: DataFrame, translated: DataFrame, mode: str = "replace") -> DataFrame:
-    """REWRITTEN pages; ``translated`` has page_id, frag_index, text, gathered per page before they meet the page.
+    """REWRITTEN pages; ``translated`` has page_id, frag_index, text, gathered per page before they meet the page; of several
+    texts of one group the greatest is taken.
 
     A page with a translation that has another number of parts than its group stays as it is, with the mismatch in
     ``error`` (D3, D7).
     """
-    per = translated.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("frag_index", "text"))).alias("t"))
+    per = translated.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("frag_index", "text"))).alias("t"))
     rows = pages.select("page_id", F.col("html").cast("string")).join(per, "page_id", "left")
 
     def one(page_id, html: str, texts: dict) -> tuple:
@@ -235,7 +236,7 @@ def rewrite_pages(pages: DataFrame, translated: DataFrame, mode: str = "replace"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:
-            out = [one(p, h or "", dict(t or [])) for p, h, t in zip(*(c.to_pylist() for c in batch.columns))]
+            out = [one(p, h or "", {x["frag_index"]: x["text"] for x in t or []}) for p, h, t in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in REWRITTEN.split(", ")])
 
     return rows.mapInArrow(run, REWRITTEN)
