@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,27 +19,86 @@ def extract(pairs: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def _score(term: Column, original: Column, candidate: Column, translated: Column) -> Column:
-    place = lambda x, text: (F.instr(text, x) - 1).cast("double") / F.char_length(text)
-    at = F.when(F.instr(translated, candidate) > 0, (F.lit(1.0) - F.abs(place(term, original) - place(candidate, translated))) * F.lit(2.0)).otherwise(F.lit(0.0))
-    size = F.least(F.char_length(term), F.char_length(candidate)).cast("double") / F.greatest(F.char_length(term), F.char_length(candidate))
-    letter = F.when(F.lower(F.substring(term, 1, 1)) == F.lower(F.substring(candidate, 1, 1)), F.lit(0.5)).otherwise(F.lit(0.0))
-    return at + size + letter
+def _best(spots: list[np.ndarray], sizes: list[np.ndarray], letters: list[np.ndarray], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(candidate, score) of each term, the first of its pair's best; -1 where a pair has none.
+
+    ``spots``, ``sizes`` and ``letters`` each hold the terms' values and the candidates' values, both by pair with the
+    pairs' bounds, as ``_flat`` gives them.  Products are scored ``most`` at a time.
+    """
+    (at, _), (spot, _) = spots
+    (size, term_ends), (long, ends) = sizes
+    (letter, _), (first, _) = letters
+    pair = np.repeat(np.arange(len(term_ends) - 1), np.diff(term_ends))
+    begins, counts = ends[:-1][pair], np.diff(ends)[pair]
+    place, score = np.full(len(pair), -1, np.int64), np.zeros(len(pair))
+    asked = np.flatnonzero(counts)
+    total = np.cumsum(counts[asked])
+    low = 0
+    while low < len(asked):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
+        t, n = asked[low:high], counts[asked[low:high]]
+        heads = np.cumsum(n) - n
+        own = np.repeat(np.arange(len(t)), n)
+        c = np.arange(n.sum()) - heads[own] + begins[t][own]
+        who = t[own]
+        near = np.where(spot[c] < 0, 0.0, (1.0 - np.abs(at[who] - spot[c])) * 2.0)
+        all_ = near + np.minimum(size[who], long[c]) / np.maximum(size[who], long[c]) + np.where(letter[who] == first[c], 0.5, 0.0)
+        top = np.maximum.reduceat(all_, heads)
+        hits = np.flatnonzero(all_ == top[own])
+        _, firsts = np.unique(own[hits], return_index=True)
+        place[t], score[t] = c[hits[firsts]] - begins[t], top
+        low = high
+    return place, score
+
+
+def _flat(values: list[list], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([x for v in values for x in v], kind), np.cumsum([0, *map(len, values)])
+
+
+def _spots(text: str, words: list[str]) -> list[float]:
+    """Where each word first is in the text, as a share of its length; below 0 where it is not."""
+    return [text.find(w) / len(text) for w in words]
 
 
 def align(pairs: DataFrame) -> DataFrame:
     """(pair_id, seq, source, target, score): a term kept as it is, score null, else its best candidate of score 1 or more
-    (J14, J15, M5); ties go to the first candidate.  ``seq`` is the term's place in its pair."""
-    own = pairs.withColumns({"terms": terms(F.col("original")), "candidates": terms(F.col("translated"))})
-    each = own.select("pair_id", "original", "translated", "candidates", F.posexplode("terms").alias("seq", "source"))
-    kept = F.instr("translated", F.col("source")) > 0
-    scored = F.transform("candidates", lambda c, i: F.struct(_score(F.col("source"), F.col("original"), c, F.col("translated")).alias("score"), (-i).alias("i"), c.alias("c")))
-    good = F.filter(scored, lambda s: s["score"] >= 1.0)
-    same = F.array(F.struct(F.lit(None).cast("double").alias("score"), F.lit(0).alias("i"), F.col("source").alias("c")))
-    # one row or none, so that the scores are computed once
-    best = F.when(kept, same).when(F.size(good) > 0, F.array(F.array_max(good)))
-    rows = each.select("pair_id", "seq", "source", F.explode(best).alias("best"))
-    return rows.select("pair_id", "seq", "source", F.col("best.c").alias("target"), F.col("best.score").alias("score"))
+    (J14, J15, M5); ties go to the first candidate.  ``seq`` is the term's place in its pair.
+
+    What a score needs of a text is found once for each term and candidate; only sums are made for each two.
+    """
+    letters = lambda c: F.transform(c, lambda w: F.lower(F.substring(w, 1, 1)))
+    own = pairs.select("pair_id", F.col("original").cast("string"), F.col("translated").cast("string"), terms(F.col("original")).alias("terms"), terms(F.col("translated")).alias("candidates"))
+    own = own.where(F.size("terms") > 0).select("*", letters("terms").alias("letters"), letters("candidates").alias("firsts"))
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                ids, (texts, others, asked, found, heads, firsts) = batch.column(0), ([x or "" for x in c.to_pylist()] for c in batch.columns[1:])
+                out: list[tuple] = []
+                open_: list[list[int]] = []
+                for k, (other, words) in enumerate(zip(others, asked)):
+                    same = [w in other for w in words]
+                    out += [(k, j, w, w, None) for j, w in enumerate(words) if same[j]]
+                    open_.append([j for j, is_same in enumerate(same) if not is_same])
+                left = [[words[j] for j in js] for words, js in zip(asked, open_)]
+                found = [list(f) if js else [] for f, js in zip(found, open_)]
+                firsts = [list(f) if js else [] for f, js in zip(firsts, open_)]
+                spots = [_flat([_spots(t, w) for t, w in zip(x, y)], float) for x, y in ((texts, left), (others, found))]
+                sizes = [_flat([list(map(len, w)) for w in x], float) for x in (left, found)]
+                codes: dict[str, int] = {}
+                code = lambda x: codes.setdefault(x, len(codes))
+                marks = [_flat([list(map(code, w)) for w in x], np.int64) for x in ([[h[j] for j in js] for h, js in zip(heads, open_)], firsts)]
+                best = iter(zip(*(x.tolist() for x in _best(spots, sizes, marks))))
+                for k, js in enumerate(open_):
+                    for j, (at, score) in zip(js, best):
+                        if at >= 0 and score >= 1.0:
+                            out.append((k, j, asked[k][j], found[k][at], score))
+                columns = [pa.array([r[x + 1] for r in out], kind) for x, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in out], pa.int64())), *columns], ["pair_id", "seq", "source", "target", "score"])
+
+    return own.mapInArrow(run, f"pair_id {dict(own.dtypes)['pair_id']}, seq int, source string, target string, score double")
 
 
 def observations(aligned: DataFrame) -> DataFrame:

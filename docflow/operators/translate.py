@@ -182,7 +182,8 @@ def two_phase(
         lacking = store.cache_misses(rows.select(_key().alias("key"), chunk.alias("chunk_id")), known).select("chunk_id.*")
         asked = once(prompts.join(lacking, ["book", "chunk_id"], "left_semi"), f"{name}-prompts")
         outputs = once(translate(asked, translator, s.tries, s.wait), f"{name}-answers")
-        kept, bad = correct.run(_answers(rows, outputs), translator, max_retries=s.max_retries, wording=s.wording)
+        answers = once(_answers(rows, outputs), f"{name}-lines")
+        kept, bad = correct.run(answers, translator, max_retries=s.max_retries, wording=s.wording)
         return once(_store(known, kept), f"{name}-store"), bad.withColumn("phase", F.lit(name)), request_log(asked, outputs, name, name)
 
     rows = once(segment.body(text, s.first_tokens), "first-body")
@@ -192,7 +193,7 @@ def two_phase(
 
     pairs = rows.select((F.col("book") * 1_000_000 + F.col("seq")).alias("pair_id"), _key().alias("key"), F.col("text").alias("original")).join(initial.withColumnRenamed("text", "translated"), "key")
     fixed = spark.createDataFrame([], "source string, target string") if validated is None else validated
-    observed = glossary.observations(glossary.align(pairs))
+    observed = once(glossary.observations(glossary.align(pairs)), "observed")
     terms = once(glossary.gate(observed, fixed, s.least_seen), "glossary")
     prompt = glossary.term_list(terms)
 

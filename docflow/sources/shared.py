@@ -20,9 +20,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def once(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and read back, so that what made it (a model's answers above all) never runs again."""
+    """``df`` written and read back, so that what made it (a model's answers above all) never runs again.
+
+    Spark deletes a shuffle's files when the driver's JVM has collected its plan: that is asked for, as a run of many
+    such tables would else hold the shuffles of all of them on disk.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

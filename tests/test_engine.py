@@ -178,6 +178,29 @@ def test_json_store_files(spark, tmp_path):
     assert rows.count() == 302 and [r["value"] for r in damaged.collect()] == ['{"cut.json": {"0": "a']
 
 
+def test_alignment_of_a_long_line(spark):
+    """A line of 2000 terms and candidates, as quickly as sums for each two allow; terms that punctuation breaks are in no place."""
+    import time
+
+    word = lambda i, a: "".join(chr(97 + int(d)) for d in f"{i * 7919 % 10_007}").capitalize() + a
+    original = " ".join(["So", *(word(i, "ex") for i in range(2000)), "Ab-cd"])
+    translated = " ".join(["Si", *(word(i, "ov") for i in reversed(range(2000))), "Ef-gh"])
+    began = time.monotonic()
+    got = {r["source"]: (r["target"], r["score"]) for r in glossary.align(spark.createDataFrame([(1, original, translated), (2, None, "A"), (3, "No Way", None)], "pair_id long, original string, translated string")).collect()}
+    assert time.monotonic() - began < 60
+    candidates = sorted({w.replace("-", "") for w in translated.split()})
+
+    def score(s, c):
+        at = translated.find(c)
+        near = 0.0 if at < 0 else (1.0 - abs(original.find(s) / len(original) - at / len(translated))) * 2.0
+        return near + min(len(s), len(c)) / max(len(s), len(c)) + (0.5 if s[0] == c[0] else 0.0)
+
+    assert len(got) == 2002
+    for s in ("So", "Abcd", *(word(i, "ex") for i in range(0, 2000, 97))):
+        best = max(candidates, key=lambda c: score(s, c))
+        assert got[s] == (best, score(s, best))
+
+
 def test_glossary(spark):
     obs = spark.createDataFrame([("Matrix", "Matrice", i) for i in range(3)] + [("Matrix", "Système", 9), ("Ahh", "Aah", 10), ("Ahh", "Oh", 11), ("the", "Le", 12), ("Rare", "Rare", 13)], "source string, target string, seq long")
     counted = glossary.counts(obs)
