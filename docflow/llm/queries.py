@@ -42,7 +42,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.page_derivatives(_table(spark, sf_dir, "pages"), with_records=False).drop("record")
+    return warc.page_derivatives(_table(spark, sf_dir, "pages"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

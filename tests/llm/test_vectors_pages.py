@@ -169,6 +169,17 @@ def test_warc_round_trip_and_links(spark):
     assert warc.page_derivatives(df.limit(0)).count() == 0
 
 
+def test_warc_query_gives_whole_records(spark):
+    from docflow.llm.queries import QUERIES
+
+    rows = QUERIES["op7_warc"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and {r["warc_type"] for r in rows} == {"metadata", "conversion"}
+    for r in rows:
+        ((got, data),) = warc.read_records(r["record"])
+        assert got["warc-record-id"] == r["record_id"] and got["warc-refers-to"] == r["refers_to"]
+        assert warc.digest(data) == r["block_digest"] and len(data) == r["payload_length"]
+
+
 def test_warc_files(spark):
     one, two = (warc.response(f"http://h/{i}", f"<p>page {i}</p>", "2024-01-01T00:00:00Z", i) for i in (1, 2))
     other = warc.write_record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:x>")], b"GET /")
