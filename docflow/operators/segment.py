@@ -98,5 +98,5 @@ def prompts(chunk_members: DataFrame, marked: Column | None = None) -> DataFrame
     numbered = F.col("role") == 1 if marked is None else (F.col("role") == 1) & marked
     line = F.when(numbered, F.concat(F.lit("<"), F.col("i").cast("string"), F.lit("/>"), "text")).otherwise(F.col("text"))
     ordered = F.array_sort(F.collect_list(F.struct("role", "seq", "line")))
-    rows = chunk_members.withColumn("i", place).withColumn("line", line)
+    rows = chunk_members.repartition("book", "chunk_id").withColumn("i", place).withColumn("line", line)  # texts are shuffled once for both
     return rows.groupBy("book", "chunk_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n\n").alias("prompt"))

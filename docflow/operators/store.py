@@ -60,7 +60,7 @@ def refine_prompts(members: DataFrame, initial: DataFrame, glossary_prompt: Data
     from ..functions import prompts
 
     keyed = members.withColumn("key", F.concat_ws("/", F.col("book").cast("string"), F.col("seq").cast("string")))
-    found = keyed.join(initial.select("key", F.col("text").alias("first")), "key", "left").withColumn("lacks", F.col("first").isNull())
+    found = keyed.join(initial.select("key", F.col("text").alias("first")), "key", "left").withColumn("lacks", F.col("first").isNull()).repartition("book", "chunk_id")  # for places and prompts alike
     place = F.row_number().over(W.partitionBy("book", "chunk_id", "role").orderBy("seq")) - 1
     number = F.when(F.col("role") == 1, F.concat(F.lit("<"), place.cast("string"), F.lit("/>"))).otherwise("")
     found = found.withColumn("first", F.coalesce("first", "text")).withColumn("number", number)
