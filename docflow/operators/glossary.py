@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import is_excluded, is_stopword, is_upper_first, terms
+from ..functions.text import is_excluded, is_stopword, is_upper_first, term_words, terms
 
 
 def extract(pairs: DataFrame) -> DataFrame:
@@ -52,51 +54,66 @@ def _best(spots: list[np.ndarray], sizes: list[np.ndarray], letters: list[np.nda
 
 
 def _flat(values: list[list], kind: type) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([x for v in values for x in v], kind), np.cumsum([0, *map(len, values)])
+    ends = np.cumsum([0, *map(len, values)])
+    return np.fromiter(chain.from_iterable(values), kind, ends[-1]), ends
 
 
 def _spots(text: str, words: list[str]) -> list[float]:
     """Where each word first is in the text, as a share of its length; below 0 where it is not."""
-    return [text.find(w) / len(text) for w in words]
+    n, find = len(text), text.find
+    return [find(w) / n for w in words]
 
 
 def align(pairs: DataFrame) -> DataFrame:
     """(pair_id, seq, source, target, score): a term kept as it is, score null, else its best candidate of score 1 or more
     (J14, J15, M5); ties go to the first candidate.  ``seq`` is the term's place in its pair.
 
-    What a score needs of a text is found once for each term and candidate; only sums are made for each two.
+    Terms are found word by distinct word of a batch; candidates only where a term is not kept as it is.  What a score
+    needs of a text is found once for each term and candidate; only sums are made for each two.
     """
-    letters = lambda c: F.transform(c, lambda w: F.lower(F.substring(w, 1, 1)))
-    own = pairs.select("pair_id", F.col("original").cast("string"), F.col("translated").cast("string"), terms(F.col("original")).alias("terms"), terms(F.col("translated")).alias("candidates"))
-    own = own.where(F.size("terms") > 0).select("*", letters("terms").alias("letters"), letters("candidates").alias("firsts"))
-    kinds = [pa.int32(), pa.string(), pa.string(), pa.float64()]
+    own = pairs.select("pair_id", F.col("original").cast("string"), F.col("translated").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, int] = {}
+
+        @lru_cache(1 << 12)
+        def letter(x: str) -> int:
+            return codes.setdefault(x.lower(), len(codes))
+
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
-                ids, (texts, others, asked, found, heads, firsts) = batch.column(0), ([x or "" for x in c.to_pylist()] for c in batch.columns[1:])
-                out: list[tuple] = []
-                open_: list[list[int]] = []
-                for k, (other, words) in enumerate(zip(others, asked)):
-                    same = [w in other for w in words]
-                    out += [(k, j, w, w, None) for j, w in enumerate(words) if same[j]]
-                    open_.append([j for j, is_same in enumerate(same) if not is_same])
-                left = [[words[j] for j in js] for words, js in zip(asked, open_)]
-                found = [list(f) if js else [] for f, js in zip(found, open_)]
-                firsts = [list(f) if js else [] for f, js in zip(firsts, open_)]
-                spots = [_flat([_spots(t, w) for t, w in zip(x, y)], float) for x, y in ((texts, left), (others, found))]
-                sizes = [_flat([list(map(len, w)) for w in x], float) for x in (left, found)]
-                codes: dict[str, int] = {}
-                code = lambda x: codes.setdefault(x, len(codes))
-                marks = [_flat([list(map(code, w)) for w in x], np.int64) for x in ([[h[j] for j in js] for h, js in zip(heads, open_)], firsts)]
-                best = iter(zip(*(x.tolist() for x in _best(spots, sizes, marks))))
-                for k, js in enumerate(open_):
-                    for j, (at, score) in zip(js, best):
+                rows, places, sources, targets, scores = [], [], [], [], []
+                open_: list[tuple[int, list[int], list[str], list[str], str, str]] = []
+                for k, (text, other) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    text, other = text or "", other or ""
+                    words = term_words(text)
+                    left = []
+                    for j, w in enumerate(words):
+                        if w in other:
+                            rows.append(k)
+                            places.append(j)
+                            sources.append(w)
+                            targets.append(w)
+                            scores.append(None)
+                        else:
+                            left.append(j)
+                    if left and (found := term_words(other)):
+                        open_.append((k, left, [words[j] for j in left], found, text, other))
+                spots = [_flat([_spots(x[t], x[w]) for x in open_], float) for t, w in ((4, 2), (5, 3))]
+                sizes = [_flat([list(map(len, x[w])) for x in open_], float) for w in (2, 3)]
+                marks = [_flat([[letter(v[0]) for v in x[w]] for x in open_], np.int64) for w in (2, 3)]
+                best = zip(*(x.tolist() for x in _best(spots, sizes, marks)))
+                for k, left, words, found, _, _ in open_:
+                    for j, w, (at, score) in zip(left, words, islice(best, len(left))):
                         if at >= 0 and score >= 1.0:
-                            out.append((k, j, asked[k][j], found[k][at], score))
-                columns = [pa.array([r[x + 1] for r in out], kind) for x, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in out], pa.int64())), *columns], ["pair_id", "seq", "source", "target", "score"])
+                            rows.append(k)
+                            places.append(j)
+                            sources.append(w)
+                            targets.append(found[at])
+                            scores.append(score)
+                columns = [pa.array(x, kind) for x, kind in ((places, pa.int32()), (sources, pa.string()), (targets, pa.string()), (scores, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], ["pair_id", "seq", "source", "target", "score"])
 
     return own.mapInArrow(run, f"pair_id {dict(own.dtypes)['pair_id']}, seq int, source string, target string, score double")
 
@@ -165,7 +182,11 @@ def categorised(found: DataFrame) -> DataFrame:
 
 def cleaned(observed: DataFrame, least: int = 2) -> DataFrame:
     """(source, total, status): kept, stopword or low_confidence, in the order in which cleaning deletes."""
-    per = counts(observed, filtered=False).groupBy("source").agg(F.sum("cnt").alias("total"))
+    return _cleaned(counts(observed, filtered=False), least)
+
+
+def _cleaned(counted: DataFrame, least: int) -> DataFrame:
+    per = counted.groupBy("source").agg(F.sum("cnt").alias("total"))
     status = F.when(is_stopword(F.col("source")), "stopword").when(F.col("total") < least, "low_confidence").otherwise("kept")
     return per.select("source", "total", status.alias("status"))
 
@@ -242,9 +263,14 @@ def gate(observed: DataFrame, validated: DataFrame, least: int = 2) -> DataFrame
 
     Validated terms are never cleaned away.
     """
-    kept = cleaned(observed, least).where("status = 'kept'").select("source")
-    counted = counts(observed.join(kept, "source", "left_semi"))
-    return translations(counted, resolved(counted, validated)).select("source", "target")
+    return gated(counts(observed, filtered=False), validated, least)
+
+
+def gated(counted: DataFrame, validated: DataFrame, least: int = 2) -> DataFrame:
+    """``gate`` over the counts of all observations, which may be written once and are far fewer."""
+    kept = _cleaned(counted, least).where("status = 'kept'").select("source")
+    learned = counted.where(~is_excluded(F.col("source"))).join(kept, "source", "left_semi")
+    return translations(learned, resolved(learned, validated)).select("source", "target")
 
 
 def summary(counted: DataFrame, validated: DataFrame, most: int = 20) -> str:

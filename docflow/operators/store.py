@@ -14,9 +14,14 @@ def upsert(writes: DataFrame) -> DataFrame:
 
 def fallback(initial: DataFrame, refined: DataFrame) -> DataFrame:
     """(key, text, origin): refined where it has text, else initial; keys of either (J5, J6, J7, U3).  Empty counts as missing."""
-    both = refined.select("key", F.nullif("text", F.lit("")).alias("r")).join(initial.select("key", F.nullif("text", F.lit("")).alias("i")), "key", "full")
-    origin = F.when(F.col("r").isNotNull(), "refined").when(F.col("i").isNotNull(), "initial").otherwise("none")
-    return both.select("key", F.coalesce("r", "i", F.lit("")).alias("text"), origin.alias("origin"))
+    return fallen_back(refined.select("key", F.col("text").alias("refined")).join(initial.select("key", F.col("text").alias("initial")), "key", "full"))
+
+
+def fallen_back(both: DataFrame) -> DataFrame:
+    """``fallback`` of rows (key, initial, refined) that have met already."""
+    r, i = (F.nullif(c, F.lit("")) for c in ("refined", "initial"))
+    origin = F.when(r.isNotNull(), "refined").when(i.isNotNull(), "initial").otherwise("none")
+    return both.select("key", F.coalesce(r, i, F.lit("")).alias("text"), origin.alias("origin"))
 
 
 def lookup(keys: DataFrame, store: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from ..functions import prompts as wordings
 from ..functions.words import END_MARK, SEPARATOR
 from ..sources.shared import once
-from . import checks, correct, glossary, segment, store
+from . import books, checks, correct, glossary, segment, store
 
 #: (prompt, reasoning) -> answer.  A translator raises TimeoutError or ConnectionError for faults worth a retry.
 Translator = Callable[[str, bool], str]
@@ -87,7 +87,10 @@ def request_log(prompts: DataFrame, outputs: DataFrame, context: str, model: str
 
     Names count the requests of a context by book and chunk.
     """
-    rows = prompts.join(outputs.select(F.col("doc_id").alias("book"), "chunk_id", F.col("raw").alias("response"), "attempts"), ["book", "chunk_id"], "left")
+    return _log(prompts.join(outputs.select(F.col("doc_id").alias("book"), "chunk_id", F.col("raw").alias("response"), "attempts"), ["book", "chunk_id"], "left"), context, model)
+
+
+def _log(rows: DataFrame, context: str, model: str) -> DataFrame:
     name = F.concat(F.lit(f"llm_{context}_"), F.col("book").cast("string"), F.lit("_"), F.lpad(F.col("chunk_id").cast("string"), 4, "0"), F.lit(".log"))
     return rows.select(name.alias("name"), F.lit(context).alias("context"), F.col("book"), F.col("chunk_id"), F.lit(model).alias("model"), F.char_length("prompt").alias("prompt_len"), "prompt", "response", "attempts")
 
@@ -156,6 +159,37 @@ def _store(old: DataFrame, kept: DataFrame) -> DataFrame:
     return store.upsert(old.select("key", "text", F.lit(0).alias("write_seq")).unionByName(new))
 
 
+def _mended(table: DataFrame, translator: Translator, s: Settings, name: str) -> tuple[DataFrame, DataFrame]:
+    """(table, quarantined): books with ``mended``, the lines that the correction stage keeps of their flagged chunks."""
+    bad = table.where("flagged")
+    rows = books.each(bad.select("book", "texts", *_GIVEN), books.suspects, books.SUSPECT)
+    if bad.isEmpty():
+        return table.withColumn("mended", F.lit(None).cast("array<struct<pos:bigint,translated:string>>")), checks.quarantine(rows)
+    kept, aside = correct.run(once(rows, f"{name}-lines"), translator, max_retries=s.max_retries, wording=s.wording)
+    per = once(kept.groupBy(F.col("doc_id").alias("book")).agg(F.collect_list(F.struct("pos", "translated")).alias("mended")), f"{name}-mended")
+    return table.join(per, "book", "left"), aside
+
+
+_GIVEN = ("chunks", "starts", "ends", "raws")
+
+
+def _book_log(table: DataFrame, prompts: DataFrame, name: str) -> DataFrame:
+    """The requests of short books; their prompts are made again if a log's reader wants them."""
+    each = table.select("book", F.inline(F.arrays_zip(F.col("chunks").alias("chunk_id"), F.col("raws").alias("response"), F.col("tries").alias("attempts"))))
+    return _log(each.join(prompts.groupBy("book", "chunk_id").agg(F.first("prompt").alias("prompt")), ["book", "chunk_id"], "left"), name, name)
+
+
+def _spread(rows: DataFrame, prompts: DataFrame, known: DataFrame, translator: Translator, s: Settings, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(store, quarantined, log) of a phase over long books: their chunks are spread over tasks."""
+    chunk = F.struct("book", "chunk_id")
+    lacking = store.cache_misses(rows.select(_key().alias("key"), chunk.alias("chunk_id")), known).select("chunk_id.*")
+    asked = once(prompts.join(lacking, ["book", "chunk_id"], "left_semi"), f"{name}-prompts")
+    outputs = once(translate(asked, translator, s.tries, s.wait), f"{name}-answers")
+    answers = once(_answers(rows, outputs), f"{name}-lines")
+    kept, bad = correct.run(answers, translator, max_retries=s.max_retries, wording=s.wording)
+    return once(_store(known, kept), f"{name}-store"), bad, request_log(asked, outputs, name, name)
+
+
 def two_phase(
     lines: DataFrame,
     first: Translator,
@@ -164,6 +198,7 @@ def two_phase(
     initial: DataFrame | None = None,
     refined: DataFrame | None = None,
     validated: DataFrame | None = None,
+    most: int = books.MOST,
 ) -> Run:
     """Lines (doc_id, pos, text) translated in chunks and refined in smaller ones.
 
@@ -171,36 +206,90 @@ def two_phase(
     them to it.  The glossary is learned from the store by alignment, cleaned and settled, ``validated`` terms first
     (V9, V10).  Phase two asks for chunks that ``refined`` lacks, with their first translation and the glossary in the
     prompt; a chunk whose context lacks a first translation, or whose answer does not parse, stays with phase one.
+
+    Books of ``most`` characters at most, with what the stores have of them, go through both phases in one piece; the
+    chunks of longer ones are spread over tasks.
     """
     spark, s = lines.sparkSession, settings
-    none = spark.createDataFrame([], "key string, text string")
-    initial, refined = (none if x is None else x.select("key", "text") for x in (initial, refined))
     text = lines.select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "text")
+    told = wordings.fill(s.wording.translate, language=s.language) + "\n\n"
+
+    def first_wanted(texts: list, known: list) -> Iterator[tuple[tuple, str]]:
+        for span in books.spans(texts, s.first_tokens, s.first_ratio):
+            if None in known[span[2] : span[3]]:
+                yield span, told + books.joined(texts, span, True)
+
+    def ask_first(texts: list, known: list) -> tuple:
+        return books.ask(texts, first_wanted(texts, known), lambda p: call(first, p, s.tries, s.wait))
+
+    def first_prompts(book: int, texts: list, known: list) -> Iterator[tuple[int, tuple]]:
+        yield from ((len(p), (book, span[0], p)) for span, p in first_wanted(texts, known))
+
+    def paired(book: int, texts: list, known: list, mended: list | None, *answers: list) -> Iterator[tuple[int, tuple]]:
+        for i, new in enumerate(books.merged(known, mended, texts, *answers)):
+            if new is not None:
+                yield len(new) + len(texts[i] or ""), (book * 1_000_000 + i, texts[i], new)
+
+    rows = once(books.gathered(text, [initial, refined], ask_first, most), "initial-answers")
+    short, first_bad = _mended(rows.where(F.col("kind") == books.BOOK), first, s, "initial")
+    first_log = _book_log(short, books.each(short.select("book", "texts", "known"), first_prompts, "book long, chunk_id int, prompt string"), "initial")
+    pairs = books.each(short.select("book", "texts", "known", "mended", *_GIVEN), paired, "pair_id long, original string, translated string")
+
+    loose = rows.where(F.col("kind") <= books.LINE)
+    is_long = not loose.isEmpty()
+    if is_long:
+        told_first = wordings.first_pass(s.language, s.wording)
+        known, known_again = (loose.where(F.col("kind") == k).select(_key().alias("key"), "text") for k in (books.INITIAL, books.REFINED))
+        text = loose.where(F.col("kind") == books.LINE).select(F.col("book").alias("doc_id"), F.col("seq").alias("pos"), "text")
+        long = once(segment.body(text, s.first_tokens), "first-body")
+        prompts = segment.prompts(segment.members(long, s.first_tokens, s.first_ratio)).withColumn("prompt", F.concat(told_first, F.lit("\n\n"), "prompt"))
+        long_initial, bad, log = _spread(long, prompts, known, first, s, "initial")
+        first_bad, first_log = first_bad.unionByName(bad), first_log.unionByName(log)
+        more = long.select((F.col("book") * 1_000_000 + F.col("seq")).alias("pair_id"), _key().alias("key"), F.col("text").alias("original")).join(long_initial.withColumnRenamed("text", "translated"), "key")
+        pairs = pairs.unionByName(more.select("pair_id", "original", "translated"))
 
-    def ask(rows: DataFrame, prompts: DataFrame, known: DataFrame, translator: Translator, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        chunk = F.struct("book", "chunk_id")
-        lacking = store.cache_misses(rows.select(_key().alias("key"), chunk.alias("chunk_id")), known).select("chunk_id.*")
-        asked = once(prompts.join(lacking, ["book", "chunk_id"], "left_semi"), f"{name}-prompts")
-        outputs = once(translate(asked, translator, s.tries, s.wait), f"{name}-answers")
-        answers = once(_answers(rows, outputs), f"{name}-lines")
-        kept, bad = correct.run(answers, translator, max_retries=s.max_retries, wording=s.wording)
-        return once(_store(known, kept), f"{name}-store"), bad.withColumn("phase", F.lit(name)), request_log(asked, outputs, name, name)
-
-    rows = once(segment.body(text, s.first_tokens), "first-body")
-    told = wordings.first_pass(s.language, s.wording)
-    prompts = segment.prompts(segment.members(rows, s.first_tokens, s.first_ratio)).withColumn("prompt", F.concat(told, F.lit("\n\n"), "prompt"))
-    initial, first_bad, first_log = ask(rows, prompts, initial, first, "initial")
-
-    pairs = rows.select((F.col("book") * 1_000_000 + F.col("seq")).alias("pair_id"), _key().alias("key"), F.col("text").alias("original")).join(initial.withColumnRenamed("text", "translated"), "key")
     fixed = spark.createDataFrame([], "source string, target string") if validated is None else validated
-    observed = once(glossary.observations(glossary.align(pairs)), "observed")
-    terms = once(glossary.gate(observed, fixed, s.least_seen), "glossary")
-    prompt = glossary.term_list(terms)
-
-    rows = once(segment.body(text, s.second_tokens), "second-body")
-    made = store.refine_prompts(segment.members(rows, s.second_tokens, s.second_ratio), initial, prompt, s.wording).where(~F.col("has_missing"))
-    refined, second_bad, second_log = ask(rows, made.select("book", "chunk_id", "prompt"), refined, second, "refined")
-    return Run(initial, refined, store.fallback(initial, refined), first_bad.unionByName(second_bad), terms, first_log, second_log)
+    counted = once(glossary.counts(glossary.observations(glossary.align(pairs)), filtered=False), "observed")
+    terms = once(glossary.gated(counted, fixed, s.least_seen), "glossary")
+    listed = glossary.term_list(terms)
+    shown = listed.first()["prompt"] or "no terms"  # one row of bounded length
+
+    def second_wanted(texts: list, firsts: list, again: list) -> Iterator[tuple[tuple, str]]:
+        for span in books.spans(texts, s.second_tokens, s.second_ratio):
+            _, head, body, after, tail = span
+            if None in again[body:after] and None not in firsts[head:after] and None not in firsts[after + 1 : tail]:
+                yield span, wordings.fill(s.wording.refine, lines=after - body, glossary=shown, original=books.joined(texts, span, False), translation=books.joined(firsts, span, True))
+
+    def ask_second(book: int, texts: list, known: list, again: list, mended: list | None, *answers: list) -> Iterator[tuple[int, tuple]]:
+        firsts = books.merged(known, mended, texts, *answers)
+        made = books.ask(texts, second_wanted(texts, firsts, again), lambda p: call(second, p, s.tries, s.wait))
+        yield sum(len(t or "") for c in (texts, firsts, again, made[3]) for t in c), (book, texts if made[-1] else None, firsts, again, *made)
+
+    def second_prompts(book: int, texts: list, known: list, again: list, mended: list | None, *answers: list) -> Iterator[tuple[int, tuple]]:
+        yield from ((len(p), (book, span[0], p)) for span, p in second_wanted(texts, books.merged(known, mended, texts, *answers), again))
+
+    def settled(book: int, texts: list | None, firsts: list, again: list, mended: list | None, *answers: list) -> Iterator[tuple[int, tuple]]:
+        for i, (old, new) in enumerate(zip(firsts, books.merged(again, mended, texts, *answers))):
+            if old is not None or new is not None:
+                yield len(old or "") + len(new or ""), (book, i, old, new)
+
+    given = short.select("book", "texts", "known", "again", "mended", *_GIVEN)
+    done, second_bad = _mended(once(books.each(given, ask_second, books.REASKED), "refined-answers"), second, s, "refined")
+    second_log = _book_log(done, books.each(given, second_prompts, "book long, chunk_id int, prompt string"), "refined")
+    final = books.each(done.select("book", "texts", "firsts", "again", "mended", *_GIVEN), settled, "book long, seq int, initial string, refined string").select(_key().alias("key"), "initial", "refined")
+    new_initial, new_refined = (final.where(F.col(c).isNotNull()).select("key", F.col(c).alias("text")) for c in ("initial", "refined"))
+    stored = store.fallen_back(final)
+    if initial is not None or refined is not None:
+        strays = [rows.where(F.col("kind") == books.STRAY + k).select(F.coalesce("key", _key()).alias("key"), "text") for k in (books.INITIAL, books.REFINED)]
+        new_initial, new_refined, stored = new_initial.unionByName(strays[0]), new_refined.unionByName(strays[1]), stored.unionByName(store.fallback(*strays))
+    if is_long:
+        long = once(segment.body(text, s.second_tokens), "second-body")
+        made = store.refine_prompts(segment.members(long, s.second_tokens, s.second_ratio), long_initial, listed, s.wording).where(~F.col("has_missing"))
+        long_refined, bad, log = _spread(long, made.select("book", "chunk_id", "prompt"), known_again, second, s, "refined")
+        second_bad, second_log = second_bad.unionByName(bad), second_log.unionByName(log)
+        new_initial, new_refined, stored = new_initial.unionByName(long_initial), new_refined.unionByName(long_refined), stored.unionByName(store.fallback(long_initial, long_refined))
+    quarantined = first_bad.withColumn("phase", F.lit("initial")).unionByName(second_bad.withColumn("phase", F.lit("refined")))
+    return Run(new_initial, new_refined, stored, quarantined, terms, first_log, second_log)
 
 
 def run_summary(stored: DataFrame, first: DataFrame, seconds: float) -> DataFrame:

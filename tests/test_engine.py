@@ -2,6 +2,7 @@
 
 import io
 import os
+import re
 import zipfile
 
 import duckdb
@@ -463,6 +464,45 @@ def test_two_phase(spark, tmp_path):
     assert summary == {"lines_refined": 2, "lines_initial": 2, "chunks": 3, "calls": 3, "seconds": 1.5}
 
 
+def test_books_in_one_piece_are_as_those_spread_over_tasks(spark):
+    """Both ways of a run, with forgotten lines, quotes, gaps in context, stored lines, and keys that no line has."""
+    from docflow.plans.queries import refiner
+
+    def forgetful(prompt, reasoning=False):
+        rows = re.findall(r"^<([0-9]+)/>(.*)$", prompt, re.M)
+        return "\n".join([*(f"<{i}/>{t.upper().replace('“', '')}" for i, t in rows if len(t) % 23), END])
+
+    r = __import__("random").Random(3)
+    word = lambda: r.choice(["Temporal", "Matrix", "the", "came", *["of"] * 9, "“so”", "a</>b", "Été", "NASA", "x\x1cY", "\u3000end "])
+    rows = [(book, 3 * i, " ".join(word() for _ in range(r.randint(1, 60)))) for book in range(1, 13) for i in range(r.randint(1, 30))] + [(40, 0, "long " * 3000), (40, 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, pos long, text string")
+    kind = "key string, text string"
+    initial = spark.createDataFrame([(f"{b}/{i}", f"old {b} {i}") for b in (2, 5, 6) for i in range(0, 12, b - 1)] + [("x/y", "odd"), ("999/3", "of no book"), ("2/9999", "beyond"), ("02/1", "other key"), ("7/1", None)], kind)
+    refined = spark.createDataFrame([(f"{b}/{i}", "" if i % 3 == 0 else f"new {b} {i}") for b in (3, 5) for i in range(9)] + [("x/y", "odder"), ("998/1", "")], kind)
+    s = translate.Settings(first_tokens=90, first_ratio=0.4, second_tokens=40, second_ratio=1.5, wait=0)
+    found = []
+    for most in (3000, 0):
+        run = translate.two_phase(df, forgetful, refiner, s, initial, refined, most=most)
+        found.append({k: sorted(map(norm, getattr(run, k).collect())) for k in ("initial", "refined", "stored", "quarantined", "glossary", "first_log", "second_log")})
+    assert found[0]["stored"] and found[0]["quarantined"] and found[0]["glossary"] and len(found[0]["second_log"]) > 5
+    for k, want in found[1].items():
+        assert found[0][k] == want, k
+
+
+def test_terms_of_words_are_those_of_columns(spark):
+    odd = ["", " ", "One", "One two", "One Two", "a Dr Who-Is O'Neil NASA's eBay McDonald x\x1cY \u3000Été ÀB É", "İs Ǆ ǅx Ⅷa ⅷB", "A1 B_2 ABc aBC \x85Next", "the The tHe\x1fThe", None]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert [X.term_words(t or "") for t in odd] == [r["x"] or [] for r in df.select(X.terms(F.col("t")).alias("x")).collect()]
+
+
+def test_summary_of_a_run_makes_no_prompts(spark):
+    """A log's prompts are made for a reader that wants them only."""
+    df = spark.createDataFrame([(1, 0, "one"), (1, 1, "two")], "doc_id long, pos long, text string")
+    run = translate.two_phase(df, translate.mock, translate.mock)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan(run.second_log) and "Join" not in plan(run.second_log.agg(F.count("*"), F.sum("attempts")))
+
+
 def test_stream_routes_every_row_once(spark, tmp_path):
     from docflow.streaming import checks as streaming
 
