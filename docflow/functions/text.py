@@ -200,11 +200,14 @@ def _word_terms(w: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return ((bare, *runs) if len(bare) >= 2 and bare not in TITLES and _is_upper(bare) else runs), runs
 
 
+def _is_acronym(w: str) -> bool:
+    return w.isupper() and w.isalpha() and w.isascii() and len(w) >= 2
+
+
 @lru_cache(1 << 17)
 def _later_terms(w: str) -> tuple[str, ...]:
-    if len(w) >= 2 and w.isascii() and w.isalpha() and w.isupper():
-        return (w,)
-    return _word_terms(w)[0]
+    inner = w.strip(".,;:!?$%&*#()'\"")
+    return (inner,) if _is_acronym(inner) else _word_terms(w)[0]
 
 
 def term_words(text: str) -> list[str]:
@@ -212,7 +215,9 @@ def term_words(text: str) -> list[str]:
     words = [w for w in _GAP.split(text) if w] if _NO_GAP.search(text) else text.split()
     if not words:
         return []
-    found = set(chain.from_iterable([_later_terms(w) for w in set(words[1:]) if not w.islower()]))
+    later = [w for w in set(words[1:]) if not w.islower()]
+    found = {w for w in later if w.isupper() and w.isalpha() and w.isascii() and len(w) >= 2}
+    found.update(chain.from_iterable([_later_terms(w) for w in later if w not in found]))
     found.update(_word_terms(words[0])[len(words) == 1 or not _is_upper(words[1])])
     return sorted(found)
 
